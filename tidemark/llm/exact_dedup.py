@@ -19,7 +19,9 @@ other than ``doc_id`` and ``text`` are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import lower_ascii, pin
@@ -44,37 +46,43 @@ def digest_runs(docs: DataFrame) -> DataFrame:
     )
 
 
-def merge_round(level: DataFrame, bits: int) -> DataFrame:
+def merge_round(level: DataFrame, key: list[str], bits: int, keep: Callable[[str], Column]) -> DataFrame:
     """One round: runs that share all but their last ``bits`` bits become one run."""
     return (
         level.withColumn("run", F.shiftright("run", bits))
-        .groupBy("run", *KEY)
-        .agg(F.max("best").alias("best"), F.sum("copies").alias("copies"))
+        .groupBy("run", *key)
+        .agg(keep("best").alias("best"), F.sum("copies").alias("copies"))
     )
 
 
-def exact_dedup(docs: DataFrame, bits: int = 3) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def tree_merge(
+    runs: DataFrame, key: list[str], bits: int, best: Column, keep: Callable[[Column | str], Column]
+) -> DataFrame:
+    """(run, *key, best, copies): for every key of every run, what the whole tree keeps.
 
-    Texts are compared after lower-casing A-Z; the largest doc_id of a group stays.
+    ``runs`` must be pinned. The way up merges; the way down hands each run the
+    decision on its own keys, at most ``2 ** bits`` rows for a key at each level.
     """
-    runs = digest_runs(docs)
-    levels = [
-        runs.groupBy("run", *KEY).agg(
-            F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("copies")
-        )
-    ]
+    levels = [runs.groupBy("run", *key).agg(keep(best).alias("best"), F.count(F.lit(1)).alias("copies"))]
     top = runs.agg(F.max("run")).first()[0] or 0
     while top:
-        levels.append(merge_round(levels[-1], bits))
+        levels.append(merge_round(levels[-1], key, bits, keep))
         top >>= bits
     decided = levels.pop()
     while levels:
-        below = levels.pop().select("run", *KEY)
+        below = levels.pop().select("run", *key).withColumn("up", F.shiftright("run", bits))
         above = decided.withColumnRenamed("run", "up")
-        decided = (
-            below.withColumn("up", F.shiftright("run", bits)).join(above, ["up", *KEY]).select("run", *KEY, "best", "copies")
-        )
+        decided = below.join(above, ["up", *key]).select("run", *key, "best", "copies")
+    return decided
+
+
+def exact_dedup(docs: DataFrame, bits: int = 3) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are compared after lower-casing A-Z; the largest doc_id of a group stays.
+    """
+    runs = digest_runs(docs)
+    decided = tree_merge(runs, KEY, bits, F.struct("doc_id", "row"), F.max)
     return runs.join(decided, ["run", *KEY]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),

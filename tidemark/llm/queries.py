@@ -11,6 +11,7 @@ from tidemark.llm.pieces import summarise
 from tidemark.llm.pii import find_personal_data
 from tidemark.llm.quality import quality_report
 from tidemark.llm.urlfilter import filter_urls
+from tidemark.llm.warc import archive_pages
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = archive_pages(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise(table(spark, sf_dir, "documents"))
 
@@ -42,6 +48,7 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op7_warc": op7_warc,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filters": op10_url_filters,
 }
@@ -83,5 +90,16 @@ SELECT doc_id, source, size, source_size, target,
   CASE WHEN source_size = 0 THEN 0 ELSE
     (budget // source_size) * size + greatest(0, least(size, budget - (budget // source_size) * source_size - ahead)) END AS taken
 FROM p
+""",
+    "op7_warc": """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+    sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
 """,
 }
