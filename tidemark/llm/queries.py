@@ -10,6 +10,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.pieces import summarise
 from tidemark.llm.pii import find_personal_data
 from tidemark.llm.quality import quality_report
+from tidemark.llm.recompress import remove_repeats
 from tidemark.llm.urlfilter import filter_urls
 from tidemark.llm.warc import archive_pages
 
@@ -30,6 +31,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = archive_pages(table(spark, sf_dir, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -48,6 +53,7 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_warc": op7_warc,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filters": op10_url_filters,
@@ -90,6 +96,22 @@ SELECT doc_id, source, size, source_size, target,
   CASE WHEN source_size = 0 THEN 0 ELSE
     (budget // source_size) * size + greatest(0, least(size, budget - (budget // source_size) * source_size - ahead)) END AS taken
 FROM p
+""",
+    "op6_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (
+  SELECT row_number() OVER () AS r, doc_id, words, CAST(len(words) AS BIGINT) AS n_words FROM d),
+x AS (SELECT r, unnest(range(1, n_words - 33)) AS pos FROM w WHERE n_words >= 35),
+y AS (SELECT x.r, x.pos, sha256(array_to_string(w.words[x.pos : x.pos + 34], ' ')) AS h FROM x JOIN w USING (r)),
+z AS (SELECT r, pos FROM (SELECT r, pos, count(*) OVER (PARTITION BY h) AS c FROM y) WHERE c > 1),
+g AS (SELECT DISTINCT r, unnest(range(pos, pos + 35)) AS place FROM z),
+p AS (SELECT r, unnest(words) AS word, unnest(range(1, n_words + 1)) AS place FROM w),
+k AS (
+  SELECT p.r, string_agg(word, ' ' ORDER BY p.place) AS kept, count(*) AS n_kept
+  FROM p LEFT JOIN g ON p.r = g.r AND p.place = g.place WHERE g.r IS NULL GROUP BY p.r)
+SELECT doc_id, n_words, n_words - CAST(coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (r)
 """,
     "op7_warc": """
 WITH p AS (
