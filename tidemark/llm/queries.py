@@ -11,6 +11,7 @@ from tidemark.llm.pieces import summarise
 from tidemark.llm.pii import find_personal_data
 from tidemark.llm.quality import quality_report
 from tidemark.llm.recompress import remove_repeats
+from tidemark.llm.suffixes import remove_repeated_bytes
 from tidemark.llm.urlfilter import filter_urls
 from tidemark.llm.warc import archive_pages
 
@@ -40,6 +41,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_warc": op7_warc,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filters": op10_url_filters,
 }
