@@ -57,6 +57,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cei
     )
 
 
+def sized_rows(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, source, size, key, row), written once so that keys and rows stay as they are."""
+    return pin(
+        docs.select(
+            "doc_id",
+            "source",
+            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            random_key(F.col("doc_id"), seed).alias("key"),
+            (F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()).alias("row"),
+        )
+    )
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
@@ -66,15 +79,33 @@ def mix_sources(
     range_bits: int = 10,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken."""
-    sized = pin(
-        docs.select(
-            "doc_id",
-            "source",
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            random_key(F.col("doc_id"), seed).alias("key"),
-            F.monotonically_increasing_id().alias("row"),
-        )
-    ).withColumn("range", F.shiftright("key", KEY_BITS - range_bits))
+    picked = docs.select("doc_id", "source", "text")
+    return _take(sized_rows(picked, seed), weights, share, ceiling, range_bits).drop("row")
+
+
+def repeat_to_targets(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    ceiling: float = 2.0,
+    seed: int = 17,
+    range_bits: int = 10,
+) -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them, with the columns of ``docs``.
+
+    Texts stay whole: the one document of a source that its budget cuts is there once
+    more if at least half of it is taken. Documents without words are not taken.
+    """
+    marked = pin(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    flat = marked.select(*[F.col("doc")[c].alias(c) for c in ("doc_id", "source", "text")], "row")
+    taken = _take(sized_rows(flat, seed), weights, share, ceiling, range_bits)
+    times = taken.filter("size > 0").select("row", F.expr("cast((2 * taken + size) div (2 * size) as int)").alias("times"))
+    rows = marked.join(times.filter("times > 0"), "row")
+    return rows.select("doc", F.explode(F.expr("sequence(1, times)"))).select("doc.*")
+
+
+def _take(sized: DataFrame, weights: tuple[int, ...], share: float, ceiling: float, range_bits: int) -> DataFrame:
+    sized = sized.withColumn("range", F.shiftright("key", KEY_BITS - range_bits))
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("size"))
     ahead = F.coalesce(
         F.sum("size").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
@@ -97,6 +128,7 @@ def mix_sources(
     rest = budget - epochs * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("ahead") - F.col("within")))
     return both.select(
+        "row",
         "doc_id",
         "source",
         "size",

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm._common import table
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.near_join import near_duplicates
 from tidemark.llm.pieces import summarise
 from tidemark.llm.pii import find_personal_data
 from tidemark.llm.quality import quality_report
@@ -24,6 +25,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_personal_data": op2_personal_data,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_substring_dedup": op6_substring_dedup,
