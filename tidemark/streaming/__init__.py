@@ -1,0 +1 @@
+"""No streaming operator: what this engine builds is defined on whole tracks and whole strata."""
