@@ -7,18 +7,20 @@ when ``100 * shared >= percent * union``. The join is exact:
   shingle (words outside the ``top_words`` most frequent count as 0), then by name.
   A passage in many documents has frequent words only, so its shingles come last.
 * A set of n tokens may lack at most e of them in a partner. Its prefix is its first
-  e + 1 + G tokens: of two linked sets' prefixes, at least 1 + G tokens are shared.
+  e + 1 + g tokens, g being the groups (see next) that its frequent ones lie in: of two
+  linked sets' prefixes, the shorter shares at least 1 + g of its tokens.
 * Spark counts the prefix tokens. A rare one (in up to ``frequent`` prefixes) is a
   signature alone. Frequent ones are dealt by hash into G groups, and every pair of
-  tokens within a group is a signature. Either a shared token is rare, or 1 + G
-  shared frequent tokens lie in G groups, so two lie in one: linked sets share a
+  tokens within a group is a signature. Either a shared token is rare, or 1 + g
+  shared frequent tokens lie in g groups, so two lie in one: linked sets share a
   signature. G depends on the set's size level; linked sets differ by one level at
   most, so each set makes its pairs for its own level and the next.
 
 Sets that are equal are one set from the start. Signatures with the same holders are
-one signature. Holders of a signature are not paired with each other: in each
-of ``rounds`` rounds they are paired with one pivot, pairs are verified on the whole
-texts, and pairs that are already linked through others are left out. Signatures whose
+one signature. More than ``FEW`` holders of a signature are not paired with each other:
+in each of ``rounds`` rounds they are paired with one pivot, and pairs that are already
+linked through others are left out. Pairs whose sets cannot share enough, by counts over
+parts of the hash range, go first; the others are verified on the whole texts. Signatures whose
 holders still fall apart after that have their remaining pairs verified in one pass,
 so no link is lost. Components are found by passing on least labels with
 pointer jumps. Nothing is collected but the ``top_words`` words.
@@ -43,6 +45,8 @@ from tidemark.llm._tokens import MIX_1, MIX_2, ODD, WordNames, in_chunks, list_c
 
 #: Average number of a set's prefix tokens in a group.
 PER_GROUP = 8
+#: Parts of the hash range in which a set's tokens are counted, and holders of a signature that are paired at once.
+SKETCH, FEW = 64, 4
 
 
 def words_of(raw: bytes | None) -> list[bytes]:
@@ -132,7 +136,7 @@ def set_profile(base: DataFrame, size: int, percent: int, top_words: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         namer = WordNames()
         for batch in in_chunks(batches, 1):
-            n, k1, k2, prefixes = [], [], [], []
+            n, k1, k2, prefixes, sketches = [], [], [], [], []
             for raw in batch.column(1).cast(pa.binary()).to_pylist():
                 words = namer.of(words_of(raw))
                 tokens = shingle_names(words, size)
@@ -140,6 +144,7 @@ def set_profile(base: DataFrame, size: int, percent: int, top_words: int) -> Dat
                 n.append(len(kinds))
                 k1.append(int(mix(kinds * MIX_1).sum(dtype=np.uint64)))
                 k2.append(int(mix(kinds * MIX_2 + ODD).sum(dtype=np.uint64)))
+                sketches.append(np.bincount((kinds >> np.uint64(58)).astype(np.int64), minlength=SKETCH).astype("<u2").tobytes() if len(kinds) < 65_536 else b"")
                 if len(words) < size:  # one shingle: only its equals link with it
                     prefixes.append(kinds[:0])
                     continue
@@ -153,12 +158,12 @@ def set_profile(base: DataFrame, size: int, percent: int, top_words: int) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(n, pa.int64()), long_column(np.array(k1, dtype=np.uint64)),
-                    long_column(np.array(k2, dtype=np.uint64)), list_column(prefixes, pa.int64()),
+                    long_column(np.array(k2, dtype=np.uint64)), list_column(prefixes, pa.int64()), pa.array(sketches, pa.binary()),
                 ],
-                ["row", "n", "k1", "k2", "prefix"],
+                ["row", "n", "k1", "k2", "prefix", "sketch"],
             )
 
-    return base.select("row", "text").mapInArrow(run, "row long, n long, k1 long, k2 long, prefix array<long>")
+    return base.select("row", "text").mapInArrow(run, "row long, n long, k1 long, k2 long, prefix array<long>, sketch binary")
 
 
 def signatures(held: DataFrame, percent: int, frequent: int) -> DataFrame:
@@ -172,12 +177,19 @@ def signatures(held: DataFrame, percent: int, frequent: int) -> DataFrame:
                 name = t.field("token").to_numpy(zero_copy_only=False).view(np.uint64)
                 times = t.field("times").to_numpy(zero_copy_only=False)
                 place = t.field("place").to_numpy(zero_copy_only=False)
-                found = [mix(name[times <= frequent])]
+                found, least = [], int(may_lack(n, percent)) + 1
                 for at in (own := level(n, percent), own + 1):
-                    groups = level_groups(at, percent)
-                    inside = (times > frequent) & (place < int(may_lack(n, percent)) + 1 + groups)
-                    many = np.sort(name[inside])
-                    group = mix(many) % np.uint64(groups)
+                    groups = np.uint64(level_groups(at, percent))
+                    # Only groups that the prefix reaches lengthen it, by one token each.
+                    often = times > frequent
+                    _, begin = np.unique(mix(name[often])[np.argsort(place[often])] % groups, return_index=True)
+                    begin = np.sort(np.sort(place[often])[begin])
+                    long = least
+                    while (longer := least + int(np.searchsorted(begin, long))) > long:
+                        long = longer
+                    found.append(mix(name[~often & (place < long)]))
+                    many = np.sort(name[often & (place < long)])
+                    group = mix(many) % groups
                     order = np.argsort(group, kind="stable")
                     many, group = many[order], group[order]
                     step = 1
@@ -203,13 +215,13 @@ def signatures(held: DataFrame, percent: int, frequent: int) -> DataFrame:
 
 def holders(profile: DataFrame, firsts: DataFrame, percent: int, frequent: int) -> DataFrame:
     """(sig, row, n): each different set of two or more holders once, under one of its signatures."""
-    exploded = profile.select("row", "n", F.posexplode("prefix").alias("place", "token"))
+    exploded = profile.select("row", F.posexplode("prefix").alias("place", "token"))
     counts = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     held = (
         exploded.join(counts, "token")
-        .groupBy("row", "n")
+        .groupBy("row")
         .agg(F.collect_list(F.struct("token", "place", "times")).alias("tokens"))
-        .join(firsts, "row", "left_semi")
+        .join(firsts, "row")
     )
     sigs = pin(signatures(held.select("row", "n", "tokens"), percent, frequent).distinct())
     part = lambda seed: F.sum(F.shiftright(F.xxhash64("row", F.lit(seed)), 20)).alias(f"s{seed}")
@@ -218,6 +230,26 @@ def holders(profile: DataFrame, firsts: DataFrame, percent: int, frequent: int)
     return sigs.join(kept, "sig", "left_semi")
 
 
+def possible(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets may share enough: in no part of the hash range can they share more than the smaller count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            known = np.array([bool(x and y) for x, y in zip(left, right)], dtype=bool)
+            if known.any():
+                read = lambda side: np.frombuffer(b"".join(x for x, k in zip(side, known) if k), dtype="<u2").reshape(-1, SKETCH)
+                most = np.minimum(read(left), read(right)).sum(axis=1, dtype=np.int64)
+                keep[known] = 100 * most >= percent * (n[known] + m[known] - most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    side = lambda row, *names: profile.select("row", "n", "sketch").toDF(row, *names)
+    both = pairs.join(side("a", "n", "left"), "a").join(side("b", "m", "right"), "b")
+    return both.select("a", "b", "n", "m", "left", "right").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts link."""
 
@@ -255,31 +287,35 @@ def least_labels(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_pairs(base: DataFrame, members: DataFrame, size: int, percent: int, rounds: int) -> DataFrame:
+def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: int, percent: int, rounds: int) -> DataFrame:
     """Links (a, b) that join all that is linked through the holders (sig, row, n) in ``members``."""
     spark = base.sparkSession
-    texts = pin(base.select("row", "text").join(members.select("row").distinct(), "row", "left_semi"))
     links = spark.createDataFrame([], "a long, b long")
     done = spark.createDataFrame([], "a long, b long")
     members = members.withColumn("label", F.col("row"))
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    fits = f"label != other AND 100 * least(n, m) >= {percent} * greatest(n, m)"
     for turn in range(rounds + 1):
         if members.isEmpty():
             break
-        if turn < rounds:
-            pivot = members.groupBy("sig").agg(F.min(F.struct("row", "n", "label")).alias("p"))
-            met = members.join(pivot.select("sig", "p.*").toDF("sig", "a", "m", "other"), "sig").filter("row != a")
-        else:
-            mate = members.toDF("sig", "a", "m", "other")
-            met = members.join(mate, "sig").filter("a < row")
-        pairs = met.filter(f"label != other AND {fits}").select("a", F.col("row").alias("b")).distinct()
-        pairs = pin(pairs.join(done, ["a", "b"], "left_anti"))
-        found = pin(verified(pairs, texts, size, percent))
+        last = turn == rounds
+        heads = members.groupBy("sig").agg(F.min(F.struct("row", "n", "label")).alias("p"), F.count(F.lit(1)).alias("size"))
+        few = heads if last else heads.filter(F.col("size") <= FEW)
+        some = members.join(few.select("sig"), "sig", "left_semi")
+        met = some.join(some.toDF("sig", "a", "m", "other"), "sig").filter("a < row").filter(fits).select("a", F.col("row").alias("b"))
+        if not last:
+            many = heads.filter(F.col("size") > FEW)
+            pivots = many.select("sig", "p.*").toDF("sig", "a", "m", "other")
+            met = met.union(members.join(pivots, "sig").filter("row != a").filter(fits).select("a", F.col("row").alias("b")))
+        pairs = pin(met.distinct().join(done, ["a", "b"], "left_anti"))
+        open_pairs = pin(possible(pairs, profile, percent))
+        rows = open_pairs.select("a").union(open_pairs.select("b")).distinct().toDF("row")
+        texts = pin(base.select("row", "text").join(rows, "row", "left_semi"))
+        found = pin(verified(open_pairs, texts, size, percent))
         done, links = done.union(pairs), links.union(found)
-        if turn == rounds:
+        if last:
             break
         labels = least_labels(links)
-        rest = members.join(pivot.select("sig", F.col("p.row").alias("a")), "sig").filter("row != a").select("sig", "row", "n")
+        rest = members.join(many.select("sig", F.col("p.row").alias("a")), "sig").filter("row != a").select("sig", "row", "n")
         rest = rest.join(labels, "row", "left").select("sig", "row", "n", F.coalesce("label", "row").alias("label"))
         apart = rest.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
         members = pin(rest.join(apart.select("sig"), "sig", "left_semi"))
@@ -287,7 +323,7 @@ def link_pairs(base: DataFrame, members: DataFrame, size: int, percent: int, rou
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 4, percent: int = 85, top_words: int = 65_536, frequent: int = 32, rounds: int = 3
+    docs: DataFrame, size: int = 4, percent: int = 85, top_words: int = 65_536, frequent: int = 32, rounds: int = 2
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     base = pin(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
@@ -298,9 +334,9 @@ def _components(base: DataFrame, size: int, percent: int, top_words: int, freque
     profile = pin(set_profile(base, size, percent, top_words))
     key = ["k1", "k2", "n"]
     sets = pin(profile.filter("n > 0").groupBy(*key).agg(F.min("row").alias("first")))
-    firsts = sets.select(F.col("first").alias("row"))
+    firsts = sets.select(F.col("first").alias("row"), "n")
     members = pin(holders(profile, firsts, percent, frequent))
-    links = link_pairs(base, members, size, percent, rounds)
+    links = link_pairs(base, profile, members, size, percent, rounds)
     labels = least_labels(links).toDF("first", "label")
     of = (
         base.select("row", "doc_id")
@@ -322,7 +358,7 @@ def _components(base: DataFrame, size: int, percent: int, top_words: int, freque
 
 
 def keep_one_of_each(
-    docs: DataFrame, size: int = 5, percent: int = 80, top_words: int = 65_536, frequent: int = 32, rounds: int = 3
+    docs: DataFrame, size: int = 5, percent: int = 80, top_words: int = 65_536, frequent: int = 32, rounds: int = 2
 ) -> DataFrame:
     """The rows of ``docs`` with the least doc_id of their group, with the columns of ``docs``."""
     marked = pin(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
