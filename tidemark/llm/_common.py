@@ -44,7 +44,7 @@ def pin(df: DataFrame) -> DataFrame:
     not a recomputation; it also fixes values that depend on how rows were dealt.
     """
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
