@@ -5,11 +5,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tidemark.llm.exact_dedup import drop_exact_copies, exact_dedup
 from tidemark.llm.mixing import mix_sources, repeat_to_targets
-from tidemark.llm.near_join import keep_one_of_each, level, level_groups, may_lack, near_duplicates
+from tidemark.llm.near_join import keep_one_of_each, level, level_groups, may_lack, near_duplicates, part_names
 from tidemark.llm.recompress import remove_repeats
 from tidemark.llm.suffixes import COVER, PERIOD, remove_repeated_bytes
 
@@ -111,6 +112,26 @@ def test_near_join_against_brute_force(docs, size, percent, frequent):
     assert got == components(texts, size, percent)
 
 
+def test_near_join_by_parts_alone(docs):
+    """Without pivot rounds all links come from the parts."""
+    texts = corpus(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(texts), 4, 85, 500, 2, 0).collect()}
+    assert got == components(texts, 4, 85)
+
+
+def test_linked_sets_share_a_part():
+    rng = np.random.default_rng(3)
+    for percent in (80, 85):
+        for n in (*range(1, 60), 200, 900):
+            a = rng.integers(1, 2**63, n).astype(np.uint64)
+            for m in {n, max(1, n - 1), -(-percent * n // 100)}:  # b has m tokens, as few of them in a as may be
+                shared = -(-percent * (n + m) // (100 + percent))
+                if shared > min(n, m):
+                    continue
+                b = np.concatenate([a[:shared], rng.integers(1, 2**63, m - shared).astype(np.uint64)])
+                assert np.intersect1d(part_names(np.sort(a), percent), part_names(np.sort(b), percent)).size
+
+
 def test_near_join_edges(docs):
     assert near_duplicates(docs([])).count() == 0
     texts = ["a b c d e f g h", "a b c d e f g h", None]

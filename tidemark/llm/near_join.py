@@ -20,10 +20,13 @@ Sets that are equal are one set from the start. Signatures with the same holders
 one signature. More than ``FEW`` holders of a signature are not paired with each other:
 in each of ``rounds`` rounds they are paired with one pivot, and pairs that are already
 linked through others are left out. Pairs whose sets cannot share enough, by counts over
-parts of the hash range, go first; the others are verified on the whole texts. Signatures whose
-holders still fall apart after that have their remaining pairs verified in one pass,
-so no link is lost. Components are found by passing on least labels with
-pointer jumps. Nothing is collected but the ``top_words`` words.
+parts of the hash range, go first; the others are verified on the whole texts. Documents whose
+signatures still fall apart after that hold passages that many hold. They are indexed again
+with longer combinations: their tokens are dealt by hash into more parts than two linked
+sets differ in tokens, so two linked sets have a part that is the same in both, and all
+tokens of a part are one signature. Their remaining pairs are verified in one pass, so no link
+is lost. Components are found by passing on least labels with pointer jumps. Nothing is
+collected but the ``top_words`` words.
 
 Defined results: a document without words has no shingles and links with nothing; its
 component is itself. Rows with equal sets of shingles form one group. A null doc_id
@@ -74,12 +77,17 @@ def level(n: int, percent: int) -> int:
     return at
 
 
-def level_groups(at: int, percent: int) -> int:
-    """G of a level, from the largest set on it."""
+def level_top(at: int, percent: int) -> int:
+    """Size of the largest set on a level."""
     low = 1
     for _ in range(at):
         low = 100 * low // percent + 1
-    return max(1, int(may_lack(100 * low // percent, percent)) // PER_GROUP)
+    return 100 * low // percent
+
+
+def level_groups(at: int, percent: int) -> int:
+    """G of a level, from the largest set on it."""
+    return max(1, int(may_lack(level_top(at, percent), percent)) // PER_GROUP)
 
 
 def word_counts(base: DataFrame) -> DataFrame:
@@ -224,12 +232,57 @@ def holders(profile: DataFrame, firsts: DataFrame, percent: int, frequent: int)
         .join(firsts, "row")
     )
     sigs = pin(signatures(held.select("row", "n", "tokens"), percent, frequent).distinct())
+    return one_of_each_set(sigs.withColumn("label", F.col("row")))
+
+
+def one_of_each_set(sigs: DataFrame) -> DataFrame:
+    """Those of (sig, row, n, label) whose holders have different labels, each set of holders under one signature."""
     part = lambda seed: F.sum(F.shiftright(F.xxhash64("row", F.lit(seed)), 20)).alias(f"s{seed}")
-    groups = sigs.groupBy("sig").agg(part(1), part(2), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    both = [F.min("label").alias("low"), F.max("label").alias("high")]
+    groups = sigs.groupBy("sig").agg(part(1), part(2), F.count(F.lit(1)).alias("size"), *both).filter("low != high")
     kept = groups.groupBy("s1", "s2", "size").agg(F.min("sig").alias("sig")).select("sig")
     return sigs.join(kept, "sig", "left_semi")
 
 
+def part_names(kinds: np.ndarray, percent: int) -> np.ndarray:
+    """Names of the parts of a set of tokens; of two linked sets at least one is the same.
+
+    Sets that link differ in at most ``most`` tokens, so of ``count`` parts ``count - most``
+    are equal. Empty parts only count for a set that has as many.
+    """
+    found, own = [], level(len(kinds), percent)
+    for at in (own, own + 1):
+        most = level_top(at, percent) * (100 - percent) // percent
+        count = most + most // 10 + 3
+        part = (mix(kinds ^ ODD) % np.uint64(count)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        full, begin = np.unique(part[order], return_index=True)
+        sums = np.zeros(count, dtype=np.uint64)
+        sums[full] = np.add.reduceat(mix(kinds[order] * MIX_2), begin)
+        names = mix((sums * ODD + np.arange(count, dtype=np.uint64)) * MIX_1 + np.uint64(at + 1))
+        found.append(names if count - len(full) >= count - most else names[full])
+    return np.concatenate(found)
+
+
+def part_signatures(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(sig, row, n, label) for the parts of every row of ``texts`` (row, label, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        namer = WordNames()
+        for batch in in_chunks(batches, 2):
+            sets = [np.unique(shingle_names(namer.of(words_of(raw)), size)) for raw in batch.column(2).cast(pa.binary()).to_pylist()]
+            out = [part_names(x, percent) for x in sets]
+            times = [len(x) for x in out]
+            spread = lambda values: pa.array(np.repeat(values, times), pa.int64())
+            row, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [long_column(np.concatenate(out)), spread(row), spread(np.array([len(x) for x in sets])), spread(label)],
+                ["sig", "row", "n", "label"],
+            )
+
+    return texts.mapInArrow(run, "sig long, row long, n long, label long")
+
+
 def possible(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets may share enough: in no part of the hash range can they share more than the smaller count."""
 
@@ -292,12 +345,15 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
     spark = base.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     done = spark.createDataFrame([], "a long, b long")
-    members = members.withColumn("label", F.col("row"))
     fits = f"label != other AND 100 * least(n, m) >= {percent} * greatest(n, m)"
     for turn in range(rounds + 1):
         if members.isEmpty():
             break
         last = turn == rounds
+        if last:
+            rows = members.select("row", "label").distinct()
+            texts = base.join(rows, "row").select("row", "label", "text")
+            members = pin(one_of_each_set(pin(part_signatures(texts, size, percent))))
         heads = members.groupBy("sig").agg(F.min(F.struct("row", "n", "label")).alias("p"), F.count(F.lit(1)).alias("size"))
         few = heads if last else heads.filter(F.col("size") <= FEW)
         some = members.join(few.select("sig"), "sig", "left_semi")
