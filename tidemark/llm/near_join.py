@@ -24,8 +24,9 @@ parts of the hash range, go first; the others are verified on the whole texts. D
 signatures still fall apart after that hold passages that many hold. They are indexed again
 with longer combinations: their tokens are dealt by hash into more parts than two linked
 sets differ in tokens, so two linked sets have a part that is the same in both, and all
-tokens of a part are one signature. Their remaining pairs are verified in one pass, so no link
-is lost. Components are found by passing on least labels with pointer jumps. Nothing is
+tokens of a part are one signature. A part with more than ``CROWD`` holders is not paired;
+its holders are indexed by the single tokens that are rarest among them, by count, and meet
+only where what follows in both is enough for a link. The remaining pairs are verified in one pass, so no link is lost. Components are found by passing on least labels with pointer jumps. Nothing is
 collected but the ``top_words`` words.
 
 Defined results: a document without words has no shingles and links with nothing; its
@@ -40,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import pin
@@ -50,6 +51,8 @@ from tidemark.llm._tokens import MIX_1, MIX_2, ODD, WordNames, in_chunks, list_c
 PER_GROUP = 8
 #: Parts of the hash range in which a set's tokens are counted, and holders of a signature that are paired at once.
 SKETCH, FEW = 64, 4
+#: Holders of a part that are paired at once.
+CROWD = 16
 
 
 def words_of(raw: bytes | None) -> list[bytes]:
@@ -283,6 +286,38 @@ def part_signatures(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return texts.mapInArrow(run, "sig long, row long, n long, label long")
 
 
+def token_signatures(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(sig, row, n, label, place): of each row of ``texts`` (row, label, text) the tokens that are rarest among these rows.
+
+    A set may lack ``e`` of its tokens in a partner, so linked sets share one of the first ``e + 1`` in a common order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        namer = WordNames()
+        for batch in in_chunks(batches, 2):
+            sets = [np.unique(shingle_names(namer.of(words_of(raw)), size)) for raw in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_column(sets, pa.int64())], ["row", "label", "tokens"])
+
+    sets = pin(texts.mapInArrow(run, "row long, label long, tokens array<long>"))
+    each = sets.select("row", "label", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("sig"))
+    counts = each.groupBy("sig").agg(F.count(F.lit(1)).alias("times"))
+    place = F.row_number().over(Window.partitionBy("row").orderBy("times", "sig"))
+    lack = F.expr(f"n - ({percent} * n + 99) div 100")
+    first = each.join(counts, "sig").withColumn("place", place).filter(F.col("place") <= lack + 1)
+    return first.filter("times > 1").select("sig", "row", "n", "label", (F.col("place") - 1).alias("place"))
+
+
+def open_signatures(base: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(sig, row, n, label, place) under which all pairs of the rows of ``members`` that link and differ in label meet."""
+    texts = lambda held: base.join(held.select("row", "label").distinct(), "row").select("row", "label", "text")
+    parts = pin(one_of_each_set(pin(part_signatures(texts(members), size, percent))))
+    sizes = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+    small, large = sizes.filter(F.col("size") <= CROWD), sizes.filter(F.col("size") > CROWD)
+    crowd = token_signatures(texts(parts.join(large, "sig", "left_semi")), size, percent)
+    few = parts.join(small, "sig", "left_semi").select("sig", "row", "n", "label", F.lit(0).alias("place"))
+    return few.union(crowd)
+
+
 def possible(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets may share enough: in no part of the hash range can they share more than the smaller count."""
 
@@ -345,19 +380,20 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
     spark = base.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     done = spark.createDataFrame([], "a long, b long")
+    members = members.select("sig", "row", "n", "label", F.lit(0).alias("place"))
+    # All that two sets can share from their first shared token on is what is left of the shorter one.
+    meets = f"a < row AND label != other AND {100 + percent} * least(n - place, m - at) >= {percent} * (n + m)"
     fits = f"label != other AND 100 * least(n, m) >= {percent} * greatest(n, m)"
     for turn in range(rounds + 1):
         if members.isEmpty():
             break
         last = turn == rounds
         if last:
-            rows = members.select("row", "label").distinct()
-            texts = base.join(rows, "row").select("row", "label", "text")
-            members = pin(one_of_each_set(pin(part_signatures(texts, size, percent))))
+            members = pin(open_signatures(base, members, size, percent))
         heads = members.groupBy("sig").agg(F.min(F.struct("row", "n", "label")).alias("p"), F.count(F.lit(1)).alias("size"))
         few = heads if last else heads.filter(F.col("size") <= FEW)
         some = members.join(few.select("sig"), "sig", "left_semi")
-        met = some.join(some.toDF("sig", "a", "m", "other"), "sig").filter("a < row").filter(fits).select("a", F.col("row").alias("b"))
+        met = some.join(some.toDF("sig", "a", "m", "other", "at"), "sig").filter(meets).select("a", F.col("row").alias("b"))
         if not last:
             many = heads.filter(F.col("size") > FEW)
             pivots = many.select("sig", "p.*").toDF("sig", "a", "m", "other")
@@ -372,7 +408,7 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
             break
         labels = least_labels(links)
         rest = members.join(many.select("sig", F.col("p.row").alias("a")), "sig").filter("row != a").select("sig", "row", "n")
-        rest = rest.join(labels, "row", "left").select("sig", "row", "n", F.coalesce("label", "row").alias("label"))
+        rest = rest.join(labels, "row", "left").select("sig", "row", "n", F.coalesce("label", "row").alias("label"), F.lit(0).alias("place"))
         apart = rest.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
         members = pin(rest.join(apart.select("sig"), "sig", "left_semi"))
     return links
