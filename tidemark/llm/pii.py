@@ -8,12 +8,15 @@ be ordinary text). Its potentials are
 * a chain potential between tokens next to each other,
 * a skip potential between repeated or similar tokens of the same text, however far
   apart: tokens with the same last seven digits, or the same mail name or host. The
-  occurrences of a key are linked each to the next, so links grow with the tokens.
+  occurrences of a key are linked each to the next, and each to the nearest one
+  before and after it that a base span holds, so links grow with the tokens.
 
-Tokens under a base span are held at its kind. Loopy sum-product message passing
-runs over all links of all texts of an Arrow batch at once; a token whose marginal
-for a kind reaches ``threshold`` becomes an added span. So a number that a base
-pattern caught in one place is caught in the other places, whatever its spelling.
+Tokens under a base span are held at its kind, so their evidence comes to every
+other occurrence over one link. Loopy sum-product message passing runs over all
+links of all texts of an Arrow batch at once, for each text until its messages stop
+changing; a token whose marginal for a kind reaches ``threshold`` becomes an added
+span. So a number that a base pattern caught in one place is caught in the other
+places, whatever its spelling.
 
 Node, chain and skip weights are trained on the driver by pseudo-likelihood on
 labelled sentences made by rule (``training_texts``; their number is a parameter).
@@ -174,7 +177,7 @@ class Nodes:
         self.skip: list[tuple[int, int]] = []
 
     def read(self, number: int, text: str, base: list[tuple[int, int, int]]) -> None:
-        last: dict[str, int] = {}
+        holders: dict[str, list[int]] = {}
         before, before_node, b = "", -1, 0
         digits_before = False
         for m in TOKEN.finditer(text):
@@ -197,10 +200,17 @@ class Nodes:
             if before_node >= 0:
                 self.chain.append((before_node, node))
             for key in keys(token):
-                if key in last:
-                    self.skip.append((last[key], node))
-                last[key] = node
+                holders.setdefault(key, []).append(node)
             before, before_node, digits_before = token, node, True
+        for nodes in holders.values():
+            self.skip += zip(nodes, nodes[1:])
+            for way in (nodes, nodes[::-1]):
+                near = -1  # the last held node, where the next link does not come from it
+                for previous, node in zip(way, way[1:]):
+                    if self.held[previous] >= 0:
+                        near = previous
+                    if near >= 0 and near != previous and self.held[node] < 0:
+                        self.skip.append((near, node))
 
 
 class SkipChain:
@@ -220,8 +230,14 @@ class SkipChain:
             scores[rows, kind] = 0.0
         return scores
 
-    def marginals(self, nodes: Nodes, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-        """Loopy sum-product over all links at once."""
+    def marginals(
+        self, nodes: Nodes, rounds: int | None = None, damping: float = 0.3, settled: float = 1e-6
+    ) -> np.ndarray:
+        """Loopy sum-product over all links at once, for each text until no message changes by ``settled``.
+
+        The damping of texts whose messages go on changing grows every 200 rounds, so every
+        text ends, in rounds that do not grow with it. ``rounds`` stops earlier.
+        """
         scores = self.node_scores(nodes.shapes, nodes.held)
         links = nodes.chain + nodes.skip
         if links:
@@ -231,18 +247,32 @@ class SkipChain:
             )
             source, target = np.concatenate([a, b]), np.concatenate([b, a])
             table = np.concatenate([table, table.transpose(0, 2, 1)])
-            back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-            messages = np.zeros((2 * len(a), NONE + 1))
-            for _ in range(rounds):
-                belief = scores.copy()
-                np.add.at(belief, target, messages)
-                out = (belief[source] - messages[back])[:, :, None] + table
+            text = np.array([s[0] for s in nodes.spans])[source]
+            done = np.zeros((2 * len(a), NONE + 1))
+            live, messages, turn = np.arange(2 * len(a)), done.copy(), 0
+            used, ends = np.unique(np.concatenate([source, target]), return_inverse=True)
+            while len(live) and turn != rounds:
+                half = len(live) // 2  # the second half holds the same links the other way
+                back = np.concatenate([np.arange(half) + half, np.arange(half)])
+                belief = scores[used]
+                np.add.at(belief, ends[2 * half :], messages)
+                out = (belief[ends[: 2 * half]] - messages[back])[:, :, None] + table[live]
                 top = out.max(axis=1, keepdims=True)
                 fresh = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
                 fresh -= fresh.max(axis=1, keepdims=True)
-                messages = damping * messages + (1 - damping) * fresh
+                keep = 1 - (1 - damping) * 0.5 ** (turn // 200)
+                fresh = keep * messages + (1 - keep) * fresh
+                moved = np.zeros(nodes.spans[-1][0] + 1)
+                np.maximum.at(moved, text[live], np.abs(fresh - messages).max(axis=1))
+                messages, turn = fresh, turn + 1
+                on = moved[text[live]] >= settled
+                if not on.all():
+                    done[live] = messages
+                    live, messages = live[on], messages[on]
+                    used, ends = np.unique(np.concatenate([source[live], target[live]]), return_inverse=True)
+            done[live] = messages
             scores = scores.copy()
-            np.add.at(scores, target, messages)
+            np.add.at(scores, target, done)
         p = np.exp(scores - scores.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
