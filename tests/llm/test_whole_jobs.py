@@ -1,6 +1,9 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
+
 from tidemark.llm import pii
+from tidemark.llm.exact_dedup import drop_exact_copies
 
 
 def test_far_repeats_of_personal_data_are_found():
@@ -16,3 +19,31 @@ def test_texts_are_judged_alike_in_any_batch():
     field = pii.train(200, 40)
     texts = ["call 212-555-0100 12 4 and 2125550100", "5550100 or " * 40 + "+1 (212) 555-0100", "page 12 of 14"]
     assert pii.find_spans(texts, field, 0.9) == [pii.find_spans([t], field, 0.9)[0] for t in texts]
+
+
+def test_exact_copies_are_dropped_by_row(spark, docs):
+    # Three copies with null ids; an id on two texts, one of which is a copy of a larger id; an id on two other texts.
+    texts = ["n", "N", "n", "x", "y", "X", "p", "q", "q"]
+    ids = [None, None, None, 1, 1, 5, 7, 7, 7]
+    table = docs(texts, ids=ids)
+    kept = drop_exact_copies(table)
+    assert kept.columns == table.columns
+    got = sorted(((r.doc_id or 0, r.text.lower()) for r in kept.collect()))
+    best = {}
+    for i, t in zip(ids, texts):
+        best[t.lower()] = max(best.get(t.lower(), 0), i or 0)
+    assert got == sorted((i, t) for t, i in best.items())
+
+
+def test_exact_stage_of_the_pipeline_against_brute_force(spark, docs):
+    import corpus_pipeline
+
+    r = random.Random(5)
+    texts = [r.choice("abcdefghijKLMN") * r.randint(1, 3) for _ in range(300)]
+    ids = [r.choice([None, r.randint(0, 40)]) for _ in texts]
+    stage = dict(corpus_pipeline.STAGES)["exact dedup"]
+    best = {}
+    for i, t in zip(ids, texts):
+        best[t.lower()] = max(best.get(t.lower(), -1), -1 if i is None else i)
+    got = [(-1 if x.doc_id is None else x.doc_id, x.text.lower()) for x in stage(spark, docs(texts, ids=ids), "").collect()]
+    assert sorted(got) == sorted((i, t) for t, i in best.items())

@@ -29,14 +29,14 @@ from tidemark.llm._common import lower_ascii, pin
 KEY = ["sha", "n_bytes", "xx"]
 
 
-def digest_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, run, sha, n_bytes, xx), each run sorted by digest, written once."""
+def digest_runs(numbered: DataFrame) -> DataFrame:
+    """(doc_id, row, run, sha, n_bytes, xx) of (doc_id, text, row), each run sorted by digest, written once."""
     text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
     return pin(
-        docs.select("doc_id", text.alias("norm"))
+        numbered.select("doc_id", "row", text.alias("norm"))
         .select(
             "doc_id",
-            F.monotonically_increasing_id().alias("row"),
+            "row",
             F.spark_partition_id().alias("run"),
             F.unhex(F.sha2("norm", 256)).alias("sha"),
             F.octet_length("norm").alias("n_bytes"),
@@ -76,14 +76,12 @@ def tree_merge(
     return decided
 
 
-def exact_dedup(docs: DataFrame, bits: int = 3) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are compared after lower-casing A-Z; the largest doc_id of a group stays.
-    """
-    runs = digest_runs(docs)
+def _decisions(numbered: DataFrame, bits: int) -> DataFrame:
+    """row, doc_id, keep_id, group_size, kept, text_sha256 of each row of (doc_id, text, row)."""
+    runs = digest_runs(numbered)
     decided = tree_merge(runs, KEY, bits, F.struct("doc_id", "row"), F.max)
     return runs.join(decided, ["run", *KEY]).select(
+        "row",
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         F.col("copies").cast("long").alias("group_size"),
@@ -92,16 +90,22 @@ def exact_dedup(docs: DataFrame, bits: int = 3) -> DataFrame:
     )
 
 
+def exact_dedup(docs: DataFrame, bits: int = 3) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are compared after lower-casing A-Z; the largest doc_id of a group stays.
+    """
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    return _decisions(numbered, bits).drop("row")
+
+
 def drop_exact_copies(docs: DataFrame, bits: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``.
 
-    A row with a null doc_id has no identity to drop it by and stays; of whole
-    repeated rows one stays.
+    Rows are pinned with a number and dropped by it, so null and repeated doc_ids
+    are decided like any other: one row of each text stays.
     """
-    dropped = exact_dedup(docs, bits).filter(~F.col("kept")).select(F.col("doc_id").alias("_drop"), F.col("keep_id").alias("_keep"))
-    again = dropped.filter("_drop = _keep").select("_drop").distinct()
-    gone = dropped.filter("_drop != _keep").select("_drop").distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_drop"], "left_anti")
-    twice = left.join(again, left["doc_id"] == again["_drop"], "left_semi").dropDuplicates(["doc_id"])
-    once = left.join(again, left["doc_id"] == again["_drop"], "left_anti")
-    return once.unionByName(twice)
+    marked = pin(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    numbered = marked.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), "row")
+    kept = _decisions(numbered, bits).filter("kept").select("row")
+    return marked.join(kept, "row", "left_semi").select("doc.*")
