@@ -1,9 +1,13 @@
 """Cases in which an operator once did less than the whole job."""
 
 import random
+from collections import Counter
 
-from tidemark.llm import pii
+import duckdb
+
+from tidemark.llm import mixing, pii
 from tidemark.llm.exact_dedup import drop_exact_copies
+from tidemark.llm.queries import ORACLE_SQL
 
 
 def test_far_repeats_of_personal_data_are_found():
@@ -47,3 +51,22 @@ def test_exact_stage_of_the_pipeline_against_brute_force(spark, docs):
         best[t.lower()] = max(best.get(t.lower(), -1), -1 if i is None else i)
     got = [(-1 if x.doc_id is None else x.doc_id, x.text.lower()) for x in stage(spark, docs(texts, ids=ids), "").collect()]
     assert sorted(got) == sorted((i, t) for t, i in best.items())
+
+
+def test_mixing_of_null_and_repeated_ids_against_sql(spark, docs):
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 9))) for _ in range(900)]
+    ids = [r.choice([None, 7, i, i]) for i in range(900)]
+    sources = [r.choice(["a", "a", "b", None]) for _ in texts]
+    table = docs(texts, sources, ids)
+    documents = table.select("doc_id", "source", "text").toPandas().astype({"doc_id": "Int64"})  # noqa: F841
+    want = duckdb.sql(ORACLE_SQL["op5_source_mixing"]).fetchall()
+    order = lambda rows: sorted([tuple(x) for x in rows], key=str)
+    assert order(mixing.mix_sources(table).collect()) == order(want)
+    sized = mixing.sized_rows(table.select("doc_id", "source", "text"), 17)
+    in_parts = mixing._take(sized, (3, 1, 2), 1.5, 2.0, 10, crowd=20).drop("row")
+    assert order(in_parts.collect()) == order(want)
+    pieces_of, _ = mixing.in_pieces(sized, 10, crowd=20)
+    assert pieces_of.groupBy("source", *mixing.PIECE).count().agg({"count": "max"}).first()[0] <= 60
+    again = [Counter(x.text for x in mixing.repeat_to_targets(t).collect()) for t in (table, table.repartition(7))]
+    assert again[0] == again[1]

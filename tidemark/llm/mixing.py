@@ -2,15 +2,17 @@
 
 Every document gets a hash-random key. Within a source, documents are ordered by
 that key; the key's top bits cut the order into ranges of equal width, so a source
-with a third of all rows is sorted in many pieces. Prefix sums are made in two
-steps: the sizes of the ranges before (one row per source and range), then a
-running sum inside the range. A source's budget is its target in whole words:
+with a third of all rows is sorted in many pieces. Null doc_ids have no key and come
+last. A range that holds far more rows than its source's others, as null or repeated
+doc_ids make it, is cut further by key, doc_id, size and a hash of the text. Prefix
+sums are made in two steps: the sizes of the pieces before (one row per piece), then
+a running sum inside the piece. A source's budget is its target in whole words:
 whole epochs take every document, and the rest of the budget is cut exactly where
 the prefix sum reaches it.
 
 Defined results: a null text has size 0; sources are ordered by code point with
 null last, and null is a source like any other. Rows with equal keys (repeated
-doc_ids) are ordered by doc_id, size and a pinned row number. With no words at all
+doc_ids) are ordered by doc_id, size, text hash and a pinned row number. With no words at all
 every target is 0. An empty table gives an empty result; extra columns are ignored.
 """
 
@@ -26,8 +28,8 @@ KEY_BITS = 60
 
 
 def random_key(doc_id: Column, seed: int) -> Column:
-    """60 uniform bits that depend on the document and the seed only."""
-    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}"))
+    """60 uniform bits that depend on the document and the seed only; null for a null doc_id."""
+    name = F.concat(doc_id.cast("string"), F.lit(f":{seed}"))
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
@@ -58,13 +60,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cei
 
 
 def sized_rows(docs: DataFrame, seed: int) -> DataFrame:
-    """(doc_id, source, size, key, row), written once so that keys and rows stay as they are."""
+    """(doc_id, source, size, key, tie, row), written once so that keys and rows stay as they are."""
     return pin(
         docs.select(
             "doc_id",
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             random_key(F.col("doc_id"), seed).alias("key"),
+            F.xxhash64("text").alias("tie"),
             (F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()).alias("row"),
         )
     )
@@ -104,24 +107,56 @@ def repeat_to_targets(
     return rows.select("doc", F.explode(F.expr("sequence(1, times)"))).select("doc.*")
 
 
-def _take(sized: DataFrame, weights: tuple[int, ...], share: float, ceiling: float, range_bits: int) -> DataFrame:
-    sized = sized.withColumn("range", F.shiftright("key", KEY_BITS - range_bits))
-    ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("size"))
+PIECE = ["range", "part"]
+
+
+def in_pieces(sized: DataFrame, range_bits: int, crowd: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """(``sized`` with range and part, the sizes of (source, range)).
+
+    Ranges and parts sort as the rows do. A part is null but in ranges of more than
+    ``crowd`` rows over four times the mean of their source.
+    """
+    sized = sized.withColumn("range", F.coalesce(F.shiftright("key", KEY_BITS - range_bits), F.lit(1 << range_bits).cast("long")))
+    ranges = pin(sized.groupBy("source", "range").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")))
+    mean = F.sum("rows").over(W.partitionBy("source")) / F.lit(1 << range_bits)
+    crowded = ranges.withColumn("mean", mean).filter(F.col("rows") > crowd + 4 * F.col("mean"))
+    crowded = pin(crowded.select(F.col("source").alias("c_source"), F.col("range").alias("c_range")))
+    part = F.struct("key", "doc_id", "size", F.shiftright("tie", 54).alias("tie"))
+    if crowded.isEmpty():
+        return sized.withColumn("part", F.when(F.lit(False), part)), ranges
+    on = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("range") == F.col("c_range"))
+    sized = sized.join(F.broadcast(crowded), on, "left").withColumn("part", F.when(F.col("c_range").isNotNull(), part))
+    return sized.drop("c_source", "c_range"), ranges
+
+
+def _take(
+    sized: DataFrame, weights: tuple[int, ...], share: float, ceiling: float, range_bits: int, crowd: int = 100_000
+) -> DataFrame:
+    sized, ranges = in_pieces(sized, range_bits, crowd)
+    pieces = sized.groupBy("source", *PIECE).agg(F.sum("size").alias("size"))
     ahead = F.coalesce(
-        F.sum("size").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+        F.sum("size").over(W.partitionBy("source").orderBy(*PIECE).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
     )
-    offsets = ranges.select("source", "range", ahead.alias("ahead"))
+    offsets = pieces.select("source", *PIECE, ahead.alias("ahead"))
     targets = source_targets(ranges, weights, share, ceiling)
     o, t = offsets.alias("o"), targets.alias("t")
     plan = o.join(t, F.col("o.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("o.source").alias("p_source"), F.col("o.range").alias("p_range"), "ahead", "source_size", "target"
+        F.col("o.source").alias("p_source"),
+        F.col("o.range").alias("p_range"),
+        F.col("o.part").alias("p_part"),
+        "ahead",
+        "source_size",
+        "target",
     )
-    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "size", "row")
+    inside = W.partitionBy("source", *PIECE).orderBy("key", "doc_id", "size", "tie", "row")
     placed = sized.withColumn(
         "within", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     )
     both = placed.join(
-        plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("range") == F.col("p_range"))
+        plan,
+        F.col("source").eqNullSafe(F.col("p_source"))
+        & (F.col("range") == F.col("p_range"))
+        & F.col("part").eqNullSafe(F.col("p_part")),
     )
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
