@@ -1,11 +1,13 @@
 """Cases in which an operator once did less than the whole job."""
 
+import hashlib
 import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 
-from tidemark.llm import mixing, pii
+from tidemark.llm import mixing, pieces, pii
 from tidemark.llm.exact_dedup import drop_exact_copies
 from tidemark.llm.queries import ORACLE_SQL
 
@@ -53,6 +55,19 @@ def test_exact_stage_of_the_pipeline_against_brute_force(spark, docs):
     assert sorted(got) == sorted((i, t) for t, i in best.items())
 
 
+def test_all_segmentations_are_returned_and_decoded(docs):
+    texts = ["the cat sat on the mat", "naïve Ω▁x", None, "zzq  zz"]
+    encoder = pieces.Encoder(pieces.Pieces.load(pieces.MODEL), 4, 1000)
+    short = {r.doc_id: r for r in pieces.summarise(docs(texts)).collect()}
+    long = {r.doc_id: r for r in pieces.encode_documents(docs(texts)).collect()}
+    for i, text in enumerate(texts):
+        found = encoder.encode(text)
+        assert short[i].round_trip and long[i].round_trip
+        assert short[i].all_sha256 == [hashlib.sha256(x).hexdigest() for _, x in found]
+        assert short[i].weights == [round(w, 6) for w, _ in found] and len(found) == short[i].n_found
+        assert [np.array(x, dtype="<i4").tobytes() for x in long[i].all_ids] == [x for _, x in found]
+
+
 def test_mixing_of_null_and_repeated_ids_against_sql(spark, docs):
     r = random.Random(6)
     texts = [" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 9))) for _ in range(900)]

@@ -207,7 +207,7 @@ class Encoder:
 
     def decode(self, ids: bytes) -> str:
         table = self.bytes_of
-        text = b"".join([table[i] for i in np.frombuffer(ids, dtype="<i4").tolist()]).decode("utf-8", "surrogatepass")
+        text = b"".join(map(table.__getitem__, np.frombuffer(ids, dtype="<i4").tolist())).decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -220,35 +220,38 @@ def _encoder(spark: SparkSession, model: str, n_best: int, cache_size: int):
 def encode_documents(
     docs: DataFrame, model: str = MODEL, n_best: int = 4, cache_size: int = 250_000
 ) -> DataFrame:
-    """One row per document: doc_id, ids (best segmentation), weights (of the N best), round_trip."""
+    """One row per document: doc_id, ids (best segmentation), weights and all_ids (of the N best), round_trip (of each of them)."""
     make = _encoder(docs.sparkSession, model, n_best, cache_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make()
         for batch in batches:
-            ids, weights, same = [], [], []
+            ids, every, weights, same = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = encoder.encode(text)
-                ids.append(np.frombuffer(found[0][1], dtype="<i4"))
+                every.append([np.frombuffer(x, dtype="<i4") for _, x in found])
+                ids.append(every[-1][0])
                 weights.append([w for w, _ in found])
-                same.append(all(encoder.decode(x) == (text or "") for _, x in found[:1]))
+                same.append(all([encoder.decode(x) == (text or "") for _, x in found]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(ids, pa.list_(pa.int32())),
                     pa.array(weights, pa.list_(pa.float64())),
                     pa.array(same, pa.bool_()),
+                    pa.array(every, pa.list_(pa.list_(pa.int32()))),
                 ],
-                ["doc_id", "ids", "weights", "round_trip"],
+                ["doc_id", "ids", "weights", "round_trip", "all_ids"],
             )
 
     picked = docs.select("doc_id", "text")
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"doc_id {kind}, ids array<int>, weights array<double>, round_trip boolean")
+    schema = f"doc_id {kind}, ids array<int>, weights array<double>, round_trip boolean, all_ids array<array<int>>"
+    return picked.mapInArrow(run, schema)
 
 
 def summarise(docs: DataFrame, model: str = MODEL, n_best: int = 4, cache_size: int = 250_000) -> DataFrame:
-    """``encode_documents`` with the ids as a digest: doc_id, n_pieces, ids_sha256, best, runner_up, n_found, round_trip."""
+    """``encode_documents`` with the ids as digests: doc_id, n_pieces, ids_sha256, best, runner_up, n_found, round_trip, weights, all_sha256."""
     make = _encoder(docs.sparkSession, model, n_best, cache_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,27 +260,32 @@ def summarise(docs: DataFrame, model: str = MODEL, n_best: int = 4, cache_size:
             rows = []
             for text in batch.column(1).to_pylist():
                 found = encoder.encode(text)
-                best = found[0][1]
+                digests = [hashlib.sha256(x).hexdigest() for _, x in found]
                 rows.append(
                     (
-                        len(best) // 4,
-                        hashlib.sha256(best).hexdigest(),
+                        len(found[0][1]) // 4,
+                        digests[0],
                         round(found[0][0], 6),
                         round(found[1][0], 6) if len(found) > 1 else None,
                         len(found),
-                        encoder.decode(best) == (text or ""),
+                        all([encoder.decode(x) == (text or "") for _, x in found]),
+                        [round(w, 6) for w, _ in found],
+                        digests,
                     )
                 )
-            kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
+            kinds = (
+                pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.float64()), pa.list_(pa.string())
+            )
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *columns],
-                ["doc_id", "n_pieces", "ids_sha256", "best", "runner_up", "n_found", "round_trip"],
+                ["doc_id", "n_pieces", "ids_sha256", "best", "runner_up", "n_found", "round_trip", "weights", "all_sha256"],
             )
 
     picked = docs.select("doc_id", "text")
     kind = picked.schema["doc_id"].dataType.simpleString()
     return picked.mapInArrow(
         run,
-        f"doc_id {kind}, n_pieces long, ids_sha256 string, best double, runner_up double, n_found long, round_trip boolean",
+        f"doc_id {kind}, n_pieces long, ids_sha256 string, best double, runner_up double, n_found long, round_trip boolean, "
+        "weights array<double>, all_sha256 array<string>",
     )
