@@ -6,8 +6,10 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, pieces, pii
+from tidemark.llm import mixing, pieces, pii, suffixes
+from tidemark.llm._common import pin
 from tidemark.llm.exact_dedup import drop_exact_copies
 from tidemark.llm.queries import ORACLE_SQL
 
@@ -85,3 +87,21 @@ def test_mixing_of_null_and_repeated_ids_against_sql(spark, docs):
     assert pieces_of.groupBy("source", *mixing.PIECE).count().agg({"count": "max"}).first()[0] <= 60
     again = [Counter(x.text for x in mixing.repeat_to_targets(t).collect()) for t in (table, table.repartition(7))]
     assert again[0] == again[1]
+
+
+def test_crowded_ranks_are_not_held_in_a_task(docs):
+    r = random.Random(8)
+    own = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = own(260)
+    table = docs([own(r.randint(0, 50)) + passage + own(r.randint(0, 50)) for _ in range(400)])
+    numbered = table.select(F.col("doc_id").alias("row"), "text")
+    grams = suffixes.byte_profile(numbered, 200).select("row", F.concat("grams", "twice").alias("found"))
+    sampled = pin(suffixes.sampled_tuples(numbered.join(grams, "row").select("row", "text", "found"), 200))
+    assert suffixes.crowded_ranks(sampled, 50, 1).count() > 10
+    plain, split = (
+        {(x["head"], x["name"], bytes(x["around"]), x["shifts"]) for x in suffixes.split_all(sampled, 200, c).collect()}
+        for c in (10**9, 64)
+    )
+    assert plain and plain == split
+    plain, split = ({tuple(x) for x in suffixes.remove_repeated_bytes(table, 200, crowd=c).collect()} for c in (10**9, 64))
+    assert plain == split and all(x[2] >= 260 for x in split)

@@ -24,7 +24,9 @@ least hash depends on the string alone, so equal strings have the same, and one
 is least at no other place of all texts rules its strings out. Spark counts them.
 
 Before ranks are split, tuples with equal bytes around them are pre-aggregated, so
-a passage in a third of all rows is a few tuples with counts.
+a passage in a third of all rows is a few tuples with counts, but for the ends of the
+passage, where each row has bytes of its own around it. Ranks with very many holders
+are therefore not split in one task each: Spark counts their strings, shift by shift.
 
 Defined results: a null text has no bytes. Texts shorter than ``length`` lose
 nothing. Repeated rows count as copies of each other. An empty table gives an empty
@@ -225,27 +227,72 @@ def sampled_tuples(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "head long, name long, around binary, row long, at int")
 
 
+def shift_keys(rank: np.ndarray, around: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shift, tuples that have a string at this shift, 64-bit names of those strings)."""
+    side = PERIOD - 1
+    before, after = around[:, 0].astype(int), around[:, 1].astype(int)
+    # Names of what follows, by length, and of what comes before, grown by one byte for each shift.
+    follow = np.zeros((side + 1, len(rank)), dtype=np.uint64)
+    for i in range(side):
+        follow[i + 1] = mix(follow[i] * ODD + around[:, 2 + side + i] + np.uint64(1))
+    lead = mix(rank)
+    for shift in range(side + 1):
+        if shift:
+            lead = mix(lead * MIX_1 + around[:, 1 + shift] + np.uint64(1))
+        can = np.flatnonzero((before >= shift) & (after >= side - shift))
+        yield shift, can, mix(lead[can] ^ (follow[side - shift][can] * ODD))
+
+
+def rank_arrays(data: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(name of the rank, bytes around) of each tuple."""
+    head, name = (data.column(c).to_numpy().view(np.uint64) for c in ("head", "name"))
+    around = np.frombuffer(b"".join(data.column("around").to_pylist()), dtype=np.uint8).reshape(len(head), -1)
+    return mix(head * ODD + name), around
+
+
+def crowded_ranks(sampled: DataFrame, crowd: int, part: int = 64) -> DataFrame:
+    """(head, name) of the ranks with about ``crowd`` holders or more, estimated on one in ``part`` of them.
+
+    Either way of splitting is exact, so the estimate bears on memory only.
+    """
+    some = sampled.filter(F.pmod(F.xxhash64("row", "at"), F.lit(part)) == 0)
+    return some.groupBy("head", "name").count().filter(F.col("count") * part >= crowd).select("head", "name")
+
+
+def split_crowds(distinct: DataFrame) -> DataFrame:
+    """``split_ranks`` by Spark's own aggregation, so no rank is held in a task; any order of rows will do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for shift, can, key in shift_keys(*rank_arrays(batch)):
+                picked = batch.take(pa.array(can))
+                yield pa.RecordBatch.from_arrays(
+                    [*picked.columns, pa.array(np.full(len(can), shift, dtype=np.int64)), long_column(key)],
+                    ["head", "name", "around", "times", "shift", "key"],
+                )
+
+    columns = ["head", "name", "around", "times"]
+    keyed = distinct.select(*columns).mapInArrow(
+        run, "head long, name long, around binary, times long, shift long, key long"
+    )
+    string = ["head", "name", "shift", "key"]
+    twice = keyed.groupBy(*string).agg(F.sum("times").alias("n")).filter("n > 1").select(*string)
+    found = keyed.join(twice, string, "left_semi")
+    return found.groupBy("head", "name", "around").agg(F.expr("bit_or(shiftleft(1L, cast(shift as int)))").alias("shifts"))
+
+
 def split_ranks(sampled: DataFrame, length: int) -> DataFrame:
     """(head, name, around, shifts): shifts whose string stands twice, as bits, for distinct tuples sorted by rank.
 
     ``sampled`` is (head, name, around, times), range-sorted, with all tuples of a rank in one partition.
     """
-    side = PERIOD - 1
     limit = 100_000
 
     def judge(rank: np.ndarray, around: np.ndarray, times: np.ndarray) -> np.ndarray:
-        before, after = around[:, 0].astype(int), around[:, 1].astype(int)
-        n = len(rank)
-        # Names of what follows, by length, and of what comes before, grown by one byte for each shift.
-        follow = np.zeros((side + 1, n), dtype=np.uint64)
-        for i in range(side):
-            follow[i + 1] = mix(follow[i] * ODD + around[:, 2 + side + i] + np.uint64(1))
-        lead, bits = mix(rank), np.zeros(n, dtype=np.int64)
-        for shift in range(side + 1):
-            if shift:
-                lead = mix(lead * MIX_1 + around[:, 1 + shift] + np.uint64(1))
-            can = np.flatnonzero((before >= shift) & (after >= side - shift))
-            key = mix(lead[can] ^ (follow[side - shift][can] * ODD))
+        bits = np.zeros(len(rank), dtype=np.int64)
+        for shift, can, key in shift_keys(rank, around):
             order = np.argsort(key, kind="stable")
             k = key[order]
             same = np.zeros(len(k), dtype=bool)
@@ -262,9 +309,7 @@ def split_ranks(sampled: DataFrame, length: int) -> DataFrame:
 
         def out(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
-            head, name = (t.column(c).to_numpy().view(np.uint64) for c in ("head", "name"))
-            around = np.frombuffer(b"".join(t.column("around").to_pylist()), dtype=np.uint8).reshape(len(head), -1)
-            bits = judge(mix(head * ODD + name), around, t.column("times").to_numpy())
+            bits = judge(*rank_arrays(t), t.column("times").to_numpy())
             t = t.drop_columns("times").append_column("shifts", pa.array(bits)).filter(pa.array(bits > 0)).combine_chunks()
             return t.to_batches()[0] if t.num_rows else pa.RecordBatch.from_pylist([], schema=t.schema)
 
@@ -319,10 +364,24 @@ def cut_bytes(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 200, with_text: bool = False) -> DataFrame:
+def split_all(sampled: DataFrame, length: int, crowd: int) -> DataFrame:
+    """(head, name, around, shifts) of all tuples of ``sampled``, which must be pinned."""
+    rank = ["head", "name"]
+    distinct = lambda part: part.groupBy(*rank, "around").agg(F.count(F.lit(1)).alias("times"))
+    crowded = pin(crowded_ranks(sampled, crowd))
+    if crowded.isEmpty():
+        return split_ranks(distinct(sampled).repartitionByRange(*rank).sortWithinPartitions(*rank), length)
+    rest = distinct(sampled.join(crowded, rank, "left_anti")).repartitionByRange(*rank).sortWithinPartitions(*rank)
+    crowds = pin(distinct(sampled.join(crowded, rank, "left_semi")))
+    return split_ranks(rest, length).unionByName(split_crowds(crowds))
+
+
+def remove_repeated_bytes(
+    docs: DataFrame, length: int = 200, with_text: bool = False, crowd: int = 200_000
+) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and spans and kept_bytes, if asked for).
 
-    ``length`` must be at least ``GRAM + PERIOD``.
+    ``length`` must be at least ``GRAM + PERIOD``. Ranks of about ``crowd`` holders or more are split by Spark.
     """
     base = pin(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
     profile = pin(byte_profile(base, length))
@@ -347,10 +406,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, with_text: bool =
     texts = base.select("row", "text")
     sampled = pin(sampled_tuples(texts.join(found, "row").select("row", "text", "found"), length))
     rank = ["head", "name"]
-    distinct = sampled.groupBy(*rank, "around").agg(F.count(F.lit(1)).alias("times"))
-    ordered = distinct.repartitionByRange(*rank).sortWithinPartitions(*rank)
     hits = (
-        sampled.join(split_ranks(ordered, length), [*rank, "around"])
+        sampled.join(split_all(sampled, length, crowd), [*rank, "around"])
         .groupBy("row")
         .agg(F.collect_list(F.struct("at", "shifts")).alias("hits"))
     )
