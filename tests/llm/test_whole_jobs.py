@@ -95,13 +95,12 @@ def test_crowded_ranks_are_not_held_in_a_task(docs):
     passage = own(260)
     table = docs([own(r.randint(0, 50)) + passage + own(r.randint(0, 50)) for _ in range(400)])
     numbered = table.select(F.col("doc_id").alias("row"), "text")
-    grams = suffixes.byte_profile(numbered, 200).select("row", F.concat("grams", "twice").alias("found"))
-    sampled = pin(suffixes.sampled_tuples(numbered.join(grams, "row").select("row", "text", "found"), 200))
-    assert suffixes.crowded_ranks(sampled, 50, 1).count() > 10
-    plain, split = (
-        {(x["head"], x["name"], bytes(x["around"]), x["shifts"]) for x in suffixes.split_all(sampled, 200, c).collect()}
-        for c in (10**9, 64)
-    )
+    grams = suffixes.byte_profile(numbered, 200).select("row", F.col("grams").alias("found"))
+    regions = pin(suffixes.stretch_strings(numbered.join(grams, "row").select("row", "text", "found"), 200))
+    strings = pin(regions.drop("stretches").join(suffixes.judged_stretches(regions), ["row", "at"]).select("row", "at", "bytes", "stretches"))
+    named = pin(suffixes.named_triples(suffixes.sampled_triples(strings, 200)))
+    assert suffixes.crowded_names(named, 50, 1).count() > 10
+    plain, split = ({tuple(x) for x in suffixes.repeated_places(strings, 200, c, 1).collect()} for c in (10**9, 50))
     assert plain and plain == split
     plain, split = ({tuple(x) for x in suffixes.remove_repeated_bytes(table, 200, crowd=c).collect()} for c in (10**9, 64))
     assert plain == split and all(x[2] >= 260 for x in split)

@@ -2,35 +2,40 @@
 
 Suffixes are compared by their first ``length`` bytes only. Let D be a difference
 cover modulo v: any two places differ from two sampled places (those whose remainder
-is in D) by one and the same shift of less than v. Two equal strings of ``length``
-bytes thus hold, that shift further on, two sampled suffixes that agree in their
-first ``length - v + 1`` bytes. The steps:
-
-1. *Sort the sample.* Each sampled suffix becomes a tuple: its first 8 bytes as a
-   number that sorts as the bytes do, and the 64-bit name of its first
-   ``length - v + 1`` bytes. Spark sorts the tuples by ranges; equal tuples are one
-   rank. A name covers the whole depth that is compared, so the recursion on names
-   ends at its first level.
-2. *Merge the remaining suffixes.* An unsampled suffix is, up to its depth, the
-   up to v - 1 bytes before a sampled one and the rank of that one. The tuples carry
-   the v - 1 bytes on either side, and each rank is split for each shift by the bytes before and after.
-3. *Compare adjacent prefixes.* Within a rank and shift, suffixes whose strings
-   are equal stand next to each other; every byte of theirs is removed.
-
-Two exact reductions keep the sort small. Equal texts enter it once; all their bytes
-go if they are long enough. And of the other places only those enter whose string
-has a shared least gram: of the grams of ``GRAM`` bytes in a string the one with the
-least hash depends on the string alone, so equal strings have the same, and one that
-is least at no other place of all texts rules its strings out. Spark counts them.
-
-Before ranks are split, tuples with equal bytes around them are pre-aggregated, so
-a passage in a third of all rows is a few tuples with counts, but for the ends of the
-passage, where each row has bytes of its own around it. Ranks with very many holders
-are therefore not split in one task each: Spark counts their strings, shift by shift.
+is in D) by one and the same shift of less than v. The steps, on the strings that
+may hold a repeat (see below):
+
+1. *Sort sampled triples.* A character is ``v / 3`` bytes, named by 64 bits. Each
+   sampled suffix becomes the triple of its first three characters, its first v bytes.
+   Spark sorts the triples over ranges and names each by its rank; those that stand
+   once leave, as no suffix like them is found elsewhere.
+2. *Recurse on names.* The string of names at a sampled place and at each v-th place
+   after it is sorted in turn, which ranks the suffixes by their first ``depth`` bytes:
+   all whole blocks of v bytes in ``length - v + 1``.
+3. *Merge the remaining suffixes.* A suffix of ``length`` bytes is, for some shift of
+   less than v, that many bytes, a sampled suffix's rank, and the bytes that follow its
+   depth. Tuples of the second sort carry the bytes on either side.
+4. *Compare adjacent prefixes.* Within a rank and shift, suffixes are ordered by
+   those bytes; neighbours that agree are equal in all ``length`` bytes, and all of these go.
+
+Three exact reductions keep the sorts small. Equal texts enter once; all their bytes
+go if they are long enough. Of the other places only those enter whose string has a
+shared least gram: of the grams of ``GRAM`` bytes in a string the one with the least
+hash depends on the string alone, so equal strings have the same, and one that is
+least at no other place of all texts rules its strings out. A *stretch* is a run of places
+with one least gram and all bytes of their strings; equal stretches are one string
+with a count: they enter once, as what others may equal, and not at all if each
+stretch with that gram has an equal.
+
+Texts are read twice, to find stretches and to cut; all between works on the strings
+of stretches. Characters are hashes, so the first sort's ranges are cut evenly; the
+second sort deals by the first one's ranges. A rank with very many holders is split by
+Spark's own aggregation, shift by shift, so no task holds it.
 
 Defined results: a null text has no bytes. Texts shorter than ``length`` lose
-nothing. Repeated rows count as copies of each other. An empty table gives an empty
-result; columns other than ``doc_id`` and ``text`` are ignored.
+nothing. Texts of any length are read whole, a long one in a batch of its own. Repeated rows
+count as copies of each other. An empty table gives an empty result; columns other than
+``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -40,15 +45,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import pin
+from tidemark.llm._common import pin, unpin
 from tidemark.llm._tokens import MIX_1, ODD, in_chunks, key_pair, list_column, long_column, mix
 
-#: A perfect difference set: every remainder modulo 21 but 0 is one difference of its members.
-PERIOD, COVER = 21, (3, 6, 7, 12, 14)
-GRAM = 32
+#: A difference cover: every remainder modulo 39 is a difference of two members.
+PERIOD, COVER = 39, (0, 1, 2, 4, 13, 18, 33)
+CHARACTER = PERIOD // 3
+GRAM = 64
+#: A name is the number of its range and, below these bits, its rank in the range.
+RANK_BITS = 40
 
 
 class Bytes:
@@ -142,7 +151,7 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
 
 
 def byte_profile(base: DataFrame, length: int) -> DataFrame:
-    """Per row: n_bytes, two keys of the bytes, their SHA-256, the picked grams, and those it has twice."""
+    """Per row: n_bytes, two keys of the bytes, their SHA-256, and the gram of every place picked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, 1):
@@ -150,202 +159,375 @@ def byte_profile(base: DataFrame, length: int) -> DataFrame:
             b = Bytes(raws)
             keys = [key_pair(r) for r in raws]
             at, names = picks(b, length)
-            owner = b.text_of(at)
-            order = np.lexsort((names, owner))
-            owner, names = owner[order], names[order]
-            again = np.zeros(len(names), dtype=bool)
-            again[1:] = (names[1:] == names[:-1]) & (owner[1:] == owner[:-1])
-            cut = lambda o: np.searchsorted(o, np.arange(len(raws) + 1)).tolist()
-            parts = lambda sel: [names[sel][i:j] for c in [cut(owner[sel])] for i, j in zip(c[:-1], c[1:])]
+            cut = np.searchsorted(at, b.bounds).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(b.counts), pa.array([k[0] for k in keys], pa.int64()),
                     pa.array([k[1] for k in keys], pa.int64()), pa.array([hashlib.sha256(r).digest() for r in raws], pa.binary()),
-                    list_column(parts(~again), pa.int64()), list_column(parts(again), pa.int64()),
+                    list_column([names[i:j] for i, j in zip(cut[:-1], cut[1:])], pa.int64()),
                 ],
-                ["row", "n_bytes", "k1", "k2", "sha", "grams", "twice"],
+                ["row", "n_bytes", "k1", "k2", "sha", "grams"],
             )
 
-    schema = "row long, n_bytes long, k1 long, k2 long, sha binary, grams array<long>, twice array<long>"
-    return base.select("row", "text").mapInArrow(run, schema)
+    return base.select("row", "text").mapInArrow(run, "row long, n_bytes long, k1 long, k2 long, sha binary, grams array<long>")
 
 
-def sampled_tuples(texts: DataFrame, length: int) -> DataFrame:
-    """(head, name, before, after, row, at) of the sampled suffixes near strings that may stand twice.
+def runs_of(begin: np.ndarray, end: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Where a new run of stretches starts: another text, or not right after the one before."""
+    new = np.ones(len(begin), dtype=bool)
+    new[1:] = (begin[1:] != end[:-1]) | (text[1:] != text[:-1])
+    return np.flatnonzero(new)
 
-    ``texts`` is (row, text, found), ``found`` being the shared grams of the text.
+
+def stretch_strings(texts: DataFrame, length: int) -> DataFrame:
+    """(row, at, bytes, stretches) for each run of stretches of ``texts`` (row, text, found) whose grams are in ``found``.
+
+    ``bytes`` are the text's from place ``at`` on; a stretch is (gram, begin, end, x1, x2): its places in the text and a 128-bit name of its bytes.
     """
-    depth, side = length - PERIOD + 1, PERIOD - 1
-    residues = np.zeros(PERIOD, dtype=bool)
-    residues[list(COVER)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, 1):
-            b = Bytes(raw_bytes(batch.column(1)))
+            raws = raw_bytes(batch.column(1))
+            b = Bytes(raws)
             begin, end, names = stretches(b, length)
             found = batch.column(2)
             size = np.diff(found.offsets.to_numpy())
             both = lambda text, m: mix(m + text.astype(np.uint64) * ODD)
             known = both(np.repeat(np.arange(batch.num_rows), size), found.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
             hit = np.isin(both(b.text_of(begin), names), known)
-            begin, end = begin[hit], end[hit]
-            # Sampled places at most v - 1 bytes after such a start.
-            n = len(b.all)
-            edge = np.zeros(n + PERIOD + 1, dtype=np.int64)
-            np.add.at(edge, begin, 1)
-            np.add.at(edge, end - 1 + PERIOD, -1)
-            near = np.flatnonzero(np.cumsum(edge)[:n] > 0)
-            text = b.text_of(near)
-            local = near - b.bounds[text]
-            keep = residues[local % PERIOD] & (near + depth <= b.bounds[text + 1])
-            near, text, local = near[keep], text[keep], local[keep]
-            prefix = string_names(b.all, depth)[near] if len(near) else np.zeros(0, dtype=np.uint64)
-            head = np.zeros(len(near), dtype=np.uint64)
-            for i in range(8):
-                head = head << np.uint64(8) | b.all[near + i].astype(np.uint64)
-            # Bytes that lie outside the text are held as a place's own mark, so they match nothing: lengths tell them apart.
-            padded = np.concatenate([np.zeros(side, np.uint8), b.all, np.zeros(side, np.uint8)])
-            before = np.minimum(local, side).astype(np.uint8)
-            after = np.minimum(b.bounds[text + 1] - near - depth, side).astype(np.uint8)
-            around = np.empty((len(near), 2 * side + 2), dtype=np.uint8)
-            around[:, 0], around[:, 1] = before, after
-            for i in range(side):  # nearest first
-                around[:, 2 + i] = np.where(i < before, padded[side + near - 1 - i], 0)
-                around[:, 2 + side + i] = np.where(i < after, padded[np.minimum(side + near + depth + i, len(padded) - 1)], 0)
-            rows = batch.column(0).to_numpy(zero_copy_only=False)[text]
-            order = np.argsort(head, kind="stable")
-            width = around.shape[1]
-            data = pa.py_buffer(np.ascontiguousarray(around[order]).tobytes())
-            offsets = pa.py_buffer((np.arange(len(near) + 1) * width).astype(np.int32).tobytes())
-            packed = pa.Array.from_buffers(pa.binary(), len(near), [None, offsets, data])
-            signed = (head[order] ^ np.uint64(1 << 63)).view(np.int64)
+            begin, end, names = begin[hit], end[hit], names[hit]
+            text, whole = b.text_of(begin), b.all.tobytes()
+            x = np.array([key_pair(whole[i:j]) for i, j in zip(begin.tolist(), (end + length - 1).tolist())], dtype=np.int64).reshape(-1, 2)
+            first = runs_of(begin, end, text)
+            last = np.append(first[1:], len(begin))
+            off = b.bounds[text]
+            parts = pa.StructArray.from_arrays(
+                [long_column(names), pa.array((begin - off).astype(np.int32)), pa.array((end - off).astype(np.int32)), pa.array(x[:, 0]), pa.array(x[:, 1])],
+                ["gram", "begin", "end", "x1", "x2"],
+            )
+            strings = [whole[i:j] for i, j in zip(begin[first].tolist(), (end[last - 1] + length - 1).tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed), long_column(prefix[order]), packed, pa.array(rows[order], pa.int64()), pa.array(local[order].astype(np.int32))],
-                ["head", "name", "around", "row", "at"],
+                [
+                    pa.array(batch.column(0).to_numpy(zero_copy_only=False)[text[first]], pa.int64()),
+                    pa.array((begin - off)[first].astype(np.int32)),
+                    pa.array(strings, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.append(first, len(begin)).astype(np.int32)), parts),
+                ],
+                ["row", "at", "bytes", "stretches"],
             )
 
-    return texts.mapInArrow(run, "head long, name long, around binary, row long, at int")
+    kind = "row long, at int, bytes binary, stretches array<struct<gram:long,begin:int,end:int,x1:long,x2:long>>"
+    return texts.mapInArrow(run, kind)
 
 
-def shift_keys(rank: np.ndarray, around: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shift, tuples that have a string at this shift, 64-bit names of those strings)."""
-    side = PERIOD - 1
-    before, after = around[:, 0].astype(int), around[:, 1].astype(int)
-    # Names of what follows, by length, and of what comes before, grown by one byte for each shift.
-    follow = np.zeros((side + 1, len(rank)), dtype=np.uint64)
-    for i in range(side):
-        follow[i + 1] = mix(follow[i] * ODD + around[:, 2 + side + i] + np.uint64(1))
-    lead = mix(rank)
-    for shift in range(side + 1):
-        if shift:
-            lead = mix(lead * MIX_1 + around[:, 1 + shift] + np.uint64(1))
-        can = np.flatnonzero((before >= shift) & (after >= side - shift))
-        yield shift, can, mix(lead[can] ^ (follow[side - shift][can] * ODD))
+def judged_stretches(strings: DataFrame) -> DataFrame:
+    """(row, at, stretches) of all strings; a stretch is (begin, end, equal, enters).
+
+    ``equal``: its bytes stand elsewhere too. ``enters``: it takes part in the sorts.
+    """
+    each = strings.select("row", "at", F.explode("stretches").alias("s")).select("row", "at", "s.*")
+    name = ["gram", "x1", "x2"]
+    names = each.groupBy(*name).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "begin")).alias("first"))
+    open_grams = names.groupBy("gram").agg(F.min("times").alias("least")).filter("least = 1").select("gram", F.lit(True).alias("open"))
+    kinds = names.join(open_grams, "gram", "left").select(*name, "times", "first", F.coalesce("open", F.lit(False)).alias("open"))
+    is_first = F.struct("row", "begin") == F.col("first")
+    return (
+        each.join(kinds, name)
+        .select("row", "at", F.struct("begin", "end", (F.col("times") > 1).alias("equal"), (F.col("open") & is_first).alias("enters")).alias("s"))
+        .groupBy("row", "at")
+        .agg(F.sort_array(F.collect_list("s")).alias("stretches"))
+    )
 
 
-def rank_arrays(data: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(name of the rank, bytes around) of each tuple."""
-    head, name = (data.column(c).to_numpy().view(np.uint64) for c in ("head", "name"))
-    around = np.frombuffer(b"".join(data.column("around").to_pylist()), dtype=np.uint8).reshape(len(head), -1)
-    return mix(head * ODD + name), around
+def blocks_of(length: int) -> int:
+    """Blocks of ``PERIOD`` bytes by which sampled suffixes are ranked."""
+    return (length - PERIOD + 1) // PERIOD
 
 
-def crowded_ranks(sampled: DataFrame, crowd: int, part: int = 64) -> DataFrame:
-    """(head, name) of the ranks with about ``crowd`` holders or more, estimated on one in ``part`` of them.
+class Entered:
+    """Strings of a batch end to end, and the places of their stretches that enter."""
 
-    Either way of splitting is exact, so the estimate bears on memory only.
-    """
-    some = sampled.filter(F.pmod(F.xxhash64("row", "at"), F.lit(part)) == 0)
-    return some.groupBy("head", "name").count().filter(F.col("count") * part >= crowd).select("head", "name")
+    def __init__(self, batch: pa.RecordBatch):
+        self.b = Bytes(raw_bytes(batch.column("bytes")))
+        self.row, self.at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "at"))
+        parts = batch.column("stretches")
+        of = np.repeat(np.arange(batch.num_rows), np.diff(parts.offsets.to_numpy()))
+        flat = parts.flatten()
+        begin, end, enters = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("begin", "end", "enters"))
+        keep = enters.astype(bool)
+        of = of[keep]
+        shift = self.b.bounds[of] - self.at[of]
+        begin, end = begin[keep] + shift, end[keep] + shift
+        first = runs_of(begin, end, of)
+        #: Strings of ``length`` bytes start from ``low`` on and before ``high``; runs neither touch nor overlap.
+        self.low, self.high = begin[first], end[np.append(first[1:], len(begin)) - 1] if len(begin) else end
 
+    def sampled(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place, run) of each sampled place less than ``PERIOD`` after a start; twice where two runs are that near."""
+        size = self.high - self.low + PERIOD - 1
+        run = np.repeat(np.arange(len(size)), size)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + self.low[run]
+        residues = np.zeros(PERIOD, dtype=bool)
+        residues[list(COVER)] = True
+        keep = residues[self.in_text(place) % PERIOD]
+        return place[keep], run[keep]
 
-def split_crowds(distinct: DataFrame) -> DataFrame:
-    """``split_ranks`` by Spark's own aggregation, so no rank is held in a task; any order of rows will do."""
+    def in_text(self, place: np.ndarray) -> np.ndarray:
+        of = self.b.text_of(place)
+        return place - self.b.bounds[of] + self.at[of]
+
+
+def sampled_triples(strings: DataFrame, length: int) -> DataFrame:
+    """(c0, c1, c2, row, string, place): the first three characters at every place whose name the second sort needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_chunks(batches, 2):
+            e = Entered(batch)
+            place, _ = e.sampled()
+            place = np.unique(np.concatenate([place + k * PERIOD for k in range(blocks_of(length))]))
+            of = e.b.text_of(place)
+            names = string_names(e.b.all, CHARACTER) if len(place) else np.zeros(0, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(long_column(names[place + k * CHARACTER]) for k in range(3)),
+                    pa.array(e.row[of], pa.int64()), pa.array(e.at[of], pa.int32()), pa.array(e.in_text(place).astype(np.int32)),
+                ],
+                ["c0", "c1", "c2", "row", "string", "place"],
+            )
+
+    kind = "c0 long, c1 long, c2 long, row long, string int, place int"
+    return strings.select("row", "at", "bytes", "stretches").mapInArrow(run, kind)
+
+
+def ranges(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def named_triples(triples: DataFrame) -> DataFrame:
+    """(row, string, place, name) of the triples that stand twice; names order as triples do."""
+    key, n = ["c0", "c1", "c2"], ranges(triples)
+    # First characters are hashes, so equal parts of their values hold equally many.
+    part = F.pmod(F.floor((F.col("c0") / F.lit(2.0**64) + 0.5) * n), F.lit(n)).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last row, whose next one is not known yet
+        rank, before = 0, False
+
+        def out(t: pa.RecordBatch, tied: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+            keep = pa.array(tied)
+            columns = [t.column(c) for c in ("row", "string", "place")]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(names)], ["row", "string", "place", "name"]).filter(keep)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for shift, can, key in shift_keys(*rank_arrays(batch)):
-                picked = batch.take(pa.array(can))
-                yield pa.RecordBatch.from_arrays(
-                    [*picked.columns, pa.array(np.full(len(can), shift, dtype=np.int64)), long_column(key)],
-                    ["head", "name", "around", "times", "shift", "key"],
-                )
+            t = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            c = [t.column(k).to_numpy() for k in key]
+            same = (c[0][1:] == c[0][:-1]) & (c[1][1:] == c[1][:-1]) & (c[2][1:] == c[2][:-1])
+            names = rank + np.concatenate([[0], np.cumsum(~same)])
+            tied = np.concatenate([[before], same])
+            tied[:-1] |= same
+            high = t.column("part").to_numpy().astype(np.int64) << RANK_BITS
+            yield out(t.slice(0, t.num_rows - 1), tied[:-1], (high | names)[:-1])
+            held, rank, before = t.slice(t.num_rows - 1), int(names[-1]), bool(tied[-1])
+        if held is not None:
+            name = (held.column("part").to_numpy().astype(np.int64) << RANK_BITS) | rank
+            yield out(held, np.array([before]), name)
+
+    dealt = triples.withColumn("part", part).repartitionById(n, F.col("part")).sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, "row long, string int, place int, name long")
+
+
+def sampled_tuples(strings: DataFrame, length: int) -> DataFrame:
+    """(n0, n1, .., around, row, place): names of the blocks from each sampled place on, and the bytes on either side.
+
+    ``strings`` also has ``named``, an array of (place, name). Places of which a block has no name stand alone and are left out.
+    ``around`` is the least and the greatest shift allowed, the ``PERIOD - 1`` bytes before, nearest first, and those after the blocks.
+    """
+    blocks = blocks_of(length)
+    side, tail = PERIOD - 1, length - blocks * PERIOD
 
-    columns = ["head", "name", "around", "times"]
-    keyed = distinct.select(*columns).mapInArrow(
-        run, "head long, name long, around binary, times long, shift long, key long"
-    )
-    string = ["head", "name", "shift", "key"]
-    twice = keyed.groupBy(*string).agg(F.sum("times").alias("n")).filter("n > 1").select(*string)
-    found = keyed.join(twice, string, "left_semi")
-    return found.groupBy("head", "name", "around").agg(F.expr("bit_or(shiftleft(1L, cast(shift as int)))").alias("shifts"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_chunks(batches, 2):
+            e = Entered(batch)
+            place, of_run = e.sampled()
+            known = batch.column("named")
+            of = np.repeat(np.arange(batch.num_rows), np.diff(known.offsets.to_numpy()))
+            flat = known.flatten()
+            names = np.zeros(len(e.b.all) + 1, dtype=np.int64)
+            names[flat.field("place").to_numpy(zero_copy_only=False) - e.at[of] + e.b.bounds[of]] = flat.field("name").to_numpy(zero_copy_only=False) + 1
+            columns = [names[np.minimum(place + k * PERIOD, len(names) - 1)] for k in range(blocks)]
+            keep = np.logical_and.reduce([c > 0 for c in columns])
+            place, of_run, columns = place[keep], of_run[keep], [c[keep] - 1 for c in columns]
+            around = np.zeros((len(place), 2 + side + tail), dtype=np.uint8)
+            around[:, 0] = np.maximum(0, place - e.high[of_run] + 1)
+            around[:, 1] = np.minimum(side, place - e.low[of_run])
+            padded = np.concatenate([np.zeros(side, np.uint8), e.b.all, np.zeros(length, np.uint8)])
+            for i in range(side):
+                around[:, 2 + i] = padded[side + place - 1 - i]
+            for i in range(tail):
+                around[:, 2 + side + i] = padded[side + place + blocks * PERIOD + i]
+            of = e.b.text_of(place)
+            width = around.shape[1]
+            offsets = pa.py_buffer((np.arange(len(place) + 1) * width).astype(np.int32).tobytes())
+            packed = pa.Array.from_buffers(pa.binary(), len(place), [None, offsets, pa.py_buffer(around.tobytes())])
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c) for c in columns), packed, pa.array(e.row[of], pa.int64()), pa.array(e.in_text(place).astype(np.int32))],
+                [*(f"n{k}" for k in range(blocks)), "around", "row", "place"],
+            )
 
+    kind = ", ".join(f"n{k} long" for k in range(blocks)) + ", around binary, row long, place int"
+    return strings.select("row", "at", "bytes", "stretches", "named").mapInArrow(run, kind)
 
-def split_ranks(sampled: DataFrame, length: int) -> DataFrame:
-    """(head, name, around, shifts): shifts whose string stands twice, as bits, for distinct tuples sorted by rank.
 
-    ``sampled`` is (head, name, around, times), range-sorted, with all tuples of a rank in one partition.
-    """
-    limit = 100_000
+def shift_keys(rank: np.ndarray, around: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shift, tuples that have a string at this shift, 64-bit names of those strings)."""
+    side = PERIOD - 1
+    tail = around.shape[1] - 2 - side
+    least, most = around[:, 0], around[:, 1]
+    # Names of what follows, by length, and of what comes before, grown by one byte for each shift.
+    follow = np.zeros((tail + 1, len(rank)), dtype=np.uint64)
+    for i in range(tail):
+        follow[i + 1] = mix(follow[i] * ODD + around[:, 2 + side + i] + np.uint64(1))
+    lead = mix(rank)
+    for shift in range(side + 1):
+        if shift:
+            lead = mix(lead * MIX_1 + around[:, 1 + shift] + np.uint64(1))
+        can = np.flatnonzero((least <= shift) & (most >= shift))
+        yield shift, can, mix(lead[can] ^ (follow[tail - shift][can] * ODD))
+
+
+def rank_arrays(data: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(name of the rank, bytes around) of each tuple."""
+    rank = np.zeros(data.num_rows, dtype=np.uint64)
+    for c in sorted(x for x in data.schema.names if x[0] == "n"):
+        rank = mix(rank * ODD + data.column(c).to_numpy().view(np.uint64))
+    around = np.frombuffer(b"".join(data.column("around").to_pylist()), dtype=np.uint8).reshape(len(rank), -1)
+    return rank, around
+
+
+def split_ranks(tuples: DataFrame, length: int) -> DataFrame:
+    """(row, place, shifts): shifts whose string stands twice, as bits, for each tuple that has one; ranks are sorted by names."""
+    key, limit = [f"n{k}" for k in range(blocks_of(length))], 100_000
 
-    def judge(rank: np.ndarray, around: np.ndarray, times: np.ndarray) -> np.ndarray:
+    def judge(t: pa.Table) -> pa.RecordBatch:
+        rank, around = rank_arrays(t)
         bits = np.zeros(len(rank), dtype=np.int64)
-        for shift, can, key in shift_keys(rank, around):
-            order = np.argsort(key, kind="stable")
-            k = key[order]
+        for shift, can, names in shift_keys(rank, around):
+            order = np.argsort(names)
+            k = names[order]
             same = np.zeros(len(k), dtype=bool)
             if len(k) > 1:
                 next_to = k[1:] == k[:-1]
                 same[1:] |= next_to
                 same[:-1] |= next_to
-            same |= times[can][order] > 1
             bits[can[order[same]]] |= 1 << shift
-        return bits
+        t = t.combine_chunks()
+        columns = [t.column(c).combine_chunks() for c in ("row", "place")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(bits)], ["row", "place", "shifts"]).filter(pa.array(bits > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def out(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            bits = judge(*rank_arrays(t), t.column("times").to_numpy())
-            t = t.drop_columns("times").append_column("shifts", pa.array(bits)).filter(pa.array(bits > 0)).combine_chunks()
-            return t.to_batches()[0] if t.num_rows else pa.RecordBatch.from_pylist([], schema=t.schema)
-
         count = 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
             count += batch.num_rows
             if count < limit:
                 continue
             t = pa.Table.from_batches(held)
-            head, name = t.column("head").to_numpy(), t.column("name").to_numpy()
-            whole = np.flatnonzero((head != head[-1]) | (name != name[-1]))
+            other = np.zeros(t.num_rows, dtype=bool)
+            for c in key:
+                values = t.column(c).to_numpy()
+                other |= values != values[-1]
+            whole = np.flatnonzero(other)
             end = int(whole[-1]) + 1 if len(whole) else 0  # the last rank may go on in the next batch
             if end:
-                yield out(t.slice(0, end))
+                yield judge(t.slice(0, end))
             held, count = t.slice(end).to_batches(), t.num_rows - end
         if count:
-            yield out(pa.Table.from_batches(held))
+            yield judge(pa.Table.from_batches(held))
+
+    n = ranges(tuples)
+    part = F.shiftright("n0", RANK_BITS).cast("int")
+    # The second sort keeps the first one's ranges: names begin with them.
+    dealt = tuples.repartitionById(n, F.pmod(part, F.lit(n))).sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, "row long, place int, shifts long")
+
+
+def split_crowds(tuples: DataFrame, length: int) -> DataFrame:
+    """``split_ranks`` by Spark's own aggregation, so no rank is held in a task; any order of rows will do."""
+    key = [f"n{k}" for k in range(blocks_of(length))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = [batch.column(c) for c in ("row", "place")]
+            for shift, can, names in shift_keys(*rank_arrays(batch)):
+                picked = pa.array(can)
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(picked) for c in ids), pa.array(np.full(len(can), shift, dtype=np.int64)), long_column(names)],
+                    ["row", "place", "shift", "name"],
+                )
+
+    keyed = tuples.select(*key, "around", "row", "place").mapInArrow(run, "row long, place int, shift long, name long")
+    twice = keyed.groupBy("shift", "name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shift", "name")
+    found = keyed.join(twice, ["shift", "name"], "left_semi")
+    return found.groupBy("row", "place").agg(F.expr("bit_or(shiftleft(1L, cast(shift as int)))").alias("shifts"))
+
+
+def crowded_names(named: DataFrame, crowd: int, part: int = 64) -> DataFrame:
+    """Names with about ``crowd`` holders or more, estimated on one in ``part`` of them.
+
+    Either way of splitting is exact, so the estimate bears on memory only.
+    """
+    some = named.filter(F.pmod(F.xxhash64("row", "place"), F.lit(part)) == 0)
+    return some.groupBy("name").count().filter(F.col("count") * part >= crowd).select(F.col("name").alias("n0"))
 
-    return sampled.mapInArrow(run, "head long, name long, around binary, shifts long")
+
+def repeated_places(strings: DataFrame, length: int, crowd: int, part: int = 64) -> DataFrame:
+    """(row, place, shifts), pinned: sampled places and the shifts before them at which a string starts that stands twice.
+
+    ``strings`` is (row, at, bytes, stretches), pinned, with judged stretches.
+    """
+    named = pin(named_triples(sampled_triples(strings, length)))
+    of_string = named.groupBy("row", "string").agg(F.collect_list(F.struct("place", "name")).alias("named"))
+    tuples = sampled_tuples(strings.join(of_string.withColumnRenamed("string", "at"), ["row", "at"]), length)
+    crowded = pin(crowded_names(named, crowd, part))
+    if crowded.isEmpty():
+        found = pin(split_ranks(tuples, length))
+    else:
+        held = pin(tuples)
+        rest, crowds = (held.join(crowded, "n0", how) for how in ("left_anti", "left_semi"))
+        found = pin(split_ranks(rest, length).unionByName(split_crowds(crowds, length)))
+        unpin(held)
+    unpin(named, crowded)
+    return found
 
 
 def cut_bytes(texts: DataFrame, length: int) -> DataFrame:
-    """(row, gone, spans, left_sha, left) of ``texts`` (row, text, hits); a hit is a place of a sampled suffix and its shifts."""
+    """(row, gone, cuts, left_sha, left_bytes, spans) of ``texts`` (row, text, starts, hits).
+
+    ``starts`` are ranges (begin, end) of places whose string goes; a hit is a sampled place and its shifts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, 1):
             gone, spans, digests, lefts, starts = [], [], [], [], []
-            for raw, hits in zip(raw_bytes(batch.column(1)), batch.column(2)):
-                at = hits.values.field("at").to_numpy(zero_copy_only=False).astype(np.int64)
-                bits = hits.values.field("shifts").to_numpy(zero_copy_only=False)
+            for raw, whole, hits in zip(raw_bytes(batch.column(1)), batch.column(2), batch.column(3)):
                 edge = np.zeros(len(raw) + 1, dtype=np.int64)
-                for shift in range(PERIOD):
-                    s = at[(bits >> shift) & 1 == 1] - shift
-                    np.add.at(edge, s, 1)
-                    np.add.at(edge, s + length, -1)
+                if whole.is_valid:
+                    np.add.at(edge, whole.values.field("begin").to_numpy(zero_copy_only=False), 1)
+                    np.add.at(edge, whole.values.field("end").to_numpy(zero_copy_only=False) + length - 1, -1)
+                if hits.is_valid:
+                    at = hits.values.field("place").to_numpy(zero_copy_only=False).astype(np.int64)
+                    bits = hits.values.field("shifts").to_numpy(zero_copy_only=False)
+                    for shift in range(PERIOD):
+                        s = at[(bits >> shift) & 1 == 1] - shift
+                        np.add.at(edge, s, 1)
+                        np.add.at(edge, s + length, -1)
                 cut = np.cumsum(edge[:-1]) > 0
                 left = np.frombuffer(raw, dtype=np.uint8)[~cut].tobytes()
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], cut.view(np.int8), [0]])))
@@ -364,58 +546,40 @@ def cut_bytes(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def split_all(sampled: DataFrame, length: int, crowd: int) -> DataFrame:
-    """(head, name, around, shifts) of all tuples of ``sampled``, which must be pinned."""
-    rank = ["head", "name"]
-    distinct = lambda part: part.groupBy(*rank, "around").agg(F.count(F.lit(1)).alias("times"))
-    crowded = pin(crowded_ranks(sampled, crowd))
-    if crowded.isEmpty():
-        return split_ranks(distinct(sampled).repartitionByRange(*rank).sortWithinPartitions(*rank), length)
-    rest = distinct(sampled.join(crowded, rank, "left_anti")).repartitionByRange(*rank).sortWithinPartitions(*rank)
-    crowds = pin(distinct(sampled.join(crowded, rank, "left_semi")))
-    return split_ranks(rest, length).unionByName(split_crowds(crowds))
-
-
 def remove_repeated_bytes(
     docs: DataFrame, length: int = 200, with_text: bool = False, crowd: int = 200_000
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and spans and kept_bytes, if asked for).
 
-    ``length`` must be at least ``GRAM + PERIOD``. Ranks of about ``crowd`` holders or more are split by Spark.
+    ``length`` must be at least ``2 * PERIOD``. Ranks of about ``crowd`` holders or more are split by Spark.
     """
+    if length < 2 * PERIOD:
+        raise ValueError(f"length must be at least {2 * PERIOD}")
     base = pin(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
     profile = pin(byte_profile(base, length))
     key = ["k1", "k2", "n_bytes"]
     groups = profile.groupBy(*key).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
-    shared = (
-        profile.select("k1", F.explode("grams").alias("gram"))
-        .groupBy("gram")
-        .agg(F.min("k1").alias("low"), F.max("k1").alias("high"))
-        .filter("low != high")
-        .select("gram")
-        .union(profile.select(F.explode("twice").alias("gram")))
-        .distinct()
-    )
-    found = (
-        profile.select("row", F.explode("grams").alias("gram"))
-        .join(shared, "gram", "left_semi")
-        .groupBy("row")
-        .agg(F.collect_list("gram").alias("found"))
-        .join(groups.select(F.col("first").alias("row")), "row", "left_semi")
-    )
+    firsts = groups.select(F.col("first").alias("row"))
+    grams = profile.filter(F.size("grams") > 0).join(firsts, "row", "left_semi").select("row", F.explode("grams").alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("gram")
+    found = grams.join(shared, "gram", "left_semi").groupBy("row").agg(F.collect_set("gram").alias("found"))
     texts = base.select("row", "text")
-    sampled = pin(sampled_tuples(texts.join(found, "row").select("row", "text", "found"), length))
-    rank = ["head", "name"]
-    hits = (
-        sampled.join(split_all(sampled, length, crowd), [*rank, "around"])
-        .groupBy("row")
-        .agg(F.collect_list(F.struct("at", "shifts")).alias("hits"))
-    )
-    cut = cut_bytes(texts.join(hits, "row").select("row", "text", "hits"), length)
+    regions = pin(stretch_strings(texts.join(found, "row").select("row", "text", "found"), length))
+    judged = pin(judged_stretches(regions))
+    entered = judged.filter(F.exists("stretches", lambda s: s["enters"]))
+    strings = pin(regions.drop("stretches").join(entered, ["row", "at"]).select("row", "at", "bytes", "stretches"))
+    unpin(regions)
+    places = repeated_places(strings, length, crowd)
+    unpin(strings)
+    hits = places.groupBy("row").agg(F.collect_list(F.struct("place", "shifts")).alias("hits"))
+    equal = judged.select("row", F.filter("stretches", lambda s: s["equal"]).alias("starts")).filter(F.size("starts") > 0)
+    starts = equal.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    both = starts.join(hits, "row", "full")
+    cut = cut_bytes(texts.join(both, "row").select("row", "text", "starts", "hits"), length)
     if not with_text:
         cut = cut.drop("left_bytes", "spans")
     ids = base.select("row", "doc_id", *(["text"] if with_text else []))
-    judged = profile.select("row", "sha", *key).join(groups, key).join(cut, "row", "left").join(ids, "row")
+    whole_rows = profile.select("row", "sha", *key).join(groups, key).join(cut, "row", "left").join(ids, "row")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     pick = lambda all_gone, part, none: F.when(whole, all_gone).when(F.col("gone").isNotNull(), part).otherwise(none)
     out = [
@@ -430,4 +594,4 @@ def remove_repeated_bytes(
         none = F.array().cast("array<struct<start:long,end:long>>")
         out.append(pick(all_of, F.col("spans"), none).alias("spans"))
         out.append(pick(F.lit(b""), F.col("left_bytes"), F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept_bytes"))
-    return judged.select(*out)
+    return whole_rows.select(*out)
