@@ -67,6 +67,16 @@ def test_recompression_against_brute_force(docs):
     assert remove_repeats(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("kinds, window, named_rounds", [(2, 9, 5), (3, 6, 1), (12, 4, 7)])
+def test_recompression_of_few_different_words(docs, kinds, window, named_rounds):
+    r = random.Random(kinds)
+    texts = [" ".join(r.choice("abcdefghijklm"[:kinds]) for _ in range(r.randint(0, 40))) for _ in range(60)] + ["a " * 30, "a " * 31 + "b"]
+    lists = [words_of(t) for t in texts]
+    want = {i: sum(gone) for i, gone in enumerate(cover(lists, window))}
+    assert {x.doc_id: x.n_removed for x in remove_repeats(docs(texts), window, named_rounds=named_rounds).collect()} == want
+    assert 0 < sum(want.values()) < sum(map(len, lists))
+
+
 def test_suffixes_against_brute_force(docs):
     texts = corpus(2)
     raws = [(t or "").encode() for t in texts]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, pieces, pii, suffixes
 from tidemark.llm._common import pin
+from tidemark.llm._stretches import judged_stretches
 from tidemark.llm.exact_dedup import drop_exact_copies
 from tidemark.llm.queries import ORACLE_SQL
 
@@ -97,7 +98,7 @@ def test_crowded_ranks_are_not_held_in_a_task(docs):
     numbered = table.select(F.col("doc_id").alias("row"), "text")
     grams = suffixes.byte_profile(numbered, 200).select("row", F.col("grams").alias("found"))
     regions = pin(suffixes.stretch_strings(numbered.join(grams, "row").select("row", "text", "found"), 200))
-    strings = pin(regions.drop("stretches").join(suffixes.judged_stretches(regions), ["row", "at"]).select("row", "at", "bytes", "stretches"))
+    strings = pin(regions.drop("stretches").join(judged_stretches(regions), ["row", "at"]).select("row", "at", "bytes", "stretches"))
     named = pin(suffixes.named_triples(suffixes.sampled_triples(strings, 200)))
     assert suffixes.crowded_names(named, 50, 1).count() > 10
     plain, split = ({tuple(x) for x in suffixes.repeated_places(strings, 200, c, 1).collect()} for c in (10**9, 50))

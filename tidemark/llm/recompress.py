@@ -2,26 +2,31 @@
 
 Rounds of recompression turn each text, a string of word names, into ever shorter
 strings: first every run of one word becomes a symbol, then in each round every pair
-of a left and a right symbol does (a bit of a symbol's name says which it is). A
-symbol's name is a 64-bit hash of its round and its parts, so every task of the
-cluster gives the same run or pair the same name without an exchange, and equal
-substrings have equal symbols inside, up to a few at their ends.
-
-For a window of words the symbols that its own words settle are known: what stands
-outside cannot change them. Its *mark* is the first of those of the highest round
-that has one. Equal windows have equal marks, wherever they stand. Spark counts the
-marks of all texts; only windows whose mark is found at two places go on. Their
-128-bit names are counted in turn, which verifies them, and every word covered by a
-name that is found twice is removed.
-
-Equal texts are read as one: their marks are those of one text, and all their
-words go if they hold a window. No group is ever gathered: marks and windows are
-pre-aggregated before each shuffle and looked up with joins that Spark splits.
+of a left and a right symbol does (a bit of a symbol's hash says which it is). Equal
+substrings get equal symbols inside, up to a few at their ends: for a window of words
+the symbols that its own words settle are known, as what stands outside cannot change them.
+
+1. *Mark.* Each task parses its texts with symbols named by hash. A window's mark is the
+   first symbol of the highest round that the window settles. Equal windows have equal
+   marks, wherever they stand; Spark counts the marks of all texts, and a window whose mark
+   stands at one place only is left out. What is left are stretches of windows with one
+   mark; equal stretches are one string with a count (see ``_stretches``).
+2. *Name.* The strings of words that enter go through Spark rounds. In each, every run or
+   pair is counted over all strings and those that stand twice get a name, unique
+   among all rounds: a number, no hash. One that stands once is in no repeated window, and ends them.
+3. *Reveal and verify.* A window is read as its symbols: those that each round leaves at its
+   two ends, and those of the last round inside. Symbols stand for one sequence of words
+   each, so windows with the same symbols are equal in all words. Spark counts them.
+
+Texts are read twice, to find stretches and to cut; all between works on strings of
+word names. Equal texts are read as one: all their words go if they hold a window. No group is ever
+gathered: marks, runs, pairs and windows are pre-aggregated before each shuffle and
+looked up with joins that Spark splits.
 
 Defined results: a null or empty text has no words and loses none; a text of under
-``window`` words loses none unless it is longer; ties do not arise. Repeated rows
-count as copies of each other. An empty table gives an empty result; columns other
-than ``doc_id`` and ``text`` are ignored.
+``window`` words loses none. Texts of any length are read whole, a long one in a batch of its own.
+Repeated rows count as copies of each other; ties do not arise. An empty table gives an empty
+result; columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import pin
-from tidemark.llm._tokens import MIX_2, ODD, WordNames, in_chunks, key_pair, list_column, long_column, mix, window_names
+from tidemark.llm._common import pin, unpin
+from tidemark.llm._stretches import STRETCHES, equal_starts, found_marks, judged_stretches, runs_of
+from tidemark.llm._tokens import MIX_1, MIX_2, ODD, WordNames, in_chunks, key_pair, list_column, long_column, mix
 
 ROUNDS = 8
 
@@ -113,8 +119,17 @@ def split_words(raw: bytes | None) -> list[bytes]:
     return raw.split() if raw else []
 
 
+def marked_stretches(s: Strings, width: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, mark): windows that start from begin on and before end have the very same symbol as mark."""
+    start, mark, place = marks(s, width, rounds)
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    return start[first], start[np.append(first[1:], len(start)) - 1] + 1 if len(start) else start, mark[first]
+
+
 def word_profile(base: DataFrame, window: int, rounds: int) -> DataFrame:
-    """Per row: n_words, two keys of the word sequence, its SHA-256, its marks, and those it has twice."""
+    """Per row: n_words, two keys of the word sequence, its SHA-256, and the mark of each stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         namer = WordNames()
@@ -123,71 +138,255 @@ def word_profile(base: DataFrame, window: int, rounds: int) -> DataFrame:
             s = Strings(texts, namer)
             joined = [b" ".join(t) for t in texts]
             keys = [key_pair(x) for x in joined]
-            start, mark, place = marks(s, window, rounds)
-            # Windows that share the very symbol as mark stand next to each other and count once.
-            one = np.ones(len(start), dtype=bool)
-            one[1:] = place[1:] != place[:-1]
-            owner, mark = s.text_of[start[one]], mark[one]
-            order = np.lexsort((mark, owner))
-            owner, mark = owner[order], mark[order]
-            new = np.ones(len(mark), dtype=bool)
-            new[1:] = (mark[1:] != mark[:-1]) | (owner[1:] != owner[:-1])
-            again = ~new
-            cut = lambda at: np.searchsorted(at, np.arange(len(texts) + 1))
-            parts = lambda pick: [
-                mark[pick][i:j] for c in [cut(owner[pick])] for i, j in zip(c[:-1].tolist(), c[1:].tolist())
-            ]
+            begin, _, mark = marked_stretches(s, window, rounds)
+            cut = np.searchsorted(begin, s.bounds).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(s.counts), pa.array([k[0] for k in keys], pa.int64()),
                     pa.array([k[1] for k in keys], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in joined], pa.binary()),
-                    list_column(parts(new), pa.list_(pa.int64()).value_type), list_column(parts(again), pa.int64()),
+                    list_column([mark[i:j] for i, j in zip(cut[:-1], cut[1:])], pa.int64()),
                 ],
-                ["row", "n_words", "k1", "k2", "sha", "marks", "twice"],
+                ["row", "n_words", "k1", "k2", "sha", "marks"],
             )
 
-    schema = "row long, n_words long, k1 long, k2 long, sha binary, marks array<long>, twice array<long>"
-    return base.select("row", "text").mapInArrow(run, schema)
+    return base.select("row", "text").mapInArrow(run, "row long, n_words long, k1 long, k2 long, sha binary, marks array<long>")
+
 
+def stretch_strings(texts: DataFrame, window: int, rounds: int) -> DataFrame:
+    """(row, at, words, stretches) for each run of stretches of ``texts`` (row, text, found) whose marks are in ``found``.
 
-def candidate_windows(texts: DataFrame, window: int, rounds: int) -> DataFrame:
-    """(row, at, w1, w2) for every window of ``texts`` (row, text, found) whose mark is one of ``found``."""
+    ``words`` are names of the text's words from place ``at`` on; a stretch's places are those in the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         namer = WordNames()
         for batch in in_chunks(batches, 1):
             s = Strings([split_words(raw) for raw in batch.column(1).cast(pa.binary()).to_pylist()], namer)
-            start, mark, _ = marks(s, window, rounds)
+            begin, end, mark = marked_stretches(s, window, rounds)
             found = batch.column(2)
             size = np.diff(found.offsets.to_numpy())
             both = lambda text, m: mix(m + text.astype(np.uint64) * ODD)
             known = both(np.repeat(np.arange(batch.num_rows), size), found.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            hit = np.isin(both(s.text_of[start], mark), known)
-            at, rows = start[hit], batch.column(0).to_numpy(zero_copy_only=False)
-            owner = s.text_of[at]
+            hit = np.isin(both(s.text_of[begin], mark), known)
+            begin, end, mark = begin[hit], end[hit], mark[hit]
+            text, whole = s.text_of[begin], s.names.tobytes()
+            spans = zip((8 * begin).tolist(), (8 * (end + window - 1)).tolist())
+            x = np.array([key_pair(whole[i:j]) for i, j in spans], dtype=np.int64).reshape(-1, 2)
+            first = runs_of(begin, end, text)
+            last = np.append(first[1:], len(begin))
+            off = s.bounds[text]
+            parts = pa.StructArray.from_arrays(
+                [long_column(mark), pa.array((begin - off).astype(np.int32)), pa.array((end - off).astype(np.int32)), pa.array(x[:, 0]), pa.array(x[:, 1])],
+                ["mark", "begin", "end", "x1", "x2"],
+            )
+            strings = [s.names[i:j] for i, j in zip(begin[first].tolist(), (end[last - 1] + window - 1).tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rows[owner], pa.int64()), pa.array((at - s.bounds[owner]).astype(np.int32)),
-                    long_column(window_names(s.names, window, 1)[at]), long_column(window_names(s.names, window, 2)[at]),
+                    pa.array(batch.column(0).to_numpy(zero_copy_only=False)[text[first]], pa.int64()),
+                    pa.array((begin - off)[first].astype(np.int32)),
+                    list_column(strings, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.append(first, len(begin)).astype(np.int32)), parts),
                 ],
-                ["row", "at", "w1", "w2"],
+                ["row", "at", "words", "stretches"],
+            )
+
+    return texts.mapInArrow(run, f"row long, at int, words array<long>, stretches {STRETCHES}")
+
+
+def entering_strings(strings: DataFrame, window: int) -> DataFrame:
+    """(row, at, s0) for each run of stretches of ``strings`` that enter: the names of its words; a window starts at all but the last ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ats, out = [], [], []
+            for row, at, words, parts in zip(*(batch.column(c) for c in ("row", "at", "words", "stretches"))):
+                p = parts.values
+                begin, end, enters = (p.field(c).to_numpy(zero_copy_only=False) for c in ("begin", "end", "enters"))
+                begin, end = begin[enters.astype(bool)], end[enters.astype(bool)]
+                first = runs_of(begin, end, np.zeros(len(begin), dtype=np.int64))
+                names = words.values.to_numpy(zero_copy_only=False)
+                for i, j in zip(begin[first].tolist(), end[np.append(first[1:], len(begin)) - 1].tolist() if len(begin) else []):
+                    rows.append(row.as_py())
+                    ats.append(i)
+                    out.append(names[i - at.as_py() : j - at.as_py() + window - 1])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ats, pa.int32()), list_column(out, pa.int64())], ["row", "at", "s0"])
+
+    return strings.select("row", "at", "words", "stretches").mapInArrow(run, "row long, at int, s0 array<long>")
+
+
+#: In the place of a run or pair that stands once.
+ALONE = 0
+
+
+def parsed(names: np.ndarray, text: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of round ``turn`` of strings end to end: (first symbol of each, its second part or 0, block of each symbol).
+
+    Round 0 makes runs, a block's second part being its length; later ones make pairs. A block of one symbol has no second part.
+    """
+    size = len(names)
+    fresh = np.ones(size, dtype=bool)
+    if turn == 0:
+        fresh[1:] = (names[1:] != names[:-1]) | (text[1:] != text[:-1])
+        first = np.flatnonzero(fresh)
+        length = np.diff(np.append(first, size))
+        return first, np.where(length > 1, length, 0), np.cumsum(fresh) - 1
+    left, live = left_symbols(names, turn), names != ALONE
+    pair = left[:-1] & ~left[1:] & live[:-1] & live[1:] & (text[:-1] == text[1:])
+    fresh[1:] = ~pair
+    first = np.flatnonzero(fresh)
+    second = np.zeros(size, dtype=np.int64)
+    second[:-1][pair] = names[1:][pair]
+    return first, second[first], np.cumsum(fresh) - 1
+
+
+def left_symbols(names: np.ndarray, turn: int) -> np.ndarray:
+    return (mix(names.view(np.uint64) * ODD + np.uint64(turn)) >> np.uint64(63)) == 0
+
+
+def end_to_end(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, string of each, bounds) of a list column."""
+    bounds = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), np.diff(bounds)), bounds - bounds[0]
+
+
+def composed(strings: DataFrame, turn: int) -> DataFrame:
+    """(row, at, block, a, b): every run or pair of the round, by its place among the string's blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, text, bounds = end_to_end(batch.column(2))
+            first, second, of = parsed(names, text, turn)
+            base = of[bounds[:-1][np.diff(bounds) > 0]]
+            start = np.zeros(batch.num_rows, dtype=np.int64)
+            start[np.diff(bounds) > 0] = base
+            block = np.flatnonzero(second)
+            at = text[first[block]]
+            row, place = (batch.column(c).to_numpy(zero_copy_only=False)[at] for c in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row, pa.int64()), pa.array(place, pa.int32()), pa.array((block - start[at]).astype(np.int32)), pa.array(names[first[block]]), pa.array(second[block])],
+                ["row", "at", "block", "a", "b"],
             )
 
-    return texts.mapInArrow(run, "row long, at int, w1 long, w2 long")
+    return strings.select("row", "at", f"s{turn}").mapInArrow(run, "row long, at int, block int, a long, b long")
+
+
+def next_round(strings: DataFrame, turn: int) -> DataFrame:
+    """``strings`` with column ``s{turn + 1}``: the symbols after this round."""
+    each = composed(strings, turn)
+    number = F.lit((turn + 1) << 57).cast("long") + F.monotonically_increasing_id()
+    names = pin(each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("a", "b", number.alias("name")))
+    named = each.join(names, ["a", "b"]).groupBy("row", "at").agg(F.collect_list(F.struct("block", "name")).alias("named"))
+    kept = [c for c in strings.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, text, bounds = end_to_end(batch.column(f"s{turn}"))
+            first, second, of = parsed(names, text, turn)
+            after = np.where(second == 0, names[first], ALONE)
+            start = np.zeros(batch.num_rows + 1, dtype=np.int64)
+            start[1:] = np.cumsum(np.bincount(text[first], minlength=batch.num_rows))
+            known = batch.column("named")
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(known.offsets.to_numpy()))
+            flat = known.flatten()
+            after[flat.field("block").to_numpy(zero_copy_only=False) + start[owner]] = flat.field("name").to_numpy(zero_copy_only=False)
+            column = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(after))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], [*kept, f"s{turn + 1}"])
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in strings.schema.fields) + f", s{turn + 1} array<long>"
+    out = pin(strings.join(named, ["row", "at"], "left").mapInArrow(run, kind))
+    unpin(names)
+    return out
+
+
+def window_symbols(strings: DataFrame, window: int, rounds: int) -> DataFrame:
+    """(row, place, w1, w2): two hashes of the symbols that each window is read as, for windows all of whose symbols stand twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, text, bounds = end_to_end(batch.column("s0"))
+            n = max(0, len(words) - window + 1)
+            start = np.flatnonzero(text[:n] == text[window - 1 :]) if n else np.zeros(0, dtype=np.int64)
+            a, z = start.copy(), start + window
+            w = [np.zeros(len(start), dtype=np.uint64), np.ones(len(start), dtype=np.uint64)]
+            live = np.ones(len(start), dtype=bool)
+
+            def read(values, where, tag, w=w):
+                for k, factor in enumerate((ODD, MIX_1)):
+                    w[k][where] = mix(w[k][where] * factor + values[where].astype(np.int64).view(np.uint64) * MIX_2 + np.uint64(tag))
+
+            names, owner = words, text
+            for turn in range(rounds):
+                size = len(names)
+                first, second, of = parsed(names, owner, turn)
+                inside, last = np.minimum(a, size - 1), np.clip(z - 1, 0, size - 1)
+                open_ = a < z
+                if turn == 0:  # what stands on either side may go on the first and the last run
+                    one = of[inside] == of[last]
+                    end_a = np.where(one, z, first[np.minimum(of[inside] + 1, len(first) - 1)])
+                    read(names[inside], open_, 1)
+                    read(end_a - a, open_, 2)
+                    begin_z = np.where(one, a, first[of[last]])
+                    read(names[last], open_ & ~one, 3)
+                    read(z - begin_z, open_ & ~one, 4)
+                    a, z = of[inside] + 1, np.maximum(of[last], of[inside] + 1)
+                else:  # a right symbol in front may be paired with what stands before, a left one at the end with what follows
+                    left = left_symbols(names, turn)
+                    pop_a = open_ & ~left[inside]
+                    read(names[inside], pop_a, 4 * turn + 1)
+                    a = a + pop_a
+                    open_ = a < z
+                    pop_z = open_ & left[last]
+                    read(names[last], pop_z, 4 * turn + 3)
+                    z = z - pop_z
+                    ends = np.append(of, len(first))
+                    a, z = ends[np.minimum(a, size)], ends[np.minimum(z, size)]
+                names, owner, _ = end_to_end(batch.column(f"s{turn + 1}"))
+                dead = np.concatenate([[0], np.cumsum(names == ALONE)])
+                live &= dead[np.minimum(np.maximum(a, z), len(names))] == dead[np.minimum(a, len(names))]
+            size = int((z - a).max()) if len(a) else 0
+            for i in range(size):
+                read(names[np.minimum(a + i, len(names) - 1)], a + i < z, 4 * rounds + 5)
+            at, of_start = start[live], text[start[live]]
+            rows, ats = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "at"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[of_start], pa.int64()), pa.array((at - bounds[of_start] + ats[of_start]).astype(np.int32)), *(long_column(x[live]) for x in w)],
+                ["row", "place", "w1", "w2"],
+            )
+
+    return strings.mapInArrow(run, "row long, place int, w1 long, w2 long")
+
+
+def repeated_windows(strings: DataFrame, window: int, rounds: int) -> DataFrame:
+    """(row, place), pinned: windows of ``strings`` (row, at, s0) that stand twice among them."""
+    level = strings
+    for turn in range(rounds):
+        above = next_round(level, turn)
+        unpin(level)
+        level = above
+    windows = pin(window_symbols(level, window, rounds))
+    unpin(level)
+    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("w1", "w2")
+    found = pin(windows.join(twice, ["w1", "w2"], "left_semi").select("row", "place"))
+    unpin(windows)
+    return found
 
 
 def cut_words(texts: DataFrame, window: int) -> DataFrame:
-    """(row, n_removed, sha of the kept words, the kept words) of ``texts`` (row, text, at)."""
+    """(row, gone, left_sha, left_text) of ``texts`` (row, text, starts, places): ranges and places of windows that go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, 1):
             removed, digests, kept = [], [], []
-            for raw, at in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
+            for raw, starts, places in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), batch.column(3)):
                 words = split_words(raw)
-                at = at.values.to_numpy(zero_copy_only=False)
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
+                if starts.is_valid:
+                    np.add.at(edge, starts.values.field("begin").to_numpy(zero_copy_only=False), 1)
+                    np.add.at(edge, starts.values.field("end").to_numpy(zero_copy_only=False) + window - 1, -1)
+                if places.is_valid:
+                    at = places.values.to_numpy(zero_copy_only=False)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + window, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 left = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
                 removed.append(int(gone.sum()))
@@ -201,41 +400,28 @@ def cut_words(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, "row long, gone long, left_sha binary, left_text string")
 
 
-def shared_marks(profile: DataFrame) -> DataFrame:
-    """Marks found in two different texts, or twice in one."""
-    across = (
-        profile.select("k1", F.explode("marks").alias("mark"))
-        .groupBy("mark")
-        .agg(F.min("k1").alias("low"), F.max("k1").alias("high"))
-        .filter("low != high")
-        .select("mark")
-    )
-    return across.union(profile.select(F.explode("twice").alias("mark"))).distinct()
-
-
-def remove_repeats(docs: DataFrame, window: int = 35, rounds: int = ROUNDS, with_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = 35, rounds: int = ROUNDS, with_text: bool = False, named_rounds: int = 5
+) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and kept_text, if asked for)."""
     base = pin(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
     profile = pin(word_profile(base, window, rounds))
     key = ["k1", "k2", "n_words"]
     groups = profile.groupBy(*key).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
-    firsts = groups.select(F.col("first").alias("row"))
-    found = (
-        profile.select("row", F.explode("marks").alias("mark"))
-        .join(shared_marks(profile), "mark", "left_semi")
-        .groupBy("row")
-        .agg(F.collect_list("mark").alias("found"))
-        .join(firsts, "row", "left_semi")
-    )
+    found = found_marks(profile, groups.select(F.col("first").alias("row")), "marks")
     texts = base.select("row", "text")
-    windows = pin(candidate_windows(texts.join(found, "row").select("row", "text", "found"), window, rounds))
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("w1", "w2")
-    at = windows.join(twice, ["w1", "w2"], "left_semi").groupBy("row").agg(F.collect_list("at").alias("at"))
-    cut = cut_words(texts.join(at, "row").select("row", "text", "at"), window)
+    regions = pin(stretch_strings(texts.join(found, "row").select("row", "text", "found"), window, rounds))
+    judged = pin(judged_stretches(regions))
+    entered = judged.filter(F.exists("stretches", lambda s: s["enters"]))
+    strings = pin(entering_strings(regions.drop("stretches").join(entered, ["row", "at"]), window))
+    unpin(regions)
+    places = repeated_windows(strings, window, named_rounds)
+    both = equal_starts(judged).join(places.groupBy("row").agg(F.collect_list("place").alias("places")), "row", "full")
+    cut = cut_words(texts.join(both, "row").select("row", "text", "starts", "places"), window)
     if not with_text:
         cut = cut.drop("left_text")
     ids = base.select("row", "doc_id", *(["text"] if with_text else []))
-    judged = profile.select("row", "sha", *key).join(groups, key).join(cut, "row", "left").join(ids, "row")
+    whole_rows = profile.select("row", "sha", *key).join(groups, key).join(cut, "row", "left").join(ids, "row")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= window)
     pick = lambda all_gone, part, none: F.when(whole, all_gone).when(F.col("gone").isNotNull(), part).otherwise(none)
     out = [
@@ -247,4 +433,4 @@ def remove_repeats(docs: DataFrame, window: int = 35, rounds: int = ROUNDS, with
     if with_text:
         words = F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), " ")
         out.append(pick(F.lit(""), F.col("left_text"), words).alias("kept_text"))
-    return judged.select(*out)
+    return whole_rows.select(*out)

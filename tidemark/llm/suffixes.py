@@ -45,11 +45,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import pin, unpin
+from tidemark.llm._stretches import STRETCHES, equal_starts, found_marks, judged_stretches, runs_of
 from tidemark.llm._tokens import MIX_1, ODD, in_chunks, key_pair, list_column, long_column, mix
 
 #: A difference cover: every remainder modulo 39 is a difference of two members.
@@ -172,17 +172,10 @@ def byte_profile(base: DataFrame, length: int) -> DataFrame:
     return base.select("row", "text").mapInArrow(run, "row long, n_bytes long, k1 long, k2 long, sha binary, grams array<long>")
 
 
-def runs_of(begin: np.ndarray, end: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Where a new run of stretches starts: another text, or not right after the one before."""
-    new = np.ones(len(begin), dtype=bool)
-    new[1:] = (begin[1:] != end[:-1]) | (text[1:] != text[:-1])
-    return np.flatnonzero(new)
-
-
 def stretch_strings(texts: DataFrame, length: int) -> DataFrame:
     """(row, at, bytes, stretches) for each run of stretches of ``texts`` (row, text, found) whose grams are in ``found``.
 
-    ``bytes`` are the text's from place ``at`` on; a stretch is (gram, begin, end, x1, x2): its places in the text and a 128-bit name of its bytes.
+    ``bytes`` are the text's from place ``at`` on; a stretch's places are those in the text, its name is that of its bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +196,7 @@ def stretch_strings(texts: DataFrame, length: int) -> DataFrame:
             off = b.bounds[text]
             parts = pa.StructArray.from_arrays(
                 [long_column(names), pa.array((begin - off).astype(np.int32)), pa.array((end - off).astype(np.int32)), pa.array(x[:, 0]), pa.array(x[:, 1])],
-                ["gram", "begin", "end", "x1", "x2"],
+                ["mark", "begin", "end", "x1", "x2"],
             )
             strings = [whole[i:j] for i, j in zip(begin[first].tolist(), (end[last - 1] + length - 1).tolist())]
             yield pa.RecordBatch.from_arrays(
@@ -216,27 +209,7 @@ def stretch_strings(texts: DataFrame, length: int) -> DataFrame:
                 ["row", "at", "bytes", "stretches"],
             )
 
-    kind = "row long, at int, bytes binary, stretches array<struct<gram:long,begin:int,end:int,x1:long,x2:long>>"
-    return texts.mapInArrow(run, kind)
-
-
-def judged_stretches(strings: DataFrame) -> DataFrame:
-    """(row, at, stretches) of all strings; a stretch is (begin, end, equal, enters).
-
-    ``equal``: its bytes stand elsewhere too. ``enters``: it takes part in the sorts.
-    """
-    each = strings.select("row", "at", F.explode("stretches").alias("s")).select("row", "at", "s.*")
-    name = ["gram", "x1", "x2"]
-    names = each.groupBy(*name).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "begin")).alias("first"))
-    open_grams = names.groupBy("gram").agg(F.min("times").alias("least")).filter("least = 1").select("gram", F.lit(True).alias("open"))
-    kinds = names.join(open_grams, "gram", "left").select(*name, "times", "first", F.coalesce("open", F.lit(False)).alias("open"))
-    is_first = F.struct("row", "begin") == F.col("first")
-    return (
-        each.join(kinds, name)
-        .select("row", "at", F.struct("begin", "end", (F.col("times") > 1).alias("equal"), (F.col("open") & is_first).alias("enters")).alias("s"))
-        .groupBy("row", "at")
-        .agg(F.sort_array(F.collect_list("s")).alias("stretches"))
-    )
+    return texts.mapInArrow(run, f"row long, at int, bytes binary, stretches {STRETCHES}")
 
 
 def blocks_of(length: int) -> int:
@@ -560,9 +533,7 @@ def remove_repeated_bytes(
     key = ["k1", "k2", "n_bytes"]
     groups = profile.groupBy(*key).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
     firsts = groups.select(F.col("first").alias("row"))
-    grams = profile.filter(F.size("grams") > 0).join(firsts, "row", "left_semi").select("row", F.explode("grams").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("gram")
-    found = grams.join(shared, "gram", "left_semi").groupBy("row").agg(F.collect_set("gram").alias("found"))
+    found = found_marks(profile, firsts, "grams")
     texts = base.select("row", "text")
     regions = pin(stretch_strings(texts.join(found, "row").select("row", "text", "found"), length))
     judged = pin(judged_stretches(regions))
@@ -572,9 +543,7 @@ def remove_repeated_bytes(
     places = repeated_places(strings, length, crowd)
     unpin(strings)
     hits = places.groupBy("row").agg(F.collect_list(F.struct("place", "shifts")).alias("hits"))
-    equal = judged.select("row", F.filter("stretches", lambda s: s["equal"]).alias("starts")).filter(F.size("starts") > 0)
-    starts = equal.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    both = starts.join(hits, "row", "full")
+    both = equal_starts(judged).join(hits, "row", "full")
     cut = cut_bytes(texts.join(both, "row").select("row", "text", "starts", "hits"), length)
     if not with_text:
         cut = cut.drop("left_bytes", "spans")
