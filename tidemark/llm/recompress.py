@@ -6,8 +6,8 @@ of a left and a right symbol does (a bit of a symbol's hash says which it is). E
 substrings get equal symbols inside, up to a few at their ends: for a window of words
 the symbols that its own words settle are known, as what stands outside cannot change them.
 
-1. *Mark.* Each task parses its texts with symbols named by hash. A window's mark is the
-   first symbol of the highest round that the window settles. Equal windows have equal
+1. *Mark.* Each task parses its texts with symbols named by hash. A window's mark is, of the
+   highest round in which it settles enough symbols, the few in a row with the least hash. Equal windows have equal
    marks, wherever they stand; Spark counts the marks of all texts, and a window whose mark
    stands at one place only is left out. What is left are stretches of windows with one
    mark; equal stretches are one string with a count (see ``_stretches``).
@@ -43,7 +43,7 @@ from tidemark.llm._common import pin, unpin
 from tidemark.llm._stretches import STRETCHES, equal_starts, found_marks, judged_stretches, runs_of
 from tidemark.llm._tokens import MIX_1, MIX_2, ODD, WordNames, in_chunks, key_pair, list_column, long_column, mix
 
-ROUNDS = 8
+ROUNDS = 4
 
 
 class Strings:
@@ -63,24 +63,12 @@ class Strings:
         return np.flatnonzero(self.text_of[:n] == self.text_of[width - 1 :])
 
 
-def marks(s: Strings, width: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start of each window, name of its mark, place of the mark among all symbols of all rounds)."""
+def settled_rounds(s: Strings, width: int, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each round (names of its symbols, a, z): the window from each start settles the symbols from a on and before z."""
     start = s.windows(width)
-    if not len(start):
-        return start, np.zeros(0, dtype=np.uint64), start
-    # Round 0: the words. The first and last symbols that a window settles are a and z - 1.
     name, text = mix(s.names), s.text_of
     a, z = start.copy(), start + width
-    mark, place = name[a], a.copy()
-    passed = len(name)
-    alive = np.ones(len(start), dtype=bool)
-
-    def settle(a, z, name):
-        nonlocal alive
-        alive = alive & (a < z)
-        mark[alive] = name[a[alive]]
-        place[alive] = passed + a[alive]
-
+    yield name, a, z
     # Runs of one word. What stands before a window may belong to its first run.
     fresh = np.ones(len(name), dtype=bool)
     fresh[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
@@ -89,8 +77,7 @@ def marks(s: Strings, width: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.
     length = np.diff(np.append(first, len(name)))
     a, z = of[a] + 1, of[z - 1]
     name, text = mix(name[first] * ODD + length.astype(np.uint64)), text[first]
-    settle(a, z, name)
-    passed += len(s.names)
+    yield name, a, z
     for r in range(rounds):
         left = (name >> np.uint64(63)) == 0
         pair = np.zeros(len(name), dtype=bool)
@@ -108,10 +95,49 @@ def marks(s: Strings, width: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.
         follow = name[np.minimum(head + 1, size - 1)]
         name = np.where(paired, mix(name[head] * ODD + follow * MIX_2 + np.uint64(r + 1)), mix(name[head] + np.uint64(r + 1)))
         text = text[head]
-        settle(a, z, name)
-        passed += size
-        if not alive.any():
-            break
+        yield name, a, z
+
+
+#: Symbols in a row that make a mark, and bits for a place in a batch.
+TOGETHER, PLACE_BITS = 3, 24
+
+
+def least_between(values: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The least of ``values`` from a on and before z, for a < z."""
+    level = np.frexp((z - a).astype(np.float64))[1] - 1
+    table = [values]
+    for k in range(int(level.max()) if len(level) else 0):
+        below, span = table[-1], 1 << k
+        table.append(np.minimum(below, np.append(below[span:], below[-span:])))
+    flat, size = np.concatenate(table), len(values)
+    return np.minimum(flat[level * size + a], flat[level * size + z - (1 << level)])
+
+
+def marks(s: Strings, width: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each window, name of its mark, place of the mark among all symbols of all rounds).
+
+    Of the highest round with enough settled symbols the ``TOGETHER`` in a row that have the least hash, the first of equals.
+    """
+    start = s.windows(width)
+    mark, place = np.zeros(len(start), dtype=np.uint64), np.zeros(len(start), dtype=np.int64)
+    if not len(start):
+        return start, mark, place
+    together = min(TOGETHER, width)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    todo, levels = np.ones(len(start), dtype=bool), list(settled_rounds(s, width, rounds))
+    for turn in range(len(levels) - 1, -1, -1):
+        name, a, z = levels[turn]
+        use = np.flatnonzero(todo & (z - a >= together))
+        if not len(use):
+            continue
+        todo[use] = False
+        row = name.copy()
+        for i in range(1, together):
+            row[:-i] = mix(row[:-i] * ODD + name[i:])
+        least = least_between((row & ~low) | np.arange(len(row)).astype(np.uint64), a[use], z[use] - together + 1)
+        at = (least & low).astype(np.int64)
+        mark[use] = mix(row[at] + np.uint64(turn))
+        place[use] = at + (turn << PLACE_BITS)
     return start, mark, place
 
 
@@ -401,7 +427,7 @@ def cut_words(texts: DataFrame, window: int) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = 35, rounds: int = ROUNDS, with_text: bool = False, named_rounds: int = 5
+    docs: DataFrame, window: int = 35, rounds: int = ROUNDS, with_text: bool = False, named_rounds: int = 4
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and kept_text, if asked for)."""
     base = pin(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
