@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm._common import pin
+
 #: Mark, first place and the place after the last one, and a 128-bit name of what the stretch holds.
 STRETCHES = "array<struct<mark:long,begin:int,end:int,x1:long,x2:long>>"
 
@@ -27,7 +29,8 @@ def runs_of(begin: np.ndarray, end: np.ndarray, text: np.ndarray) -> np.ndarray:
 def found_marks(profile: DataFrame, firsts: DataFrame, marks: str) -> DataFrame:
     """(row, found): of each row in ``firsts`` those of its marks that stand at two places; ``profile`` lists them by row."""
     each = profile.filter(F.size(marks) > 0).join(firsts, "row", "left_semi").select("row", F.explode(marks).alias("mark"))
-    shared = each.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("mark")
+    # Pinned, so that Spark can split the join at marks with very many holders.
+    shared = pin(each.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("mark"))
     return each.join(shared, "mark", "left_semi").groupBy("row").agg(F.collect_set("mark").alias("found"))
 
 

@@ -17,11 +17,12 @@ when ``100 * shared >= percent * union``. The join is exact:
   most, so each set makes its pairs for its own level and the next.
 
 Sets that are equal are one set from the start. Signatures with the same holders are
-one signature. More than ``FEW`` holders of a signature are not paired with each other:
-in each of ``rounds`` rounds they are paired with one pivot, and pairs that are already
-linked through others are left out. Pairs whose sets cannot share enough, by counts over
+one signature. In each of ``rounds`` rounds up to ``FEW`` holders of a signature are paired with
+each other and more with one pivot, which links most copies at small cost; pairs that are already
+linked through others are left out. Then up to ``SOME`` holders of a signature that still
+falls apart are paired with each other. Pairs whose sets cannot share enough, by counts over
 parts of the hash range, go first; the others are verified on the whole texts. Documents whose
-signatures still fall apart after that hold passages that many hold. They are indexed again
+signatures have more holders and fall apart hold passages that many hold. They are indexed again
 with longer combinations: their tokens are dealt by hash into more parts than two linked
 sets differ in tokens, so two linked sets have a part that is the same in both, and all
 tokens of a part are one signature. A part with more than ``CROWD`` holders is not paired;
@@ -44,13 +45,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import pin
+from tidemark.llm._common import pin, unpin
 from tidemark.llm._tokens import MIX_1, MIX_2, ODD, WordNames, in_chunks, list_column, long_column, mix, window_names
 
 #: Average number of a set's prefix tokens in a group.
 PER_GROUP = 8
 #: Parts of the hash range in which a set's tokens are counted, and holders of a signature that are paired at once.
 SKETCH, FEW = 64, 4
+#: Holders of a signature that are paired at once after the rounds of pivots.
+SOME = 32
 #: Holders of a part that are paired at once.
 CROWD = 16
 
@@ -225,8 +228,8 @@ def signatures(held: DataFrame, percent: int, frequent: int) -> DataFrame:
 
 
 def holders(profile: DataFrame, firsts: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """(sig, row, n): each different set of two or more holders once, under one of its signatures."""
-    exploded = profile.select("row", F.posexplode("prefix").alias("place", "token"))
+    """(sig, row, n, label), pinned: each different set of two or more holders once, under one of its signatures."""
+    exploded = profile.join(firsts, "row", "left_semi").select("row", F.posexplode("prefix").alias("place", "token"))
     counts = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     held = (
         exploded.join(counts, "token")
@@ -235,7 +238,9 @@ def holders(profile: DataFrame, firsts: DataFrame, percent: int, frequent: int)
         .join(firsts, "row")
     )
     sigs = pin(signatures(held.select("row", "n", "tokens"), percent, frequent).distinct())
-    return one_of_each_set(sigs.withColumn("label", F.col("row")))
+    members = pin(one_of_each_set(sigs.withColumn("label", F.col("row"))))
+    unpin(sigs)
+    return members
 
 
 def one_of_each_set(sigs: DataFrame) -> DataFrame:
@@ -310,7 +315,9 @@ def token_signatures(texts: DataFrame, size: int, percent: int) -> DataFrame:
 def open_signatures(base: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """(sig, row, n, label, place) under which all pairs of the rows of ``members`` that link and differ in label meet."""
     texts = lambda held: base.join(held.select("row", "label").distinct(), "row").select("row", "label", "text")
-    parts = pin(one_of_each_set(pin(part_signatures(texts(members), size, percent))))
+    every = pin(part_signatures(texts(members), size, percent))
+    parts = pin(one_of_each_set(every))
+    unpin(every)
     sizes = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
     small, large = sizes.filter(F.col("size") <= CROWD), sizes.filter(F.col("size") > CROWD)
     crowd = token_signatures(texts(parts.join(large, "sig", "left_semi")), size, percent)
@@ -318,6 +325,14 @@ def open_signatures(base: DataFrame, members: DataFrame, size: int, percent: int
     return few.union(crowd)
 
 
+def last_signatures(base: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(sig, row, n, label, place), pinned: those of up to ``SOME`` holders as they are, the holders of others indexed again."""
+    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+    large = pin(members.join(sizes.filter(F.col("size") > SOME), "sig", "left_semi"))
+    few = members.join(sizes.filter(F.col("size") <= SOME), "sig", "left_semi").select("sig", "row", "n", "label", "place")
+    return pin(few if large.isEmpty() else few.union(open_signatures(base, large, size, percent)))
+
+
 def possible(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets may share enough: in no part of the hash range can they share more than the smaller count."""
 
@@ -367,12 +382,14 @@ def least_labels(links: DataFrame) -> DataFrame:
     while True:
         seen = both.join(labels.select(F.col("row").alias("to"), F.col("label").alias("near")), "to")
         near = seen.groupBy("row").agg(F.min("near").alias("near"))
-        moved = labels.join(near, "row").select("row", F.col("label").alias("old"), F.least("label", "near").alias("via"))
+        via = labels.join(near, "row").select("row", F.col("label").alias("old"), F.least("label", "near").alias("via"))
         jump = labels.select(F.col("row").alias("via"), F.col("label").alias("far"))
-        moved = pin(moved.join(jump, "via").select("row", "old", F.least("via", "far").alias("label")))
-        labels = moved.select("row", "label")
+        moved = pin(via.join(jump, "via").select("row", "old", F.least("via", "far").alias("label")))
+        unpin(labels)
+        labels = moved
         if moved.filter("label != old").isEmpty():
-            return labels
+            unpin(both)
+            return moved.select("row", "label")
 
 
 def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: int, percent: int, rounds: int) -> DataFrame:
@@ -389,7 +406,7 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
             break
         last = turn == rounds
         if last:
-            members = pin(open_signatures(base, members, size, percent))
+            members = last_signatures(base, members, size, percent)
         heads = members.groupBy("sig").agg(F.min(F.struct("row", "n", "label")).alias("p"), F.count(F.lit(1)).alias("size"))
         few = heads if last else heads.filter(F.col("size") <= FEW)
         some = members.join(few.select("sig"), "sig", "left_semi")
@@ -403,6 +420,7 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
         rows = open_pairs.select("a").union(open_pairs.select("b")).distinct().toDF("row")
         texts = pin(base.select("row", "text").join(rows, "row", "left_semi"))
         found = pin(verified(open_pairs, texts, size, percent))
+        unpin(open_pairs, texts)
         done, links = done.union(pairs), links.union(found)
         if last:
             break
@@ -415,7 +433,7 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 4, percent: int = 85, top_words: int = 65_536, frequent: int = 32, rounds: int = 2
+    docs: DataFrame, size: int = 4, percent: int = 85, top_words: int = 65_536, frequent: int = 32, rounds: int = 1
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     base = pin(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
@@ -427,7 +445,7 @@ def _components(base: DataFrame, size: int, percent: int, top_words: int, freque
     key = ["k1", "k2", "n"]
     sets = pin(profile.filter("n > 0").groupBy(*key).agg(F.min("row").alias("first")))
     firsts = sets.select(F.col("first").alias("row"), "n")
-    members = pin(holders(profile, firsts, percent, frequent))
+    members = holders(profile, firsts, percent, frequent)
     links = link_pairs(base, profile, members, size, percent, rounds)
     labels = least_labels(links).toDF("first", "label")
     of = (
@@ -450,7 +468,7 @@ def _components(base: DataFrame, size: int, percent: int, top_words: int, freque
 
 
 def keep_one_of_each(
-    docs: DataFrame, size: int = 5, percent: int = 80, top_words: int = 65_536, frequent: int = 32, rounds: int = 2
+    docs: DataFrame, size: int = 5, percent: int = 80, top_words: int = 65_536, frequent: int = 32, rounds: int = 1
 ) -> DataFrame:
     """The rows of ``docs`` with the least doc_id of their group, with the columns of ``docs``."""
     marked = pin(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
