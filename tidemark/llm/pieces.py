@@ -13,8 +13,8 @@ its units. Every character without a piece is written as its UTF-8 bytes, so any
 text survives a round trip; a word-start mark in the text itself is written as
 bytes too.
 
-The vocabulary (32,000 entries, bounded) is broadcast. A worker keeps the units it
-has solved, at most ``cache_size`` of them.
+The vocabulary (32,000 entries, bounded) is broadcast. A worker process keeps the units it
+has solved for a job, at most ``2 * cache_size`` of up to ``LONG`` characters, from task to task.
 
 Defined results: a null text is the empty text and has no pieces, weight 0 and one
 segmentation. Ties in weight are broken by the longer last piece first. Repeated
@@ -28,6 +28,7 @@ import hashlib
 import heapq
 import math
 import re
+import uuid
 from bisect import insort
 from collections.abc import Iterator
 
@@ -37,7 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-NEG = -1e18
+#: Longer units are solved each time they come up, so a full cache has a bounded size.
+LONG = 64
 
 
 class Pieces:
@@ -46,8 +48,9 @@ class Pieces:
     def __init__(self, table: dict[str, int], byte_ids: list[int], weight: np.ndarray):
         self.table, self.byte_ids = table, byte_ids
         self.weight = weight.tolist()
-        #: Every prefix of a piece -> the piece's id, or -1 where it is only a prefix.
-        self.prefixes = {p[:k]: -1 for p in table for k in range(1, len(p))} | table
+        #: Every prefix of a piece -> the piece's weight and id, or nothing where it is only a prefix.
+        self.edges: dict[str, tuple] = {p[:k]: () for p in table for k in range(1, len(p))}
+        self.edges |= {p: (self.weight[i], (i,)) for p, i in table.items()}
         chars = set("".join(table)) - {MARK}
         inside = {piece[i : i + 2] for piece in table for i in range(len(piece) - 1)}
         if any(x != MARK and y == MARK for x, y in inside):
@@ -80,32 +83,32 @@ class Pieces:
         weight[byte_ids] = -math.log(len(table) + 1) - total
         return cls(table, byte_ids, weight)
 
+    def as_bytes(self, character: str) -> tuple[float, tuple[int, ...]]:
+        ids = tuple([self.byte_ids[b] for b in character.encode("utf-8", "surrogatepass")])
+        return sum([self.weight[i] for i in ids]), ids
+
     def solve(self, unit: str, n_best: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n_best`` segmentations of a unit, heaviest first."""
-        size, get, weight = len(unit), self.prefixes.get, self.weight
+        size, get = len(unit), self.edges.get
         ending: list[list] = [[] for _ in range(size + 1)]
-        forward = [0.0] + [NEG] * size
+        forward = [0.0]
         for start in range(size):
-            here = forward[start]
-            for end in range(start + 1, size + 1):
-                i = get(unit[start:end])
-                if i is None:
-                    if end > start + 1:
-                        break
-                elif i >= 0:
-                    w = weight[i]
-                    ending[end].append((start, w, (i,)))
-                    if here + w > forward[end]:
-                        forward[end] = here + w
-                    continue
-                if end == start + 1:
-                    ids = tuple([self.byte_ids[b] for b in unit[start].encode("utf-8", "surrogatepass")])
-                    w = sum([weight[i] for i in ids])
+            if start:
+                forward.append(max([forward[at] + w for at, w, _ in ending[start]]))
+            edge = get(unit[start])
+            w, ids = edge or self.as_bytes(unit[start])
+            ending[start + 1].append((start, w, ids))
+            if edge is None:
+                continue
+            for end in range(start + 2, size + 1):
+                edge = get(unit[start:end])
+                if edge:
+                    w, ids = edge
                     ending[end].append((start, w, ids))
-                    if here + w > forward[end]:
-                        forward[end] = here + w
-                    if i is None:
-                        break
+                elif edge is None:
+                    break
+        if size:
+            forward.append(max([forward[at] + w for at, w, _ in ending[size]]))
         # A hypothesis stands for its heaviest completion, and no two for the same one,
         # so the agenda never needs more of them than results are still wanted.
         best: list = []
@@ -138,7 +141,7 @@ def escape(text: str) -> str:
 
 
 class Encoder:
-    """Encodes and decodes whole texts; one per worker task."""
+    """Encodes and decodes whole texts; one per worker process and job."""
 
     def __init__(self, pieces: Pieces, n_best: int, cache_size: int):
         self.p, self.n, self.cache_size = pieces, n_best, cache_size
@@ -157,6 +160,8 @@ class Encoder:
             found = self.p.solve(unit, min(2, self.n))
             loss = max(0.0, found[0][0] - found[1][0]) if len(found) > 1 else None
             entry = (found[0][0], np.array(found[0][1], dtype="<i4").tobytes(), loss)
+        if len(unit) > LONG:
+            return entry
         if len(self.cache) >= self.cache_size:
             self.older, self.cache = self.cache, {}
         self.cache[unit] = entry
@@ -214,11 +219,24 @@ class Encoder:
 def _encoder(spark: SparkSession, model: str, n_best: int, cache_size: int):
     pieces = Pieces.load(model)
     sent = spark.sparkContext.broadcast((pieces.table, pieces.byte_ids, np.array(pieces.weight)))
-    return lambda: Encoder(Pieces(*sent.value), n_best, cache_size)
+    job = uuid.uuid4().hex
+    return lambda: _held_encoder(job, sent, n_best, cache_size)
+
+
+#: The encoder of the job that this worker process last worked for, with what it has solved.
+_HELD: dict[str, Encoder] = {}
+
+
+def _held_encoder(job: str, sent, n_best: int, cache_size: int) -> Encoder:
+    """One encoder for all tasks of a job that a worker process runs."""
+    if job not in _HELD:
+        _HELD.clear()
+        _HELD[job] = Encoder(Pieces(*sent.value), n_best, cache_size)
+    return _HELD[job]
 
 
 def encode_documents(
-    docs: DataFrame, model: str = MODEL, n_best: int = 4, cache_size: int = 250_000
+    docs: DataFrame, model: str = MODEL, n_best: int = 4, cache_size: int = 400_000
 ) -> DataFrame:
     """One row per document: doc_id, ids (best segmentation), weights and all_ids (of the N best), round_trip (of each of them)."""
     make = _encoder(docs.sparkSession, model, n_best, cache_size)
@@ -250,7 +268,7 @@ def encode_documents(
     return picked.mapInArrow(run, schema)
 
 
-def summarise(docs: DataFrame, model: str = MODEL, n_best: int = 4, cache_size: int = 250_000) -> DataFrame:
+def summarise(docs: DataFrame, model: str = MODEL, n_best: int = 4, cache_size: int = 400_000) -> DataFrame:
     """``encode_documents`` with the ids as digests: doc_id, n_pieces, ids_sha256, best, runner_up, n_found, round_trip, weights, all_sha256."""
     make = _encoder(docs.sparkSession, model, n_best, cache_size)
 
