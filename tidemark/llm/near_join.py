@@ -312,9 +312,9 @@ def token_signatures(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return first.filter("times > 1").select("sig", "row", "n", "label", (F.col("place") - 1).alias("place"))
 
 
-def open_signatures(base: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+def open_signatures(open_texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """(sig, row, n, label, place) under which all pairs of the rows of ``members`` that link and differ in label meet."""
-    texts = lambda held: base.join(held.select("row", "label").distinct(), "row").select("row", "label", "text")
+    texts = lambda held: open_texts.join(held.select("row", "label").distinct(), "row").select("row", "label", "text")
     every = pin(part_signatures(texts(members), size, percent))
     parts = pin(one_of_each_set(every))
     unpin(every)
@@ -325,12 +325,12 @@ def open_signatures(base: DataFrame, members: DataFrame, size: int, percent: int
     return few.union(crowd)
 
 
-def last_signatures(base: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+def last_signatures(texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """(sig, row, n, label, place), pinned: those of up to ``SOME`` holders as they are, the holders of others indexed again."""
     sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
     large = pin(members.join(sizes.filter(F.col("size") > SOME), "sig", "left_semi"))
     few = members.join(sizes.filter(F.col("size") <= SOME), "sig", "left_semi").select("sig", "row", "n", "label", "place")
-    return pin(few if large.isEmpty() else few.union(open_signatures(base, large, size, percent)))
+    return pin(few if large.isEmpty() else few.union(open_signatures(texts, large, size, percent)))
 
 
 def possible(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
@@ -401,12 +401,14 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
     # All that two sets can share from their first shared token on is what is left of the shorter one.
     meets = f"a < row AND label != other AND {100 + percent} * least(n - place, m - at) >= {percent} * (n + m)"
     fits = f"label != other AND 100 * least(n, m) >= {percent} * greatest(n, m)"
+    texts_of = lambda rows: base.select("row", "text").join(rows.distinct(), "row", "left_semi")
     for turn in range(rounds + 1):
         if members.isEmpty():
             break
         last = turn == rounds
-        if last:
-            members = last_signatures(base, members, size, percent)
+        if last:  # all that is still open is fetched once, to be indexed and to be verified
+            texts = pin(texts_of(members.select("row")))
+            members = last_signatures(texts, members, size, percent)
         heads = members.groupBy("sig").agg(F.min(F.struct("row", "n", "label")).alias("p"), F.count(F.lit(1)).alias("size"))
         few = heads if last else heads.filter(F.col("size") <= FEW)
         some = members.join(few.select("sig"), "sig", "left_semi")
@@ -417,8 +419,8 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
             met = met.union(members.join(pivots, "sig").filter("row != a").filter(fits).select("a", F.col("row").alias("b")))
         pairs = pin(met.distinct().join(done, ["a", "b"], "left_anti"))
         open_pairs = pin(possible(pairs, profile, percent))
-        rows = open_pairs.select("a").union(open_pairs.select("b")).distinct().toDF("row")
-        texts = pin(base.select("row", "text").join(rows, "row", "left_semi"))
+        if not last:
+            texts = pin(texts_of(open_pairs.select("a").union(open_pairs.select("b")).toDF("row")))
         found = pin(verified(open_pairs, texts, size, percent))
         unpin(open_pairs, texts)
         done, links = done.union(pairs), links.union(found)
