@@ -54,6 +54,8 @@ PER_GROUP = 8
 SKETCH, FEW = 64, 4
 #: Holders of a signature that are paired at once after the rounds of pivots.
 SOME = 32
+#: Row numbers that are broadcast at most, 8 bytes each.
+SENT = 1_000_000
 #: Holders of a part that are paired at once.
 CROWD = 16
 
@@ -401,13 +403,20 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
     # All that two sets can share from their first shared token on is what is left of the shorter one.
     meets = f"a < row AND label != other AND {100 + percent} * least(n - place, m - at) >= {percent} * (n + m)"
     fits = f"label != other AND 100 * least(n, m) >= {percent} * greatest(n, m)"
-    texts_of = lambda rows: base.select("row", "text").join(rows.distinct(), "row", "left_semi")
+
+    def texts_of(rows: DataFrame) -> DataFrame:
+        """(row, text) of ``rows``, pinned. Up to ``SENT`` rows are broadcast to the texts; more are joined by a shuffle of both."""
+        wanted = pin(rows.distinct())
+        found = pin(base.select("row", "text").join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "row", "left_semi"))
+        unpin(wanted)
+        return found
+
     for turn in range(rounds + 1):
         if members.isEmpty():
             break
         last = turn == rounds
         if last:  # all that is still open is fetched once, to be indexed and to be verified
-            texts = pin(texts_of(members.select("row")))
+            texts = texts_of(members.select("row"))
             members = last_signatures(texts, members, size, percent)
         heads = members.groupBy("sig").agg(F.min(F.struct("row", "n", "label")).alias("p"), F.count(F.lit(1)).alias("size"))
         few = heads if last else heads.filter(F.col("size") <= FEW)
@@ -420,7 +429,7 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
         pairs = pin(met.distinct().join(done, ["a", "b"], "left_anti"))
         open_pairs = pin(possible(pairs, profile, percent))
         if not last:
-            texts = pin(texts_of(open_pairs.select("a").union(open_pairs.select("b")).toDF("row")))
+            texts = texts_of(open_pairs.select("a").union(open_pairs.select("b")).toDF("row"))
         found = pin(verified(open_pairs, texts, size, percent))
         unpin(open_pairs, texts)
         done, links = done.union(pairs), links.union(found)
