@@ -2,11 +2,13 @@
 
 import math
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import config
 from tidemark.config import Settings, parse
 from tidemark.functions import geo, scalars
 from tidemark.operators import dataset, inject, prompts, scoring, strata, tracks
@@ -249,3 +251,57 @@ def test_prompts_hold_every_point(spark):
     asked = prompts.prompts(catalogue.routes(spark, SF), strata.indices(strata.route_stats(catalogue.routes(spark, SF)), 12), 12)
     text = asked.filter("anomaly_type = 'A1'").first().prompt
     assert text.count("Lat:") == 12 and "K = " in text and "t=12: [" in text
+
+
+def test_months_are_read_in_order(spark, tmp_path):
+    """Of two rows for one hour the earlier month's counts, though its name sorts later."""
+    for month, stamp, lon in (("Jan", "2019-01-31 23:50:00", 111.0), ("Feb", "2019-02-01 00:10:00", 222.0)):
+        path = next(p for p in monthly_paths(str(tmp_path), (2019,), ("cargo",)) if f"MPF_{month}_" in p)
+        Path(path).parent.mkdir(parents=True)
+        Path(path).write_text(f"CRAFT_ID,LON,LAT,COURSE,SPEED,TIMESTAMP,Track_ID\n7,{lon},-30,0,10,{stamp},t1\n")
+    rows = read_monthly(spark, str(tmp_path))
+    assert {(r.TYPE, r.MONTH) for r in rows.collect()} == {("cargo", "Jan"), ("cargo", "Feb")}
+    kept = tracks.keep_first(tracks.clean(rows)).collect()
+    assert [r.LON for r in kept] == [111.0]
+
+
+SECTIONS = """
+slices: [12, 24]   # lengths
+seed: 3
+verbose: true
+preprocess:
+  input_csv: ./data/positions.csv
+  trim: 6
+  ratios: [10, 5]
+inject:
+  theta_g: 2.5
+prepare-dataset:
+  ratios: [5]
+  modes: [a1, a3]
+  seeds: [2, 12]
+  train: 0.6
+  valid: 0.2
+  test: 0.2
+"""
+
+
+def test_settings_of_a_file_with_sections(tmp_path):
+    path = tmp_path / "config.yaml"
+    path.write_text(SECTIONS)
+    s = config.load(str(path))
+    assert (s.T, s.slices, s.seed, s.verbose, s.input_csv, s.trim) == (12, (12, 24), 3, True, "./data/positions.csv", 6)
+    assert (s.percentages, s.grid_percentages, s.modes, s.seeds) == ((10, 5), (5,), ("a1", "a3"), (2, 12))
+    assert (s.theta_g, s.train, s.valid, s.test) == (2.5, 0.6, 0.2, 0.2) and config.Settings().seeds == (2, 12, 32, 42, 52)
+    path.write_text(config.as_text(s))
+    assert config.load(str(path)) == s
+    for wrong in ("unheard: 1", "prepare-dataset:\n  train: 0.9\n  test: 0.9", "slices: [0]"):
+        path.write_text(wrong)
+        with pytest.raises(ValueError):
+            config.load(str(path))
+
+
+def test_prompt_files_are_read_back(spark, tmp_path):
+    prompts = spark.createDataFrame([("7-0", "A1", "one\ntwo"), ("7-1", "A3", "three")], "ROUTE_ID string, anomaly_type string, prompt string")
+    files.write_prompt_files(prompts, str(tmp_path / "prompts"))
+    got = {(r.stem, r.anomaly_type, r.text.strip()) for r in files.read_prompts(spark, str(tmp_path / "prompts")).collect()}
+    assert got == {("route_7-0_A1", "A1", "one\ntwo"), ("route_7-1_A3", "A3", "three")}

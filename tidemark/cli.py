@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import argparse
+from pathlib import Path
 
-from tidemark.config import Settings, load
+from tidemark.config import Settings, as_text, load
 from tidemark.operators import scoring
 from tidemark.plans.pipeline import Pipeline
 from tidemark.session import build_session
@@ -20,14 +21,19 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--out", default="data")
     p.add_argument("--plans", help="a folder of plan files, used by inject in place of scored answers")
     p.add_argument("--config")
+    p.add_argument("--write-config", help="with config: the file to write the settings to")
     for name, kind in (("T", int), ("trim", int), ("min-track-len", int), ("seed", int), ("theta-g", float), ("theta-v", float)):
         p.add_argument(f"--{name}", type=kind)
     a = p.parse_args(argv)
     given = {k: getattr(a, k) for k in ("T", "trim", "min_track_len", "seed", "theta_g", "theta_v")}
-    settings: Settings = load(a.config).merged(**given).check()
+    settings: Settings = load(a.config).merged(**given, slices=None if a.T is None else [a.T]).check()
     if a.stage == "config":
-        print("\n".join(f"{k}: {list(v) if isinstance(v, tuple) else v}" for k, v in vars(settings).items() if k != "extra"))
+        if a.write_config:
+            Path(a.write_config).write_text(as_text(settings))
+        else:
+            print(as_text(settings), end="")
         return 0
+    a.input = a.input or settings.input_csv
     spark = build_session()
     flow, out = Pipeline(spark, settings), a.out
     table = lambda name: spark.read.parquet(f"{out}/{name}")

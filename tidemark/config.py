@@ -1,27 +1,35 @@
-"""Settings of the stages; a field left at None takes the default of the stage that reads it."""
+"""Settings of the stages, from a file of sections and from arguments; arguments come first."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields, replace
+import re
+from dataclasses import dataclass, fields, replace
 from pathlib import Path
 
 
 @dataclass(frozen=True)
 class Settings:
     T: int = 12
+    #: Lengths of routes, where there is more than one; each has tables of its own.
+    slices: tuple[int, ...] = ()
     trim: int = 12
     min_track_len: int = 36
     n_bins: int = 5
     percentages: tuple[int, ...] = (10, 5, 3, 1)
+    #: Samples of which datasets are made, if not of all.
+    grid_percentages: tuple[int, ...] = ()
     modes: tuple[str, ...] = ("a1", "a2", "a3")
-    seeds: tuple[int, ...] = (2, 12, 22, 32, 42)
+    seeds: tuple[int, ...] = (2, 12, 32, 42, 52)
     seed: int = 0
     theta_g: float = 3.0
     theta_v: float = 2.0
     train: float = 0.7
     valid: float = 0.15
+    #: What is left of train and valid; checked if it is given.
+    test: float | None = None
     max_retries: int = 3
-    extra: dict = field(default_factory=dict)
+    input_csv: str | None = None
+    verbose: bool = False
 
     def merged(self, **given) -> Settings:
         """A copy with every value of ``given`` that is not None."""
@@ -41,27 +49,92 @@ class Settings:
             raise ValueError("modes are a1, a2 and a3")
         if self.train < 0 or self.valid < 0 or self.train + self.valid > 1:
             raise ValueError("train and valid are shares that sum to 1 at most")
+        if self.test is not None and abs(self.train + self.valid + self.test - 1) > 1e-6:
+            raise ValueError("train, valid and test must sum to 1")
+        if any(t <= 0 for t in self.slices):
+            raise ValueError("slices are positive")
+        if set(self.grid_percentages) - set(self.percentages):
+            raise ValueError("datasets can be made of the samples that are drawn only")
         return self
 
 
+#: Names in files, with their section, that differ from the field's.
+NAMES = {"preprocess.ratios": "percentages", "prepare-dataset.ratios": "grid_percentages", "ratios": "percentages"}
+
+
 def load(path: str | None = None) -> Settings:
-    """Settings from a file of ``name: value`` lines, or from config.yaml here or in the home folder if there is one."""
+    """Settings from the file given, or from config.yaml here or in the home folder if there is one."""
     places = [Path(path)] if path else [Path("config.yaml"), Path.home() / "tidemark.yaml"]
     for place in places:
         if place.exists():
-            return Settings().merged(**parse(place.read_text())).check()
+            return from_sections(parse(place.read_text()))
     if path:
         raise FileNotFoundError(path)
     return Settings()
 
 
-def parse(text: str) -> dict:
-    """Flat ``name: value`` lines; a value in brackets is a list."""
-    out: dict = {}
+def from_sections(found: dict[str, object]) -> Settings:
+    given = {NAMES.get(key, key.rpartition(".")[2].replace("-", "_")): value for key, value in found.items()}
+    slices = given.get("slices")
+    if slices:
+        given["T"] = slices[0] if isinstance(slices, list) else slices
+        given["slices"] = slices if isinstance(slices, list) else [slices]
+    return Settings().merged(**given).check()
+
+
+def one_value(text: str) -> object:
+    text = text.strip()
+    if text[:1] in ("'", '"'):
+        return text[1:-1]
+    if text.lower() in ("true", "false", "null", "~", ""):
+        return {"true": True, "false": False}.get(text.lower())
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+def parse(text: str) -> dict[str, object]:
+    """``name`` or ``section.name`` -> value, of ``name: value`` lines; indented lines belong to the section above them.
+
+    A value in brackets is a list; a comment starts at a line's start or after a blank.
+    """
+    out: dict[str, object] = {}
+    section = ""
     for line in text.splitlines():
-        name, colon, value = line.split("#", 1)[0].partition(":")
+        line = re.sub(r"(^|\s)#.*", "", line).rstrip()
+        name, colon, value = line.partition(":")
+        if not colon:
+            continue
+        inside = line[0].isspace()
+        section = section if inside else ""
+        if not value.strip():
+            section = name.strip()
+            continue
         value = value.strip()
-        if colon and value:
-            one = lambda v: float(v) if "." in v else int(v) if v.lstrip("-").isdigit() else v.strip("'\"")
-            out[name.strip()] = [one(v.strip()) for v in value[1:-1].split(",")] if value.startswith("[") else one(value)
+        several = value.startswith("[")
+        key = f"{section}.{name.strip()}" if section else name.strip()
+        out[key] = [one_value(v) for v in value[1:-1].split(",") if v.strip()] if several else one_value(value)
     return out
+
+
+def as_text(s: Settings) -> str:
+    """The settings as a file that ``load`` reads."""
+    show = lambda v: f"[{', '.join(map(str, v))}]" if isinstance(v, tuple) else str(v).lower() if isinstance(v, bool) else str(v)
+    sections = {
+        "": {"slices": s.slices or (s.T,), "seed": s.seed, "verbose": s.verbose},
+        "preprocess": {"input_csv": s.input_csv, "trim": s.trim, "min_track_len": s.min_track_len, "n_bins": s.n_bins, "ratios": s.percentages},
+        "score": {"max_retries": s.max_retries},
+        "inject": {"theta_g": s.theta_g, "theta_v": s.theta_v},
+        "prepare-dataset": {
+            "ratios": s.grid_percentages or s.percentages, "modes": s.modes, "seeds": s.seeds,
+            "train": s.train, "valid": s.valid, "test": round(1 - s.train - s.valid, 6) if s.test is None else s.test,
+        },
+    }
+    lines = []
+    for name, values in sections.items():
+        lines += [f"{name}:"] if name else []
+        lines += [f"{'  ' if name else ''}{k}: {show(v)}" for k, v in values.items() if v is not None]
+    return "\n".join(lines) + "\n"

@@ -53,13 +53,15 @@ def split(routes: DataFrame, seed: int = 0, train: float = 0.7, valid: float = 0
     return ranked.withColumn("split", part).drop("_n", "_r")
 
 
-def dataset_grid(injected: DataFrame, indices: DataFrame, T: int, pcts=(10, 5, 3, 1), modes=("a1", "a2", "a3"), seeds=(2, 12, 22, 32, 42)) -> DataFrame:
+def dataset_grid(
+    injected: DataFrame, indices: DataFrame, T: int, pcts=(10, 5, 3, 1), modes=("a1", "a2", "a3"), seeds=(2, 12, 32, 42, 52), train: float = 0.7, valid: float = 0.15
+) -> DataFrame:
     """Every cell of pct x mode x seed in one frame, ready for one partitioned write."""
     out = None
     for mode in modes:
         for pct in pcts:
             rows = packed(labelled(injected, allowed_routes(indices, pct, mode), mode, T))
             for seed in seeds:
-                cell = split(rows, seed).withColumns({"T": F.lit(T), "mode": F.lit(mode), "pct": F.lit(pct), "seed": F.lit(seed)})
+                cell = split(rows, seed, train, valid).withColumns({"T": F.lit(T), "mode": F.lit(mode), "pct": F.lit(pct), "seed": F.lit(seed)})
                 out = cell if out is None else out.unionByName(cell)
     return out

@@ -112,10 +112,6 @@ def score_prompts(prompts: DataFrame, make_scorer: Callable[[], Scorer]) -> Data
     return asked.select("ROUTE_ID", "anomaly_type", "K", "T", "prompt").mapInPandas(run, schema)
 
 
-def repair_text(reason: str, last: str) -> str:
-    return f"The answer was refused: {reason}. Give the JSON object again, whole and nothing else. It was:\n{last}"
-
-
 def score_with_repairs(prompts: DataFrame, make_scorer: Callable[[], Scorer], write, max_retries: int = 3) -> DataFrame:
     """Valid and refused answers with their attempts: refused prompts are asked again, ``max_retries`` times at most.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,10 +37,16 @@ class Pipeline:
 
     def prepare(self, injected: DataFrame, index: DataFrame) -> DataFrame:
         s = self.s
-        return dataset.dataset_grid(injected, index, s.T, s.percentages, s.modes, s.seeds)
+        return dataset.dataset_grid(injected, index, s.T, s.grid_percentages or s.percentages, s.modes, s.seeds, s.train, s.valid)
 
     def run(self, raw: DataFrame, out: str, make_scorer: Callable = scoring.rule_scorer) -> DataFrame:
-        """All stages; routes, indices, answers, injected rows and the dataset are tables under ``out``."""
+        """All stages; routes, indices, answers, injected rows and the dataset are tables under ``out``.
+
+        With several ``slices`` each has a folder of its own below ``out``, and their datasets are returned as one.
+        """
+        if len(self.s.slices) > 1:
+            each = [Pipeline(self.spark, replace(self.s, T=t, slices=(t,))).run(raw, f"{out}/{t}h", make_scorer) for t in self.s.slices]
+            return reduce(DataFrame.unionByName, each)
         step = iter(range(10_000))
         routes, index, asked = self.preprocess(raw)
         routes = write_table(routes, f"{out}/routes")

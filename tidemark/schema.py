@@ -1,14 +1,3 @@
-"""Column types of the tables that pass between the stages."""
+"""Column types that files are read with."""
 
 RAW_AIS = "CRAFT_ID BIGINT, LON DOUBLE, LAT DOUBLE, COURSE DOUBLE, SPEED DOUBLE, TIMESTAMP STRING, TRACK_ID STRING"
-ROUTE_POINTS = (
-    "ROUTE_ID STRING, ROUTE_POINT_IDX INT, TIMESTAMP TIMESTAMP_NTZ, CRAFT_ID BIGINT, TRACK_ID STRING, SEG INT, LON DOUBLE, "
-    "LAT DOUBLE, SPEED DOUBLE, COURSE_SIN DOUBLE, COURSE_COS DOUBLE, ANOMALY BOOLEAN"
-)
-PLANS = "ROUTE_ID STRING, anomaly_type STRING, T INT, K INT, scores ARRAY<DOUBLE>"
-INDICES = (
-    "ROUTE_ID STRING, T INT, stratum STRING, use_10pct BOOLEAN, use_5pct BOOLEAN, use_3pct BOOLEAN, use_1pct BOOLEAN, "
-    "K INT, mode STRING"
-)
-SCORES_RAW = "source_name STRING, answer STRING, status STRING, attempts INT, scored_at TIMESTAMP_NTZ"
-INJECTED = ROUTE_POINTS + ", T_INDEX INT, ANOMALY_TYPE STRING"

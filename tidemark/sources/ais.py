@@ -27,10 +27,26 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return [p for p in paths if path(p).getFileSystem(conf).exists(path(p))]
 
 
+#: Year, type and month as monthly files have them in their paths.
+MONTHLY = r"/(\d{4})/(\w+)/\w+/MPF_(\w+?)_"
+
+
 def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Raw positions with columns bound by place, and ``src_ord``: file, then block, then row."""
+    """Raw positions with columns bound by place, and ``src_ord``, by which rows are ordered.
+
+    Monthly files come by year, type and number of the month, others by path; then blocks and rows in order.
+    """
     raw = spark.read.schema(RAW_AIS).option("header", True).option("enforceSchema", True).csv(paths)
-    order = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    path = F.col("_metadata.file_path")
+    part = lambda i: F.regexp_extract(path, MONTHLY, i)
+    order = F.struct(
+        part(1).alias("year"),
+        part(2).alias("kind"),
+        F.array_position(F.array(*map(F.lit, MONTHS)), part(3)).alias("month"),
+        path.alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
     return raw.withColumn("src_ord", order)
 
 
@@ -39,8 +55,8 @@ def read_monthly(spark: SparkSession, base: str, years=(2018, 2019, 2020), types
     paths = existing(spark, monthly_paths(base, years, types))
     if not paths:
         raise ValueError(f"no monthly file under {base}")
-    part = lambda i: F.regexp_extract("src_ord.file_path", r"/(\d{4})/(\w+)/(\w+)/MPF_(\w+?)_", i)
-    return read_csv(spark, paths).withColumns({"TYPE": part(2), "MONTH": part(4)})
+    month = F.element_at(F.array(*map(F.lit, MONTHS)), F.col("src_ord.month").cast("int"))
+    return read_csv(spark, paths).withColumns({"TYPE": F.col("src_ord.kind"), "MONTH": month})
 
 
 EVENTS_AS_AIS = """

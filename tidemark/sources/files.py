@@ -9,10 +9,11 @@ from tidemark.functions.scalars import json_span, length_in_path, plan_name, typ
 
 
 def whole_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """(path, stem, text), one row per file below ``folder``."""
+    """(path, stem, text), one row per file below ``folder``; in a folder ``name=...``, as ``write_prompt_files`` makes, that name is the stem."""
     read = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
     found = read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return found.withColumn("stem", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1))
+    of_folder, of_file = (F.regexp_extract("path", p, 1) for p in (r"/name=([^/]+)/[^/]*$", r"([^/]+?)(?:\.[^./]*)?$"))
+    return found.withColumn("stem", F.when(of_folder != "", of_folder).otherwise(of_file))
 
 
 def read_prompts(spark: SparkSession, folder: str) -> DataFrame:
