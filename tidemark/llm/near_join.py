@@ -355,8 +355,13 @@ def possible(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n", "m", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def sent(rows: DataFrame) -> DataFrame:
+    """Pinned numbers of rows, to be broadcast if they are ``SENT`` at most; otherwise the join shuffles both sides."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts link."""
+    """The pairs (a, b) of ``pairs``, pinned, whose whole texts link; ``texts`` hold no other rows than those of pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         namer = WordNames()
@@ -372,7 +377,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 hit.append(100 * shared >= percent * (len(tokens) + len(other) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    with_b = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
+    with_b = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")).join(sent(pairs), "b")
     with_both = with_b.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
     return with_both.select("a", "b", "text_b", "text_a").mapInArrow(run, "a long, b long")
 
@@ -404,10 +409,10 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
     meets = f"a < row AND label != other AND {100 + percent} * least(n - place, m - at) >= {percent} * (n + m)"
     fits = f"label != other AND 100 * least(n, m) >= {percent} * greatest(n, m)"
 
-    def texts_of(rows: DataFrame) -> DataFrame:
-        """(row, text) of ``rows``, pinned. Up to ``SENT`` rows are broadcast to the texts; more are joined by a shuffle of both."""
+    def texts_of(rows: DataFrame, texts: DataFrame) -> DataFrame:
+        """(row, text) of ``rows``, pinned."""
         wanted = pin(rows.distinct())
-        found = pin(base.select("row", "text").join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "row", "left_semi"))
+        found = pin(texts.select("row", "text").join(sent(wanted), "row", "left_semi"))
         unpin(wanted)
         return found
 
@@ -416,8 +421,8 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
             break
         last = turn == rounds
         if last:  # all that is still open is fetched once, to be indexed and to be verified
-            texts = texts_of(members.select("row"))
-            members = last_signatures(texts, members, size, percent)
+            held = texts_of(members.select("row"), base)
+            members = last_signatures(held, members, size, percent)
         heads = members.groupBy("sig").agg(F.min(F.struct("row", "n", "label")).alias("p"), F.count(F.lit(1)).alias("size"))
         few = heads if last else heads.filter(F.col("size") <= FEW)
         some = members.join(few.select("sig"), "sig", "left_semi")
@@ -428,8 +433,7 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
             met = met.union(members.join(pivots, "sig").filter("row != a").filter(fits).select("a", F.col("row").alias("b")))
         pairs = pin(met.distinct().join(done, ["a", "b"], "left_anti"))
         open_pairs = pin(possible(pairs, profile, percent))
-        if not last:
-            texts = texts_of(open_pairs.select("a").union(open_pairs.select("b")).toDF("row"))
+        texts = texts_of(open_pairs.select("a").union(open_pairs.select("b")).toDF("row"), held if last else base)
         found = pin(verified(open_pairs, texts, size, percent))
         unpin(open_pairs, texts)
         done, links = done.union(pairs), links.union(found)
