@@ -14,7 +14,8 @@ text survives a round trip; a word-start mark in the text itself is written as
 bytes too.
 
 The vocabulary (32,000 entries, bounded) is broadcast. A worker process keeps the units it
-has solved for a job, at most ``2 * cache_size`` of up to ``LONG`` characters, from task to task.
+has solved for a job, at most ``2 * cache_size`` of up to ``LONG`` characters and an eighth of ``cache_size`` with all of
+their segmentations, from task to task.
 
 Defined results: a null text is the empty text and has no pieces, weight 0 and one
 segmentation. Ties in weight are broken by the longer last piece first. Repeated
@@ -28,6 +29,7 @@ import hashlib
 import heapq
 import math
 import re
+import struct
 import uuid
 from bisect import insort
 from collections.abc import Iterator
@@ -48,9 +50,14 @@ class Pieces:
     def __init__(self, table: dict[str, int], byte_ids: list[int], weight: np.ndarray):
         self.table, self.byte_ids = table, byte_ids
         self.weight = weight.tolist()
-        #: Every prefix of a piece -> the piece's weight and id, or nothing where it is only a prefix.
-        self.edges: dict[str, tuple] = {p[:k]: () for p in table for k in range(1, len(p))}
-        self.edges |= {p: (self.weight[i], (i,)) for p, i in table.items()}
+        #: Prefix tree of the pieces: character -> [weight and id of the piece that ends there, or nothing; next characters].
+        self.tree: dict[str, list] = {}
+        for piece, i in table.items():
+            below = self.tree
+            for c in piece:
+                node = below.setdefault(c, [None, {}])
+                below = node[1]
+            node[0] = (self.weight[i], (i,))
         chars = set("".join(table)) - {MARK}
         inside = {piece[i : i + 2] for piece in table for i in range(len(piece) - 1)}
         if any(x != MARK and y == MARK for x, y in inside):
@@ -89,26 +96,27 @@ class Pieces:
 
     def solve(self, unit: str, n_best: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n_best`` segmentations of a unit, heaviest first."""
-        size, get = len(unit), self.edges.get
+        size, tree = len(unit), self.tree
         ending: list[list] = [[] for _ in range(size + 1)]
-        forward = [0.0]
-        for start in range(size):
-            if start:
-                forward.append(max([forward[at] + w for at, w, _ in ending[start]]))
-            edge = get(unit[start])
-            w, ids = edge or self.as_bytes(unit[start])
-            ending[start + 1].append((start, w, ids))
-            if edge is None:
-                continue
-            for end in range(start + 2, size + 1):
-                edge = get(unit[start:end])
-                if edge:
-                    w, ids = edge
-                    ending[end].append((start, w, ids))
-                elif edge is None:
+        forward = [0.0] + [-math.inf] * size
+        for start, (character, reached) in enumerate(zip(unit, forward)):
+            found, below = tree.get(character) or (None, {})
+            for end, c in enumerate(unit[start + 1 :], start + 2):
+                node = below.get(c)
+                if node is None:
                     break
-        if size:
-            forward.append(max([forward[at] + w for at, w, _ in ending[size]]))
+                edge, below = node
+                if edge:
+                    ending[end].append((start, edge))
+                    total = reached + edge[0]
+                    if total > forward[end]:
+                        forward[end] = total
+            edge = found or self.as_bytes(character)
+            end = start + 1
+            ending[end].append((start, edge))
+            total = reached + edge[0]
+            if total > forward[end]:
+                forward[end] = total
         # A hypothesis stands for its heaviest completion, and no two for the same one,
         # so the agenda never needs more of them than results are still wanted.
         best: list = []
@@ -124,17 +132,24 @@ class Pieces:
                 best.append((so_far, tuple(ids)))
                 continue
             room = n_best - len(best)
-            for start, w, ids in ending[at]:
+            worst = math.inf if len(agenda) < room else agenda[-1][0]
+            for start, (w, ids) in ending[at]:
                 behind = w + so_far
                 cost = -(forward[start] + behind)
-                if len(agenda) < room or cost < agenda[-1][0]:
+                if cost < worst:
                     tick += 1
                     insort(agenda, (cost, tick, start, behind, (ids, path)))
                     if len(agenda) > room:
                         agenda.pop()
+                    if len(agenda) == room:
+                        worst = agenda[-1][0]
         return best
 
 
+def packed(ids: tuple[int, ...]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 def escape(text: str) -> str:
     """Spaces become marks, with one mark in front."""
     return MARK + text.replace(" ", MARK)
@@ -148,6 +163,8 @@ class Encoder:
         #: Two generations of unit -> (weight, ids, loss of the second best); the older one is dropped.
         self.cache: dict[str, tuple[float, bytes, float | None]] = {}
         self.older: dict[str, tuple[float, bytes, float | None]] = {}
+        #: Unit -> its segmentations after the best, for units that a text's N best differ in.
+        self.others: dict[str, list[tuple[float, bytes]]] = {}
         self.raw_mark = np.array([pieces.byte_ids[b] for b in MARK.encode()], dtype="<i4").tobytes()
         self.raw_weight = sum(pieces.weight[pieces.byte_ids[b]] for b in MARK.encode())
         by_id: dict[int, bytes] = {i: p.replace(MARK, " ").encode() for p, i in pieces.table.items()}
@@ -159,7 +176,7 @@ class Encoder:
         if entry is None:
             found = self.p.solve(unit, min(2, self.n))
             loss = max(0.0, found[0][0] - found[1][0]) if len(found) > 1 else None
-            entry = (found[0][0], np.array(found[0][1], dtype="<i4").tobytes(), loss)
+            entry = (found[0][0], packed(found[0][1]), loss)
         if len(unit) > LONG:
             return entry
         if len(self.cache) >= self.cache_size:
@@ -169,8 +186,15 @@ class Encoder:
 
     def _others(self, unit: str) -> list[tuple[float, bytes]]:
         """(loss, ids) of a unit's segmentations after the best."""
-        found = self.p.solve(unit, self.n)
-        return [(max(0.0, found[0][0] - w), np.array(ids, dtype="<i4").tobytes()) for w, ids in found[1:]]
+        out = self.others.get(unit)
+        if out is None:
+            found = self.p.solve(unit, self.n)
+            out = [(max(0.0, found[0][0] - w), packed(ids)) for w, ids in found[1:]]
+            if len(unit) <= LONG:
+                if len(self.others) >= self.cache_size // 8:
+                    self.others = {}
+                self.others[unit] = out
+        return out
 
     def encode(self, text: str | None) -> list[tuple[float, bytes]]:
         """The ``n_best`` segmentations of a text: (weight, little-endian 32-bit ids)."""
@@ -191,8 +215,8 @@ class Encoder:
             entries += [get(u) or solve(u) for u in split]
             get = self.cache.get
         total = math.fsum([e[0] for e in entries])
-        packed = [e[1] for e in entries]
-        out = [(total, b"".join(packed))]
+        best = [e[1] for e in entries]
+        out = [(total, b"".join(best))]
         if self.n > 1:
             # Only units whose second best loses least can differ in the N best.
             near = heapq.nsmallest(self.n - 1, [(e[2], k) for k, e in enumerate(entries) if e[2] is not None])
@@ -204,7 +228,7 @@ class Encoder:
                     [(a + loss, c if ids is None else (*c, (k, ids))) for a, c in combos for loss, ids in options],
                 )
             for loss, changes in combos[1:]:
-                swapped = packed.copy()
+                swapped = best.copy()
                 for k, ids in changes:
                     swapped[k] = ids
                 out.append((total - loss, b"".join(swapped)))
