@@ -50,11 +50,11 @@ from tidemark.llm._tokens import MIX_1, MIX_2, ODD, WordNames, in_chunks, list_c
 
 #: Average number of a set's prefix tokens in a group.
 PER_GROUP = 8
-#: Parts of the hash range in which a set's tokens are counted, and holders of a signature that are paired at once.
-SKETCH, FEW = 64, 4
+#: Parts of the hash range in which a set's tokens are counted, a byte each, and holders of a signature that are paired at once.
+SKETCH, FEW = 256, 4
 #: Holders of a signature that are paired at once after the rounds of pivots.
 SOME = 32
-#: Row numbers that are broadcast at most, 8 bytes each.
+#: Row numbers that are broadcast at most, with up to 8 bytes besides the 8 of each.
 SENT = 1_000_000
 #: Holders of a part that are paired at once.
 CROWD = 16
@@ -160,7 +160,8 @@ def set_profile(base: DataFrame, size: int, percent: int, top_words: int) -> Dat
                 n.append(len(kinds))
                 k1.append(int(mix(kinds * MIX_1).sum(dtype=np.uint64)))
                 k2.append(int(mix(kinds * MIX_2 + ODD).sum(dtype=np.uint64)))
-                sketches.append(np.bincount((kinds >> np.uint64(58)).astype(np.int64), minlength=SKETCH).astype("<u2").tobytes() if len(kinds) < 65_536 else b"")
+                parts = np.bincount((kinds >> np.uint64(56)).astype(np.int64), minlength=SKETCH)
+                sketches.append(parts.astype(np.uint8).tobytes() if parts.max() < 256 else b"")
                 if len(words) < size:  # one shingle: only its equals link with it
                     prefixes.append(kinds[:0])
                     continue
@@ -345,7 +346,7 @@ def possible(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
             left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             known = np.array([bool(x and y) for x, y in zip(left, right)], dtype=bool)
             if known.any():
-                read = lambda side: np.frombuffer(b"".join(x for x, k in zip(side, known) if k), dtype="<u2").reshape(-1, SKETCH)
+                read = lambda side: np.frombuffer(b"".join(x for x, k in zip(side, known) if k), dtype=np.uint8).reshape(-1, SKETCH)
                 most = np.minimum(read(left), read(right)).sum(axis=1, dtype=np.int64)
                 keep[known] = 100 * most >= percent * (n[known] + m[known] - most)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
@@ -459,7 +460,7 @@ def _components(base: DataFrame, size: int, percent: int, top_words: int, freque
     profile = pin(set_profile(base, size, percent, top_words))
     key = ["k1", "k2", "n"]
     sets = pin(profile.filter("n > 0").groupBy(*key).agg(F.min("row").alias("first")))
-    firsts = sets.select(F.col("first").alias("row"), "n")
+    firsts = sent(sets.select(F.col("first").alias("row"), "n"))
     members = holders(profile, firsts, percent, frequent)
     links = link_pairs(base, profile, members, size, percent, rounds)
     labels = least_labels(links).toDF("first", "label")
