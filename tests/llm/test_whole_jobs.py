@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, pieces, pii, suffixes
+from tidemark.llm import mixing, near_join, pieces, pii, suffixes
 from tidemark.llm._common import pin
 from tidemark.llm._stretches import judged_stretches
 from tidemark.llm.exact_dedup import drop_exact_copies
@@ -105,3 +105,20 @@ def test_crowded_ranks_are_not_held_in_a_task(docs):
     assert plain and plain == split
     plain, split = ({tuple(x) for x in suffixes.remove_repeated_bytes(table, 200, crowd=c).collect()} for c in (10**9, 64))
     assert plain == split and all(x[2] >= 260 for x in split)
+
+
+def test_prefix_counts_against_counts(spark):
+    r = random.Random(3)
+    rows = [(i, [7] * (i % 3 == 0) + [8] * (i < 9) + r.sample(range(10, 4000), 20)) for i in range(3000)]
+    rows += [(3000, []), (3001, [9])]
+    times = Counter(t for _, tokens in rows for t in tokens)
+    want = sorted((i, t, k, min(times[t], 9)) for i, tokens in rows for k, t in enumerate(tokens) if times[t] > 1)
+    held = spark.createDataFrame(rows, "row long, prefix array<long>").repartition(5)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for batch in (10, 10_000):
+            spark.conf.set(size, batch)
+            assert sorted(map(tuple, near_join.prefix_counts(held, 8).collect())) == want
+    finally:
+        spark.conf.set(size, before)

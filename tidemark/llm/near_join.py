@@ -216,7 +216,7 @@ def signatures(held: DataFrame, percent: int, frequent: int) -> DataFrame:
                             break
                         found.append(mix((many[:-step][same] * ODD + many[step:][same]) * MIX_1 + np.uint64(at + 1)))
                         step += 1
-                out.append(np.concatenate(found))
+                out.append(np.unique(np.concatenate(found)))
             size = [len(x) for x in out]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -230,17 +230,74 @@ def signatures(held: DataFrame, percent: int, frequent: int) -> DataFrame:
     return held.mapInArrow(run, "sig long, row long, n long")
 
 
+def prefix_counts(prefixes: DataFrame, frequent: int) -> DataFrame:
+    """(row, token, place, times) of the tokens in two or more of ``prefixes`` (row, prefix), times ending at ``frequent + 1``.
+
+    One shuffle by token, then a pass over sorted tokens that holds up to ``frequent`` rows. A token that a batch
+    has in more prefixes than that is known to be frequent: its rows are spread over all tasks, and one row tells the
+    token's own task.
+    """
+    most = frequent + 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            token = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            kinds, of, times = np.unique(token, return_inverse=True, return_counts=True)
+            told = kinds[times > frequent]
+            at = place * 2 + (times > frequent)[of]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([token, told]), pa.int64()),
+                    pa.array(np.concatenate([row, np.zeros(len(told), dtype=np.int64)]), pa.int64()),
+                    pa.array(np.concatenate([at, np.full(len(told), -1)]), pa.int32()),
+                ],
+                ["token", "row", "at"],
+            )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)]
+        known = None  # the token that the last batch ended with, if it is frequent
+
+        def out(token: np.ndarray, row: np.ndarray, at: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+            keep = (at >= 0) & (times > 1)
+            columns = [pa.array(x[keep]) for x in (row, token, at >> 1, times.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, ["row", "token", "place", "times"])
+
+        def totals(token: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            sums = np.minimum(np.add.reduceat(np.where(at % 2 == 1, most, 1), begin), most)
+            if token[0] == known:
+                sums[0] = most
+            return begin, sums
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, row, at = (np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
+            begin, sums = totals(token, at)
+            known = token[-1] if sums[-1] == most else None
+            end = len(token) if known is not None else begin[-1]
+            times = np.repeat(sums, np.diff(np.append(begin, len(token))))
+            held = [token[end:], row[end:], at[end:]]
+            yield out(token[:end], row[:end], at[:end], times[:end])
+        if len(held[0]):
+            _, sums = totals(held[0], held[2])
+            yield out(*held, np.repeat(sums, len(held[0])))
+
+    dealt = prefixes.mapInArrow(deal, "token long, row long, at int")
+    spread = F.when((F.col("at") > 0) & (F.col("at") % 2 == 1), F.xxhash64("token", "row")).otherwise(F.col("token"))
+    return dealt.repartition(spread).sortWithinPartitions("token").mapInArrow(count, "row long, token long, place int, times int")
+
+
 def holders(profile: DataFrame, firsts: DataFrame, percent: int, frequent: int) -> DataFrame:
     """(sig, row, n, label), pinned: each different set of two or more holders once, under one of its signatures."""
-    exploded = profile.join(firsts, "row", "left_semi").select("row", F.posexplode("prefix").alias("place", "token"))
-    counts = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    held = (
-        exploded.join(counts, "token")
-        .groupBy("row")
-        .agg(F.collect_list(F.struct("token", "place", "times")).alias("tokens"))
-        .join(firsts, "row")
-    )
-    sigs = pin(signatures(held.select("row", "n", "tokens"), percent, frequent).distinct())
+    counted = prefix_counts(profile.join(firsts, "row", "left_semi").select("row", "prefix"), frequent)
+    held = counted.groupBy("row").agg(F.collect_list(F.struct("token", "place", "times")).alias("tokens")).join(firsts, "row")
+    sigs = pin(signatures(held.select("row", "n", "tokens"), percent, frequent))
     members = pin(one_of_each_set(sigs.withColumn("label", F.col("row"))))
     unpin(sigs)
     return members
