@@ -374,7 +374,10 @@ def token_signatures(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
 def open_signatures(open_texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """(sig, row, n, label, place) under which all pairs of the rows of ``members`` that link and differ in label meet."""
-    texts = lambda held: open_texts.join(held.select("row", "label").distinct(), "row").select("row", "label", "text")
+
+    def texts(held: DataFrame) -> DataFrame:
+        return open_texts.join(sent(pin(held.select("row", "label").distinct())), "row").select("row", "label", "text")
+
     every = pin(part_signatures(texts(members), size, percent))
     parts = pin(one_of_each_set(every))
     unpin(every)
