@@ -1,10 +1,11 @@
-"""Queries op1 to op10 over the driver's tables, with production parameters, and their SQL."""
+"""Queries op1 to op13 over the driver's tables, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm._common import table
+from tidemark.llm.audit import audit_filters
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near_join import near_duplicates
@@ -12,6 +13,8 @@ from tidemark.llm.pieces import summarise
 from tidemark.llm.pii import find_personal_data
 from tidemark.llm.quality import quality_report
 from tidemark.llm.recompress import remove_repeats
+from tidemark.llm.sharding import shard_records
+from tidemark.llm.spelling import spelling_variants
 from tidemark.llm.suffixes import remove_repeated_bytes
 from tidemark.llm.urlfilter import filter_urls
 from tidemark.llm.warc import archive_pages
@@ -58,6 +61,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_records(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_personal_data": op2_personal_data,
@@ -69,6 +84,9 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filters": op10_url_filters,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_sharding": op12_sharding,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -135,5 +153,48 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
+""",
+    "op11_filter_audit": r"""
+WITH d AS (
+  SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+    len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+    100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(d.doc_id > first_id, false)] AS fails
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+x AS (
+  SELECT a.f || b.f || c.f || e.f || g.f AS filter_order, [a.i, b.i, c.i, e.i, g.i] AS places
+  FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 3, 4, 5]) AS i) a,
+    (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 3, 4, 5]) AS i) b,
+    (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 3, 4, 5]) AS i) c,
+    (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 3, 4, 5]) AS i) e,
+    (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 3, 4, 5]) AS i) g
+  WHERE len(list_distinct([a.i, b.i, c.i, e.i, g.i])) = 5),
+s AS (SELECT filter_order, places, CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS step FROM x),
+m AS (
+  SELECT part, good, toxic, fails, count(*) AS docs FROM f GROUP BY ALL),
+r AS (
+  SELECT part, filter_order, step, places[step] AS filter, good, toxic, docs,
+    fails[places[step]] AS fails_here,
+    len(list_filter(places[1 : step - 1], lambda p: fails[p])) > 0 AS gone,
+    len(list_filter(fails, lambda v: v)) AS n_fails
+  FROM m, s),
+c AS (
+  SELECT part, filter_order, step, filter,
+    CAST(coalesce(sum(docs) FILTER (NOT gone AND NOT fails_here), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(docs) FILTER (NOT gone AND fails_here), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(docs) FILTER (gone AND fails_here), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(docs) FILTER (fails_here AND n_fails = 1), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(docs) FILTER (NOT gone AND fails_here AND good), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(docs) FILTER (NOT gone AND fails_here AND toxic), 0) AS BIGINT) AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM c
 """,
 }
