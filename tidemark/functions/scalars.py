@@ -23,12 +23,6 @@ def no_nan(x: Column) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
-def normalised(scores: Column) -> Column:
-    """Scores from 0 to 1; equal scores are all 0."""
-    low, high = F.array_min(scores), F.array_max(scores)
-    return F.transform(scores, lambda x: F.when(high > low, (x - low) / (high - low)).otherwise(F.lit(0.0)))
-
-
 def bin_of(x: Column, edges: Column) -> Column:
     """Number of the right-closed bin from 1 on, the least value included; null outside or without bins."""
     at = F.size(F.filter(edges, lambda e: e < x))
@@ -75,12 +69,21 @@ def json_span(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)
 
 
+#: Bits of a draw.
+DRAW_BITS = 60
+
+
+def draw(*keys: Column, seed: int | Column) -> Column:
+    """60 random bits that depend on the keys and the seed alone, by MD5, which other engines have too."""
+    name = F.concat_ws(":", *[k.cast("string") for k in (*keys, seed if isinstance(seed, Column) else F.lit(seed))])
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
+
+
 def uniform(*keys: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the keys and the seed alone."""
-    bits = F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11)
-    return bits.cast("double") / float(1 << 53)
+    return draw(*keys, seed=seed).cast("double") / float(1 << DRAW_BITS)
 
 
 def coin(*keys: Column, seed: int) -> Column:
     """1 or -1 by the keys and the seed."""
-    return F.when(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(-1))
+    return F.when(draw(*keys, seed=seed) % 2 == 0, F.lit(1)).otherwise(F.lit(-1))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import geo
 from tidemark.functions.scalars import coin, uniform
 from tidemark.operators.tracks import track_neighbours
+from tidemark.sources.kept import keep
 
 
 def route():
@@ -147,11 +148,11 @@ def inject_a2(points: DataFrame, theta_v: float = 2.0, sign: Column | None = Non
         F.col("ROUTE_POINT_IDX").alias("i"), F.col("PREV_LON").alias("x"), F.col("PREV_LAT").alias("y"),
         geo.heading(F.col("PREV_COURSE_SIN"), F.col("PREV_COURSE_COS")).alias("h"),
     )
-    packed = known.groupBy("TRACK_ID", "SEG").agg(
+    packed = known.filter("k > 0").groupBy("TRACK_ID", "SEG").agg(
         F.array_sort(F.collect_list(one)).alias("p"), F.min(before).alias("b"), F.first("start").alias("start"), F.first("k").alias("k"),
         F.first("_sign").alias("sign"), F.first("accel_local").alias("a"), F.first("turn_local").alias("w"),
     )
-    packed = packed.filter("size(p) >= 3 AND k > 0").withColumns(
+    packed = packed.filter("size(p) >= 3").withColumns(
         {
             "push": F.expr("greatest(1, int(2 * k div 3))"),
             "a": F.greatest(F.col("a"), F.lit(geo.LEAST_ACCEL)),
@@ -312,14 +313,18 @@ def mark_hosts(host: DataFrame, virtual: DataFrame) -> DataFrame:
     ).drop("_near")
 
 
+def latest_plans(plans: DataFrame) -> DataFrame:
+    """Of each route's plans of a type the latest by ``scored_at``, then by ``path`` if there is one; without either the one of the largest scores."""
+    by = [F.desc_nulls_last(c) for c in ("scored_at", "path") if c in plans.columns]
+    last = W.partitionBy("ROUTE_ID", "anomaly_type").orderBy(*by, F.desc("scores"))
+    return plans.withColumn("_l", F.row_number().over(last)).filter("_l = 1").drop("_l")
+
+
 def one_plan_each(plans: DataFrame, conflict: str = "a2_wins") -> DataFrame:
     """Of a route's A1 and A2 plans the one that counts; of several of a type the latest."""
-    if "scored_at" in plans.columns:
-        last = W.partitionBy("ROUTE_ID", "anomaly_type").orderBy(F.desc("scored_at"))
-        plans = plans.withColumn("_l", F.row_number().over(last)).filter("_l = 1").drop("_l")
     order = F.desc("anomaly_type") if conflict == "a2_wins" else F.asc("anomaly_type")
     rank = F.row_number().over(W.partitionBy("ROUTE_ID").orderBy(order))
-    return plans.filter("anomaly_type IN ('A1', 'A2')").withColumn("_n", rank).filter("_n = 1").drop("_n")
+    return latest_plans(plans.filter("anomaly_type IN ('A1', 'A2')")).withColumn("_n", rank).filter("_n = 1").drop("_n")
 
 
 def apply_plans(points: DataFrame, plans: DataFrame, seed: int = 0, theta_g: float = 3.0, theta_v: float = 2.0, conflict: str = "a2_wins") -> DataFrame:
@@ -340,8 +345,8 @@ def apply_plans(points: DataFrame, plans: DataFrame, seed: int = 0, theta_g: flo
     a2 = inject_a2(both.withColumn("K", k_of("A2")), theta_v, seed=seed)
     out = points.columns + ["T_INDEX", "ANOMALY_TYPE"]
     host = a1.filter("kind IS NULL OR kind = 'A1'").select(out).unionByName(a2.filter("kind = 'A2'").select(out))
-    a3 = scored(points, plans.filter("anomaly_type = 'A3'").withColumn("K", F.lit(0)))
-    virtual = inject_a3(a3, seed=seed).select(out)
+    a3 = scored(points, latest_plans(plans.filter("anomaly_type = 'A3'")).withColumn("K", F.lit(0)))
+    virtual = keep(inject_a3(a3, seed=seed).select(out))
     return mark_hosts(host, virtual).select(out).unionByName(virtual)
 
 

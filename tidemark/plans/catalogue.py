@@ -9,6 +9,7 @@ from tidemark.functions import geo, scalars
 from tidemark.operators import dataset, inject, prompts, scoring, strata, tracks
 from tidemark.plans.oracles import ORACLE_SQL
 from tidemark.sources.ais import events_as_ais
+from tidemark.sources.kept import keep
 
 T = 12
 
@@ -91,7 +92,7 @@ def route_stats(spark, sf):
 
 
 def stratum_bins(spark, sf):
-    stats = strata.route_stats(routes(spark, sf))
+    stats = keep(strata.route_stats(routes(spark, sf)))
     edges = strata.bin_edges(stats).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, strata.FEATURES)), F.array(*[f"{c}_edges" for c in strata.FEATURES]))).alias("feature", "edges"))
     return edges.select("feature", F.posexplode("edges").alias("place", "edge")).select("feature", "place", six("edge"))
 
@@ -135,7 +136,17 @@ def json_extract(spark, sf):
 
 
 def score_validate(spark, sf):
-    return scoring.validated(spark.createDataFrame(ANSWERS, "id int, answer string, anomaly_type string, T int")).select("id", "reason", "K")
+    return scoring.validated(answers_of(spark, sf)).select("id", "reason", "K")
+
+
+def answers_of(spark, sf):
+    """An answer for each event: the 18 below in turn, with scores that follow the event's value where they are good."""
+    shapes = F.array(*[F.struct(F.lit(a).alias("answer"), F.lit(k).alias("anomaly_type"), F.lit(t).alias("T")) for _, a, k, t in ANSWERS])
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.round(F.pmod(F.col("value"), F.lit(1.0)) * 0.5, 3).alias("v"))
+    dealt = events.select("event_id", "v", F.element_at(shapes, (F.col("event_id") % len(ANSWERS) + 1).cast("int")).alias("a"))
+    first = F.concat(F.lit("["), F.col("v").cast("string"), F.lit(", 0.2, 0.3, 1]"))
+    answer = F.replace(F.col("a.answer"), F.lit("[0.1, 0.2, 0.3, 1]"), first)
+    return dealt.select(F.col("event_id").alias("id"), answer.alias("answer"), "a.anomaly_type", "a.T")
 
 
 # Answers that break each rule, in the order of the rules; the first two are good.
@@ -162,11 +173,17 @@ ANSWERS = [
 
 
 def prompt_name_parse(spark, sf):
-    names = spark.createDataFrame(
-        [(n,) for n in ("route_2018CargoApr1-0_A1", "a_A2_b", "A3", "xA1y", "none", "route_a_b-3_A2_20240101-000000-000001")], "stem string"
-    )
+    """File names made of each event's user, type and number, in six shapes."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", F.col("event_type").alias("kind"))
+    a = F.concat(F.lit("A"), (F.col("event_id") % 4).cast("string"))
+    user, number = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    shapes = F.array(
+        F.concat(F.lit("route_"), user, F.lit("_"), "kind", F.lit("-"), number, F.lit("_"), a), F.concat("kind", F.lit("_"), a, F.lit("-b")),
+        a, F.concat(F.lit("x"), a, "kind"), F.concat("kind", number), F.concat(F.lit("route_a_"), user, F.lit("-3_"), a, F.lit("_20240101-000000-000001")),
+    )
+    names = e.select("event_id", F.element_at(shapes, (F.col("event_id") % 6 + 1).cast("int")).alias("stem"))
     route, kind = scalars.plan_name(F.col("stem"))
-    return names.select("stem", scalars.type_in_name(F.col("stem")).alias("any_type"), route.alias("route"), kind.alias("plan_type"))
+    return names.select("event_id", "stem", scalars.type_in_name(F.col("stem")).alias("any_type"), route.alias("route"), kind.alias("plan_type"))
 
 
 def score_topk(spark, sf):
@@ -309,11 +326,16 @@ def dataset_split(spark, sf):
     return dataset.split(rows, order=F.col("route_id")).select("route_id", "n_anomalous", "split")
 
 
+def dataset_grid(spark, sf):
+    index = strata.indices(strata.route_stats(routes(spark, sf)), T)
+    return dataset.dataset_grid(injected(spark, sf), index, T).select("route_id", "mode", "pct", "seed", "n_anomalous", "split")
+
+
 NAMES = """ais_clean hour_round_even dedup_keep_first course_sincos hourly_interpolate short_track_antijoin route_slice route_validate
 route_stats stratum_bins stratum_sample stratum_labels k_round_robin indices_by_mode prompt_stats prompt_text json_extract score_validate
 prompt_name_parse score_topk a2_window score_array_stats a3_risk_window geo_haversine geo_bearing geo_destination geo_xtrack sed_local
 accel_local turn_local track_lag_lead inject_a1 inject_a2 inject_a3 plan_join_a2_wins inject_union_label inject_counters complete_routes
-dataset_labels dataset_features dataset_split""".split()
+dataset_labels dataset_features dataset_split dataset_grid""".split()
 
 QUERIES = {name: globals()[name] for name in NAMES}
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -138,6 +138,35 @@ c6 AS (
     (radians(LAT) - radians(lat0)) * 6371000e0 + d * (sin(th) * pe + cos(th) * pn) AS y FROM c5),
 c7 AS (SELECT *, lead(x) OVER w - x AS dx0, lead(y) OVER w - y AS dy0 FROM c6 WINDOW w AS (PARTITION BY ROUTE_ID ORDER BY ROUTE_POINT_IDX)),
 a3 AS (SELECT *, coalesce(dx0, lag(dx0) OVER w) AS dx, coalesce(dy0, lag(dy0) OVER w) AS dy FROM c7 WINDOW w AS (PARTITION BY ROUTE_ID ORDER BY ROUTE_POINT_IDX))"""
+_DRAW = lambda name: f"CAST('0x' || substr(md5({name}), 1, 15) AS BIGINT)"
+_INDEX = _STRATA + f""",
+i1 AS (
+  SELECT *, count(*) OVER (PARTITION BY stratum_key) AS nn, row_number() OVER (PARTITION BY stratum_key ORDER BY {_DRAW("ROUTE_ID || ':0'")}, ROUTE_ID) AS rk,
+    row_number() OVER (PARTITION BY stratum_key ORDER BY {_DRAW("ROUTE_ID || ':7'")}, ROUTE_ID) AS rk7
+  FROM z)"""
+# Which points each plan touches; where they go does not matter here. A1 and A2 as planned, A2 first; A3 rows precede nothing.
+_TOUCHED = _SCORED + _NEAR.format(of="p") + f""",
+u1 AS (
+  SELECT *, CASE WHEN (CRAFT_ID + SEG) % 3 = 0 THEN 'A2' WHEN CRAFT_ID % 2 = 0 THEN 'A1' END AS kind, (CRAFT_ID + SEG) % 4 = 0 AS has_a3, {_NORM} AS s,
+    row_number() OVER (PARTITION BY ROUTE_ID ORDER BY score DESC, ROUTE_POINT_IDX DESC) AS top, arg_max(ROUTE_POINT_IDX, (score, -ROUTE_POINT_IDX)) OVER q AS best
+  FROM l WINDOW q AS (PARTITION BY ROUTE_ID)),
+u2 AS (
+  SELECT *, greatest(0, least(best - (K - 1) // 2, 12 - K)) AS start, max(s) OVER q AS most,
+    s + lead(s, 1) OVER w + lead(s, 2) OVER w AS three
+  FROM u1 WINDOW q AS (PARTITION BY ROUTE_ID), w AS (PARTITION BY ROUTE_ID ORDER BY ROUTE_POINT_IDX)),
+u3 AS (
+  SELECT *, arg_min(ROUTE_POINT_IDX, CASE WHEN most - s <= 1e-12 THEN {_DRAW("ROUTE_ID || ':' || ROUTE_POINT_IDX || ':0'")} END)
+    OVER (PARTITION BY ROUTE_ID) AS ta FROM u2),
+u4 AS (SELECT *, CASE WHEN ROUTE_POINT_IDX >= greatest(0, ta - 2) AND ROUTE_POINT_IDX <= least(ta, 9) THEN three END AS can FROM u3),
+u5 AS (SELECT ROUTE_ID AS rid, arg_max(ROUTE_POINT_IDX, (can, -ROUTE_POINT_IDX)) AS s0 FROM u4 WHERE can IS NOT NULL GROUP BY ROUTE_ID),
+u6 AS (
+  SELECT u4.*, has_a3 AND ROUTE_POINT_IDX BETWEEN s0 AND s0 + 2 AS close_by,
+    CASE WHEN kind = 'A1' AND top <= K AND px IS NOT NULL THEN 'A1'
+      WHEN kind = 'A2' AND ROUTE_POINT_IDX BETWEEN start AND start + K - 1 AND (ROUTE_POINT_IDX > 0 OR px IS NOT NULL) THEN 'A2' ELSE '' END AS own
+  FROM u4 JOIN u5 ON ROUTE_ID = rid),
+u7 AS (
+  SELECT ROUTE_ID, ROUTE_POINT_IDX, CASE WHEN own = '' AND close_by THEN 'A3' ELSE own END AS ANOMALY_TYPE FROM u6
+  UNION ALL SELECT 'A3_' || ROUTE_ID, ROUTE_POINT_IDX, CASE WHEN close_by THEN 'A3' ELSE '' END FROM u6 WHERE has_a3)"""
 _FLAGS = ", ".join(f"rk <= greatest(1, floor(nn * {p} / 100e0)) AS use_{p}pct" for p in (10, 5, 3, 1))
 _THREE = "printf('%.3f', round({0}, 3))"
 _LABEL = lambda e, b: f"'(' || printf('%.3f', round({e}[{b}] - CASE WHEN {b} = 1 THEN 0.001 ELSE 0 END, 3)) || ', ' || printf('%.3f', round({e}[{b} + 1], 3)) || ']'"
@@ -259,4 +288,52 @@ x2 AS (SELECT *, count(*) OVER (PARTITION BY n_anomalous) AS nn, row_number() OV
 x3 AS (SELECT *, round_even(nn * 0.7e0, 0) AS tr, round_even(nn * 0.15e0, 0) AS va FROM x2)""",
         "SELECT route_id, n_anomalous, CASE WHEN rk <= tr THEN 'train' WHEN rk <= tr + least(va, nn - tr) THEN 'valid' ELSE 'test' END AS split FROM x3",
     ),
+    "indices_by_mode": _with(
+        _INDEX,
+        f"SELECT ROUTE_ID, 12 AS T, vessel_type || '|sog=' || {_LABEL('e1', 'b1')} || '|dcog=' || {_LABEL('e2', 'b2')} || '|dsog=' || {_LABEL('e3', 'b3')} AS stratum, {_FLAGS}, "
+        "CAST(CASE WHEN mode <> 'a3' THEN [3, 6, 9][(rk7 - 1) % 3 + 1] END AS INTEGER) AS K, mode FROM i1, b, (SELECT unnest(['a1', 'a2', 'a3']) AS mode)",
+    ),
+    "inject_union_label": _with(
+        _TOUCHED, "SELECT ROUTE_ID, ANOMALY_TYPE, count(*) AS points, count(*) FILTER (ANOMALY_TYPE <> '') AS anomalous FROM u7 GROUP BY ALL"
+    ),
+    "inject_counters": _with(
+        _TOUCHED,
+        "SELECT count(DISTINCT ROUTE_ID) FILTER (host) AS routes_total, count(DISTINCT ROUTE_ID) FILTER (host AND ANOMALY_TYPE = 'A1') AS a1_routes, "
+        "count(DISTINCT ROUTE_ID) FILTER (host AND ANOMALY_TYPE = 'A2') AS a2_routes, count(DISTINCT ROUTE_ID) FILTER (NOT host) AS a3_routes, count(*) AS rows, "
+        "count(*) FILTER (ANOMALY_TYPE <> '') AS anomalous_rows FROM (SELECT *, NOT starts_with(ROUTE_ID, 'A3_') AS host FROM u7)",
+    ),
+    "dataset_grid": _with(
+        _TOUCHED
+        + _INDEX[len(_ROUTES) :]
+        + f""",
+d1 AS (SELECT ROUTE_ID, mode, pct, take FROM (
+    SELECT ROUTE_ID, unnest([10, 5, 3, 1]) AS pct, unnest([{", ".join(f"rk <= greatest(1, floor(nn * {p} / 100e0))" for p in (10, 5, 3, 1))}]) AS take FROM i1), (SELECT unnest(['a1', 'a2', 'a3']) AS mode)),
+d2 AS (SELECT ROUTE_ID, mode, pct, take FROM d1 UNION ALL SELECT 'A3_' || ROUTE_ID, mode, pct, take FROM d1 WHERE mode = 'a3'),
+d3 AS (
+  SELECT u7.ROUTE_ID AS route_id, mode, pct, CAST(count(*) FILTER (take AND ANOMALY_TYPE = upper(mode)) AS INTEGER) AS n_anomalous
+  FROM u7 JOIN d2 ON u7.ROUTE_ID = d2.ROUTE_ID GROUP BY ALL),
+d4 AS (SELECT *, unnest([2, 12, 32, 42, 52]) AS seed FROM d3),
+d5 AS (
+  SELECT *, count(*) OVER q AS n, row_number() OVER (q ORDER BY {_DRAW("route_id || ':' || seed")}, route_id) AS r
+  FROM d4 WINDOW q AS (PARTITION BY mode, pct, seed, n_anomalous)),
+d6 AS (SELECT *, round_even(n * 0.7e0, 0) AS tr, round_even(n * 0.15e0, 0) AS va FROM d5)""",
+        "SELECT route_id, mode, CAST(pct AS INTEGER) AS pct, CAST(seed AS INTEGER) AS seed, n_anomalous, "
+        "CASE WHEN r <= tr THEN 'train' WHEN r <= tr + least(va, n - tr) THEN 'valid' ELSE 'test' END AS split FROM d6",
+    ),
+    "prompt_name_parse": r"""
+WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS u, event_type AS kind, CAST(event_id AS VARCHAR) AS n, 'A' || (event_id % 4) AS a FROM events),
+s AS (
+  SELECT event_id, ['route_' || u || '_' || kind || '-' || n || '_' || a, kind || '_' || a || '-b', a, 'x' || a || kind, kind || n,
+    'route_a_' || u || '-3_' || a || '_20240101-000000-000001'][event_id % 6 + 1] AS stem FROM e)
+SELECT event_id, stem, coalesce(nullif(regexp_extract(stem, '(^|[_-])(A[123])($|[_-])', 2), ''), nullif(regexp_extract(stem, '(A[123])', 1), '')) AS any_type,
+  nullif(regexp_extract(stem, '^route_(.+)_(A[123])($|[_-])', 1), '') AS route, nullif(regexp_extract(stem, '^route_(.+)_(A[123])($|[_-])', 2), '') AS plan_type
+FROM s
+""",
+    "score_validate": """
+SELECT event_id AS id, [NULL, NULL, 'no JSON object', 'no JSON object', 'wrong keys', 'T is not an integer', 'T is not positive', 'T is not the expected one',
+    'unknown anomaly_type', 'anomaly_type is not the expected one', 'K is not an integer', 'K is not a quarter, half or three quarters of T', 'scores is not a list',
+    'scores has another length than T', 'a score is not a number', 'a score is outside 0 to 1', 'scores are all the same', 'too many scores are zero'][event_id % 18 + 1] AS reason,
+  CAST(CASE WHEN event_id % 18 = 0 THEN 1 END AS INTEGER) AS K
+FROM events
+""",
 }
