@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass, fields, replace
 from pathlib import Path
 
@@ -74,6 +75,12 @@ def load(path: str | None = None) -> Settings:
 
 
 def from_sections(found: dict[str, object]) -> Settings:
+    """What a scorer of one's own is set up with stands in the section score and is none of ours: a warning, no error."""
+    ours = {f.name for f in fields(Settings)}
+    others = [k for k in found if k.startswith("score.") and k.rpartition(".")[2].replace("-", "_") not in ours]
+    if others:
+        warnings.warn(f"not used here: {', '.join(others)}", stacklevel=2)
+    found = {k: v for k, v in found.items() if k not in others}
     given = {NAMES.get(key, key.rpartition(".")[2].replace("-", "_")): value for key, value in found.items()}
     slices = given.get("slices")
     if slices:
@@ -99,24 +106,32 @@ def one_value(text: str) -> object:
 def parse(text: str) -> dict[str, object]:
     """``name`` or ``section.name`` -> value, of ``name: value`` lines; indented lines belong to the section above them.
 
-    A value in brackets is a list; a comment starts at a line's start or after a blank.
+    A value in brackets is a list, and so are lines of ``- value`` below a name without one. A comment
+    starts at a line's start or after a blank. ValueError for a line that is none of these.
     """
     out: dict[str, object] = {}
-    section = ""
+    section, bare = "", ""
     for line in text.splitlines():
         line = re.sub(r"(^|\s)#.*", "", line).rstrip()
-        name, colon, value = line.partition(":")
-        if not colon:
+        if not line.strip():
             continue
-        inside = line[0].isspace()
+        item = re.fullmatch(r"\s*-\s+(\S.*)", line)
+        if item and bare:
+            section = section if "." in bare else ""
+            held = out.setdefault(bare, [])
+            held.append(one_value(item[1]))
+            continue
+        found = re.fullmatch(r"(\s*)([\w-]+)\s*:(?:\s+(\S.*))?", line)
+        if not found or item:
+            raise ValueError(f"not understood: {line}")
+        inside, name, value = found.groups()
         section = section if inside else ""
-        if not value.strip():
-            section = name.strip()
+        key = f"{section}.{name}" if section else name
+        bare = "" if value else key
+        if not value:
+            section = section or name
             continue
-        value = value.strip()
-        several = value.startswith("[")
-        key = f"{section}.{name.strip()}" if section else name.strip()
-        out[key] = [one_value(v) for v in value[1:-1].split(",") if v.strip()] if several else one_value(value)
+        out[key] = [one_value(v) for v in value[1:-1].split(",") if v.strip()] if value.startswith("[") else one_value(value)
     return out
 
 

@@ -6,11 +6,10 @@ place of numbers are refused.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from datetime import datetime
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clean_query, json_span, type_in_name
@@ -94,47 +93,6 @@ def validated(answers: DataFrame) -> DataFrame:
     ).drop("_v")
 
 
-def score_prompts(prompts: DataFrame, make_scorer: Callable[[], Scorer]) -> DataFrame:
-    """(ROUTE_ID, anomaly_type, K, T, answer, scored_at). The scorer is made once for each task.
-
-    A scorer is dear and may differ from run to run: write the result before using it.
-    Empty prompts are left out.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = make_scorer()
-        for frame in frames:
-            answers = [scorer(system_text(kind), text) for kind, text in zip(frame["anomaly_type"], frame["prompt"])]
-            yield frame[["ROUTE_ID", "anomaly_type", "K", "T"]].assign(answer=answers, scored_at=datetime.now())
-
-    asked = prompts.withColumn("prompt", clean_query(F.col("prompt"))).filter("prompt != ''")
-    schema = "ROUTE_ID string, anomaly_type string, K int, T int, answer string, scored_at timestamp_ntz"
-    return asked.select("ROUTE_ID", "anomaly_type", "K", "T", "prompt").mapInPandas(run, schema)
-
-
-def score_with_repairs(prompts: DataFrame, make_scorer: Callable[[], Scorer], write, max_retries: int = 3) -> DataFrame:
-    """Valid and refused answers with their attempts: refused prompts are asked again, ``max_retries`` times at most.
-
-    ``write`` stores a frame and returns it as stored, so that no call is made twice.
-    """
-    todo, out = prompts, None
-    for attempt in range(1, max_retries + 2):
-        checked = write(validated(score_prompts(todo, make_scorer)).withColumn("attempts", F.lit(attempt)))
-        bad = checked.filter("reason IS NOT NULL")
-        last = attempt == max_retries + 1
-        done = checked if last else checked.filter("reason IS NULL")
-        out = done if out is None else out.unionByName(done)
-        if last or bad.isEmpty():
-            return out
-        again = bad.select("ROUTE_ID", "anomaly_type", F.col("reason").alias("_why"), F.col("answer").alias("_last"))
-        ask = F.concat(
-            F.col("prompt"), F.lit("\n\nThe answer was refused: "), F.col("_why"),
-            F.lit(". Give the JSON object again, whole and nothing else. It was:\n"), F.col("_last"),
-        )
-        todo = prompts.join(again, ["ROUTE_ID", "anomaly_type"]).withColumn("prompt", ask).drop("_why", "_last")
-    return out
-
-
 def rule_scorer() -> Scorer:
     """A scorer without a model: hours with a larger change of speed and course score higher."""
     import json
@@ -154,18 +112,39 @@ def rule_scorer() -> Scorer:
 
 
 def review(answers: DataFrame, queries: DataFrame) -> DataFrame:
-    """Stored answers (source_name, answer) against the queries (stem, path, text): status ok, bad or missing.
+    """Stored answers (source_name, answer) against the queries (stem, path, text, and T if it is known).
 
-    Of queries with one stem the shortest path counts.
+    ``status`` is ok, bad, or missing for a bad answer whose query is not there. Of queries with one stem the
+    shortest path counts. The type comes from the source's name; the answer's own T is not held against the query.
     """
-    from pyspark.sql import Window as W
-
     first = queries.withColumn("_n", F.row_number().over(W.partitionBy("stem").orderBy(F.length("path"), "path"))).filter("_n = 1")
-    typed = answers.withColumns({"anomaly_type": type_in_name(F.col("source_name")), "T": F.lit(None).cast("int")})
-    judged = validated(typed).join(first.select(F.col("stem").alias("source_name"), "path"), "source_name", "left")
-    status = F.when(F.col("reason").isNull(), "ok").when(F.col("path").isNull(), "missing").otherwise("bad")
+    asked = first.select(F.col("stem").alias("source_name"), F.col("path").alias("query_path"), F.col("text").alias("query"), *[F.col("T").alias("query_T")] * ("T" in queries.columns))
+    typed = answers.withColumns({"anomaly_type": F.lit(None).cast("string"), "T": F.lit(None).cast("int")})
+    judged = validated(typed).join(asked, "source_name", "left")
+    status = F.when(F.col("reason").isNull(), "ok").when(F.col("query_path").isNull(), "missing").otherwise("bad")
     return judged.withColumn("status", status)
 
 
-def review_summary(reviewed: DataFrame) -> DataFrame:
-    return reviewed.groupBy("status").agg(F.count(F.lit(1)).alias("answers"))
+def to_fix(reviewed: DataFrame) -> DataFrame:
+    """The queries of bad answers, once each, as prompts: those with a text and a type in their name."""
+    kind = type_in_name(F.col("source_name"))
+    k = F.nullif(F.regexp_extract("query", r"K = (\d+)", 1), F.lit("")).cast("int")
+    T = F.col("query_T") if "query_T" in reviewed.columns else F.lit(None).cast("int")
+    bad = reviewed.filter("status = 'bad'").select(
+        F.col("source_name").alias("ROUTE_ID"), kind.alias("anomaly_type"), k.alias("K"), T.alias("T"), clean_query(F.col("query")).alias("prompt")
+    )
+    return bad.filter("prompt != '' AND anomaly_type IS NOT NULL").dropDuplicates(["ROUTE_ID", "anomaly_type"])
+
+
+def review_summary(reviewed: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
+    """One row: ok, bad (missing among them), missing and fixed answers; fixed counts every answer that was asked for again."""
+    count = lambda *status: F.count_if(F.col("status").isin(*status))
+    counts = reviewed.agg(count("ok").alias("ok"), count("bad", "missing").alias("bad"), count("missing").alias("missing"))
+    again = F.lit(0).cast("long") if fixed is None else fixed.agg(F.count(F.lit(1)).alias("fixed")).scalar()
+    return counts.withColumn("fixed", again)
+
+
+def latest_valid(answers: DataFrame) -> DataFrame:
+    """Of a source's checked answers (source_name, reason, scored_at, ...) the latest that is valid."""
+    order = W.partitionBy("source_name").orderBy(F.desc_nulls_last("scored_at"), F.desc("answer"))
+    return answers.filter("reason IS NULL").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")

@@ -186,6 +186,61 @@ def prompt_name_parse(spark, sf):
     return names.select("event_id", "stem", scalars.type_in_name(F.col("stem")).alias("any_type"), route.alias("route"), kind.alias("plan_type"))
 
 
+def stored_answers(spark, sf):
+    """The answers as files of a scorer, each for a query of its own; a query is there for two events of three, for some of them twice."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    name = F.concat(F.lit("route_"), F.col("user_id").cast("string"), F.lit("-"), F.col("event_id").cast("string"), F.lit("_A1"))
+    at = F.expr("timestampadd(MICROSECOND, event_id, ts)").cast("timestamp_ntz")
+    answers = answers_of(spark, sf).select(F.col("id").alias("event_id"), "answer")
+    return e.select("event_id", "user_id", name.alias("source_name"), at.alias("scored_at")).join(answers, "event_id")
+
+
+def stored_queries(spark, sf):
+    there = stored_answers(spark, sf).filter("event_id % 3 != 0")
+    folders = F.when(F.col("event_id") % 5 == 0, F.array(F.lit("longer/route_sliced_12"), F.lit("route_sliced_4"))).otherwise(F.array(F.lit("route_sliced_4")))
+    path = F.concat("folder", F.lit("/user_query/"), "source_name", F.lit(".txt"))
+    rows = there.select("event_id", "source_name", F.explode(folders).alias("folder")).withColumn("path", path)
+    text = F.concat(F.lit(' """K = '), (F.col("event_id") % 3).cast("string"), F.lit(' hours""" '))
+    return rows.select(F.col("source_name").alias("stem"), "path", text.alias("text"), scalars.length_in_path(F.col("path")).alias("T"))
+
+
+def review_answers(spark, sf):
+    return scoring.review(stored_answers(spark, sf), stored_queries(spark, sf)).select("source_name", "status", "query_path", "query_T")
+
+
+def review_fix(spark, sf):
+    reviewed = scoring.review(stored_answers(spark, sf), stored_queries(spark, sf))
+    return scoring.to_fix(reviewed).select(F.col("ROUTE_ID").alias("source_name"), "anomaly_type", "K", "T", "prompt")
+
+
+def review_counts(spark, sf):
+    return scoring.review_summary(scoring.review(stored_answers(spark, sf), stored_queries(spark, sf)))
+
+
+def answers_latest_valid(spark, sf):
+    by_user = stored_answers(spark, sf).withColumns({"source_name": F.concat(F.lit("route_"), F.col("user_id").cast("string"), F.lit("_A1")), "anomaly_type": F.lit("A1"), "T": F.lit(4)})
+    return scoring.latest_valid(scoring.validated(by_user)).select("source_name", "event_id")
+
+
+def draws(spark, sf):
+    """The draws that the injections make by default."""
+    at = routes(spark, sf).select("ROUTE_ID", "ROUTE_POINT_IDX")
+    route, point = F.col("ROUTE_ID"), F.col("ROUTE_POINT_IDX")
+    return at.select(
+        "ROUTE_ID", "ROUTE_POINT_IDX", scalars.coin(route, point, seed=3).alias("side"), scalars.coin(route, seed=3).alias("sign"),
+        six(0.9 + 0.2 * scalars.uniform(route, F.lit("scale"), seed=3), "scale"), (scalars.uniform(route, F.lit("side"), seed=3) < 0.5).alias("left"),
+    )
+
+
+def allowed_a3(spark, sf):
+    return dataset.allowed_routes(strata.indices(strata.route_stats(routes(spark, sf)), T), 5, "a3")
+
+
+def tier_counts(spark, sf):
+    index = strata.indices(strata.route_stats(routes(spark, sf)), T)
+    return index.groupBy("mode").agg(*[F.count_if(f"use_{p}pct").alias(f"n_{p}pct") for p in (10, 5, 3, 1)])
+
+
 def score_topk(spark, sf):
     picked = inject.top_k(scored(spark, sf)).withColumn("norm", inject.normal_score())
     return picked.select(*KEYS, "chosen", six("norm"))
@@ -335,7 +390,8 @@ NAMES = """ais_clean hour_round_even dedup_keep_first course_sincos hourly_inter
 route_stats stratum_bins stratum_sample stratum_labels k_round_robin indices_by_mode prompt_stats prompt_text json_extract score_validate
 prompt_name_parse score_topk a2_window score_array_stats a3_risk_window geo_haversine geo_bearing geo_destination geo_xtrack sed_local
 accel_local turn_local track_lag_lead inject_a1 inject_a2 inject_a3 plan_join_a2_wins inject_union_label inject_counters complete_routes
-dataset_labels dataset_features dataset_split dataset_grid""".split()
+dataset_labels dataset_features dataset_split dataset_grid
+review_answers review_fix review_counts answers_latest_valid draws allowed_a3 tier_counts""".split()
 
 QUERIES = {name: globals()[name] for name in NAMES}
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -172,6 +172,15 @@ _THREE = "printf('%.3f', round({0}, 3))"
 _LABEL = lambda e, b: f"'(' || printf('%.3f', round({e}[{b}] - CASE WHEN {b} = 1 THEN 0.001 ELSE 0 END, 3)) || ', ' || printf('%.3f', round({e}[{b} + 1], 3)) || ']'"
 _SIX = lambda *cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
 
+# Answers 1, 2, 5, 8 and 10 of 18 pass where no type and no length are expected.
+_REVIEW = """
+v AS (
+  SELECT event_id, 'route_' || user_id || '-' || event_id || '_A1' AS source_name, event_id % 18 IN (0, 1, 4, 7, 9) AS good, event_id % 3 <> 0 AS there FROM events),
+w AS (
+  SELECT *, CASE WHEN good THEN 'ok' WHEN there THEN 'bad' ELSE 'missing' END AS status,
+    CASE WHEN there THEN 'route_sliced_4/user_query/' || source_name || '.txt' END AS query_path, CAST(CASE WHEN there THEN 4 END AS INTEGER) AS query_T
+  FROM v)"""
+
 ORACLE_SQL: dict[str, str] = {
     "ais_clean": _with(_AIS, f'SELECT src_ord, CRAFT_ID, TRACK_ID, "TIMESTAMP", {_SIX("LON", "LAT", "COURSE_SIN", "COURSE_COS")} FROM ais WHERE src_ord % 10 <> 0'),
     "hour_round_even": _with(_AIS, "SELECT event_id, at_h AS HOUR, CASE WHEN hour(ts) % 2 = 0 THEN h0 ELSE h0 + INTERVAL 1 HOUR END AS HOUR_OF_HALF FROM e"),
@@ -336,4 +345,30 @@ SELECT event_id AS id, [NULL, NULL, 'no JSON object', 'no JSON object', 'wrong k
   CAST(CASE WHEN event_id % 18 = 0 THEN 1 END AS INTEGER) AS K
 FROM events
 """,
+    "review_answers": _with(_REVIEW, "SELECT source_name, status, query_path, query_T FROM w"),
+    "review_fix": _with(
+        _REVIEW,
+        "SELECT source_name, 'A1' AS anomaly_type, CAST(event_id % 3 AS INTEGER) AS K, query_T AS T, 'K = ' || (event_id % 3) || ' hours' AS prompt FROM w WHERE status = 'bad'",
+    ),
+    "review_counts": _with(
+        _REVIEW,
+        "SELECT count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status <> 'ok') AS bad, count(*) FILTER (status = 'missing') AS missing, CAST(0 AS BIGINT) AS fixed FROM w",
+    ),
+    "answers_latest_valid": """
+SELECT 'route_' || user_id || '_A1' AS source_name, event_id FROM events WHERE event_id % 18 = 0
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts + to_microseconds(event_id) DESC) = 1
+""",
+    "draws": _with(
+        _ROUTES,
+        f"SELECT ROUTE_ID, ROUTE_POINT_IDX, CASE WHEN {_DRAW("ROUTE_ID || ':' || ROUTE_POINT_IDX || ':3'")} % 2 = 0 THEN 1 ELSE -1 END AS side, "
+        f"CASE WHEN {_DRAW("ROUTE_ID || ':3'")} % 2 = 0 THEN 1 ELSE -1 END AS sign, round(0.9e0 + 0.2e0 * ({_DRAW("ROUTE_ID || ':scale:3'")} / 1152921504606846976e0), 6) AS scale, "
+        f"{_DRAW("ROUTE_ID || ':side:3'")} / 1152921504606846976e0 < 0.5 AS \"left\" FROM r",
+    ),
+    "allowed_a3": _with(
+        _INDEX, "SELECT unnest([ROUTE_ID, 'A3_' || ROUTE_ID]) AS ROUTE_ID FROM i1 WHERE rk <= greatest(1, floor(nn * 5 / 100e0))"
+    ),
+    "tier_counts": _with(
+        _INDEX + f", t AS (SELECT {_FLAGS} FROM i1)",
+        "SELECT mode, " + ", ".join(f"count(*) FILTER (use_{p}pct) AS n_{p}pct" for p in (10, 5, 3, 1)) + " FROM t, (SELECT unnest(['a1', 'a2', 'a3']) AS mode) GROUP BY mode",
+    ),
 }

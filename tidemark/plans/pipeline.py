@@ -6,10 +6,10 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from tidemark.config import Settings
-from tidemark.operators import dataset, inject, prompts, scoring, strata, tracks
+from tidemark.operators import counts, dataset, inject, ledger, prompts, scoring, strata, tracks
 from tidemark.sources.files import write_table
 
 
@@ -18,6 +18,8 @@ class Pipeline:
 
     def __init__(self, spark: SparkSession, settings: Settings | None = None):
         self.spark, self.s = spark, (settings or Settings()).check()
+        #: What ``run`` counted while it wrote, by stage.
+        self.counts: dict[str, dict[str, int]] = {}
 
     def preprocess(self, raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(routes, indices, prompts)."""
@@ -27,11 +29,20 @@ class Pipeline:
         index = strata.indices(strata.route_stats(routes), s.T, s.modes, s.n_bins, s.percentages, s.seed)
         return routes, index, prompts.prompts(routes, index, s.T, s.percentages)
 
-    def score(self, asked: DataFrame, make_scorer: Callable, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Valid answers as plans."""
-        answers = scoring.score_with_repairs(asked, make_scorer, write, self.s.max_retries)
+    def score(self, asked: DataFrame, make_scorer: Callable, folder: str) -> DataFrame:
+        """Answers with what is wrong with them; ``folder`` holds those of this and of earlier runs."""
+        return ledger.score_with_repairs(asked, make_scorer, folder, self.s.max_retries)
+
+    def plans(self, answers: DataFrame) -> DataFrame:
+        """The valid answers."""
         return answers.filter("reason IS NULL").select("ROUTE_ID", "anomaly_type", "T", "K", "scores", "scored_at")
 
+    def lengths(self, out: str) -> list[tuple[Pipeline, str]]:
+        """A pipeline and a folder for each length of routes: ``out`` itself for one, a folder each below it for several."""
+        if len(self.s.slices) < 2:
+            return [(self, out)]
+        return [(Pipeline(self.spark, replace(self.s, T=t, slices=(t,))), f"{out}/{t}h") for t in self.s.slices]
+
     def inject(self, routes: DataFrame, plans: DataFrame) -> DataFrame:
         return inject.apply_plans(routes, plans, self.s.seed, self.s.theta_g, self.s.theta_v)
 
@@ -45,16 +56,23 @@ class Pipeline:
         With several ``slices`` each has a folder of its own below ``out``, and their datasets are returned as one.
         """
         if len(self.s.slices) > 1:
-            each = [Pipeline(self.spark, replace(self.s, T=t, slices=(t,))).run(raw, f"{out}/{t}h", make_scorer) for t in self.s.slices]
-            return reduce(DataFrame.unionByName, each)
-        step = iter(range(10_000))
-        routes, index, asked = self.preprocess(raw)
+            return reduce(DataFrame.unionByName, [flow.run(raw, folder, make_scorer) for flow, folder in self.lengths(out)])
+        routes, index, _ = self.preprocess(raw)
         routes = write_table(routes, f"{out}/routes")
         faults = tracks.route_faults(routes, self.s.T)
         if not faults.isEmpty():
             raise ValueError(f"routes are not whole: {faults.limit(5).collect()}")
-        index = write_table(index, f"{out}/indices", ("T", "mode"))
-        asked = write_table(prompts.prompts(routes, index, self.s.T, self.s.percentages), f"{out}/prompts")
-        plans = self.score(asked, make_scorer, lambda df: write_table(df, f"{out}/scores_raw/{next(step)}"))
-        injected = write_table(self.inject(routes, plans), f"{out}/injected")
+        index = self.written("indices", counts.tier_counts(index, self.s.percentages, self.s.modes), f"{out}/indices", ("T", "mode"))
+        asked = prompts.prompts(routes, index, self.s.T, self.s.percentages)
+        asked = self.written("prompts", counts.prompt_counts(asked, self.s.modes), f"{out}/prompts")
+        answers = self.written("answers", counts.answer_counts(self.score(asked, make_scorer, f"{out}/ledger")), f"{out}/answers")
+        plans = write_table(self.plans(answers), f"{out}/plans")
+        injected = self.written("injected", counts.injection_counts(self.inject(routes, plans)), f"{out}/injected")
         return write_table(self.prepare(injected, index), f"{out}/dataset", ("pct", "T", "mode", "seed", "split"))
+
+    def written(self, name: str, counting: tuple[DataFrame, Observation], path: str, by: tuple[str, ...] = ()) -> DataFrame:
+        """Writes a table and keeps what the write counted."""
+        df, seen = counting
+        table = write_table(df, path, by)
+        self.counts[name] = counts.counts_of(seen)
+        return table

@@ -1,24 +1,42 @@
-"""Prompts, plans and answers as text and JSON files; tables as Parquet; arrays for NumPy."""
+"""Prompts, plans and answers as text and JSON files; tables as Parquet and CSV."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import json_span, length_in_path, plan_name, type_in_name
+from tidemark.sources.array_files import read_npz, write_npz
+from tidemark.sources.named_files import read_named, write_named
+
+__all__ = ["read_npz", "write_npz"]
+
+#: The time in an answer file's name.
+STAMP, STAMP_FORMAT = r"\d{8}-\d{6}-\d{6}", "yyyyMMdd-HHmmss-SSSSSS"
+
+
+def file_name(text: Column) -> Column:
+    """A name as part of a path: only the separator and the sign that escapes it are written otherwise."""
+    return F.replace(F.replace(text, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+
+
+def name_in_file(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("%2F"), F.lit("/")), F.lit("%25"), F.lit("%"))
 
 
 def whole_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """(path, stem, text), one row per file below ``folder``; in a folder ``name=...``, as ``write_prompt_files`` makes, that name is the stem."""
-    read = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-    found = read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    of_folder, of_file = (F.regexp_extract("path", p, 1) for p in (r"/name=([^/]+)/[^/]*$", r"([^/]+?)(?:\.[^./]*)?$"))
-    return found.withColumn("stem", F.when(of_folder != "", of_folder).otherwise(of_file))
+    """(path, stem, text), one row per file below ``folder``; the path is relative to it."""
+    found = read_named(spark, folder, pattern).select(F.col("name").alias("path"), F.col("content").alias("text"))
+    return found.withColumn("stem", name_in_file(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)))
 
 
 def read_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """Prompt files with their type and T by name; those without a type or a text are left out."""
-    found = whole_files(spark, folder, "*.txt").withColumns({"anomaly_type": type_in_name(F.col("stem")), "T": length_in_path(F.col("path"))})
+    t = length_in_path(F.concat_ws("/", F.lit(folder), "path"))
+    found = whole_files(spark, folder, "*.txt").withColumns({"anomaly_type": type_in_name(F.col("stem")), "T": t})
     return found.filter("trim(text) != '' AND anomaly_type IS NOT NULL")
 
 
@@ -28,8 +46,14 @@ def by_number(prompts: DataFrame) -> DataFrame:
     return prompts.orderBy(number.isNull(), number, "stem")
 
 
+def stamp_of(stem: Column) -> Column:
+    """The time in the name of a plan or answer file; null without one."""
+    text = F.nullif(F.regexp_extract(stem, rf"_({STAMP})$", 1), F.lit(""))
+    return F.try_to_timestamp(text, F.lit(STAMP_FORMAT)).cast("timestamp_ntz")
+
+
 def read_plans(spark: SparkSession, folder: str) -> DataFrame:
-    """Plan files: (ROUTE_ID, anomaly_type, T, K, scores). Files that are no plan are left out; A3 plans need no K."""
+    """Plan files: (ROUTE_ID, anomaly_type, T, K, scores, scored_at, path). Files that are no plan are left out; A3 plans need no K."""
     found = whole_files(spark, folder, "*.json")
     route, kind = plan_name(F.regexp_replace("stem", "^.*?(?=route_)", ""))
     v = F.try_parse_json(json_span(F.col("text")))
@@ -40,6 +64,8 @@ def read_plans(spark: SparkSession, folder: str) -> DataFrame:
         get("$.T", "int").alias("T"),
         get("$.K", "int").alias("K"),
         get("$.scores", "array<double>").alias("scores"),
+        stamp_of(F.col("stem")).alias("scored_at"),
+        "path",
     )
     return plans.filter("ROUTE_ID IS NOT NULL AND scores IS NOT NULL AND (anomaly_type = 'A3' OR K IS NOT NULL)")
 
@@ -61,50 +87,48 @@ def write_table(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_prompt_files(prompts: DataFrame, folder: str) -> None:
+    """A text file for each prompt, ``route_sliced_{T}/user_query/route_{ROUTE_ID}_{type}.txt``; without T right in the folder."""
+    base = F.concat(F.lit("route_"), file_name(F.col("ROUTE_ID")), F.lit("_"), "anomaly_type", F.lit(".txt"))
+    name = F.concat(F.lit("route_sliced_"), F.col("T").cast("string"), F.lit("/user_query/"), base) if "T" in prompts.columns else base
+    write_named(prompts.select(F.coalesce(name, base).alias("name"), F.col("prompt").alias("content")), folder)
+
 
+def answer_file(answer: str | None) -> str:
+    """An answer's JSON object, indented; the whole answer and what is wrong with it where there is no object."""
+    text = answer or ""
+    first, last = text.find("{"), text.rfind("}")
+    try:
+        held = json.loads(text[first : last + 1]) if -1 < first < last else None
+        fault = "no JSON object"
+    except ValueError as e:
+        held, fault = None, str(e)
+    if held is None:
+        held = {"parse_error": fault, "raw_output": text}
+    return json.dumps(held, indent=2, ensure_ascii=False) + "\n"
 
-def write_prompt_files(prompts: DataFrame, folder: str) -> None:
-    """One text file per prompt, each in a folder of its route and type."""
-    named = prompts.select(F.concat(F.lit("route_"), "ROUTE_ID", F.lit("_"), "anomaly_type").alias("name"), "prompt")
-    named.write.mode("overwrite").partitionBy("name").text(folder)
-
-
-def write_npz(dataset: DataFrame, folder: str) -> None:
-    """One compressed array file for each cell and split, written by tasks to a folder that they share.
-
-    A cell's arrays must be whole to be one file, so one cell and split is one group;
-    for data beyond a worker's memory use ``write_table``.
-    """
-    import io
-
-    import numpy as np
-    import pandas as pd
-
-    def save(cell: pd.DataFrame) -> pd.DataFrame:
-        r = cell.iloc[0]
-        raw = io.BytesIO()
-        T = int(r["T"])
-        np.savez_compressed(
-            raw,
-            X=np.stack(cell["X"].to_numpy()).astype("float32"),
-            X_seq=np.stack(cell["X"].to_numpy()).astype("float32").reshape(len(cell), T, -1),
-            y=np.stack(cell["y"].to_numpy()).astype("int8"),
-            route_ids=cell["route_id"].to_numpy().astype(str),
-        )
-        name = f"{r['pct']}/slice_{T}_{r['mode']}/seed_{r['seed']}/{r['split']}.npz"
-        return pd.DataFrame({"name": [name], "content": [raw.getvalue()]})
-
-    cells = dataset.select("pct", "T", "mode", "seed", "split", "X", "y", "route_id").groupBy("pct", "T", "mode", "seed", "split")
-    files = cells.applyInPandas(save, "name string, content binary")
-
-    def put(rows) -> None:
-        from pathlib import Path
-
-        for row in rows:
-            place = Path(folder) / row["name"]
-            place.parent.mkdir(parents=True, exist_ok=True)
-            place.write_bytes(row["content"])
-
-    files.foreachPartition(put)
+
+def write_answer_files(answers: DataFrame, folder: str, prefix: str = "answer") -> None:
+    """A file for each of (source_name or ROUTE_ID and anomaly_type, scored_at, answer): ``{prefix}_{source}_{time}.json``. Files that are there stay."""
+    source = F.col("source_name") if "source_name" in answers.columns else F.concat(F.lit("route_"), "ROUTE_ID", F.lit("_"), "anomaly_type")
+    name = F.concat(F.lit(f"{prefix}_"), file_name(source), F.lit("_"), F.date_format("scored_at", STAMP_FORMAT), F.lit(".json"))
+
+    @F.pandas_udf("string")
+    def content(texts: pd.Series) -> pd.Series:
+        return texts.map(answer_file)
+
+    write_named(answers.select(name.alias("name"), content("answer").alias("content")), folder, replace=False)
+
+
+def source_of(stem: Column, prefix: str) -> Column:
+    """What an answer file was the answer to; null for names of another make."""
+    import re
+
+    return F.nullif(F.regexp_extract(stem, rf"^{re.escape(prefix)}_(.+)_{STAMP}$", 1), F.lit(""))
+
+
+def read_answers(spark: SparkSession, folder: str, prefix: str = "answer") -> DataFrame:
+    """(path, source_name, scored_at, answer) of the answer files with a prefix; of a file that holds a refused answer that answer itself."""
+    found = whole_files(spark, folder, f"{prefix}_*.json")
+    raw = F.try_variant_get(F.try_parse_json("text"), "$.raw_output", "string")
+    return found.select("path", source_of(F.col("stem"), prefix).alias("source_name"), stamp_of(F.col("stem")).alias("scored_at"), F.coalesce(raw, "text").alias("answer"))
