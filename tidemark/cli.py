@@ -5,23 +5,34 @@ from __future__ import annotations
 import argparse
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.config import Settings, as_text, load
 from tidemark.operators import ledger, scoring
 from tidemark.plans.pipeline import Pipeline
 from tidemark.session import build_session
-from tidemark.sources.ais import read_csv, read_monthly
+from tidemark.sources.ais import monthly_files, read_csv, read_monthly
 from tidemark.sources.files import read_answers, read_plans, read_prompts, write_answer_files, write_table
+from tidemark.sources.hourly_table import HourlyTable, discover
 from tidemark.sources.kept import keep
 
 
+def positions(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Raw positions of --input, or what is found below --data; with --cache the hourly table that is kept there, brought up to date."""
+    if a.cache and a.stage == "preprocess":
+        paths = discover(spark, a.data) if not a.input else monthly_files(spark, a.input) if a.monthly else [a.input]
+        return HourlyTable(spark, a.cache).refresh(paths)
+    if a.input:
+        return read_monthly(spark, a.input) if a.monthly else read_csv(spark, a.input)
+    return read_csv(spark, discover(spark, a.data))
+
+
 def one_stage(stage: str, flow: Pipeline, out: str, raw: DataFrame | None, plans_folder: str | None) -> None:
     """A stage for one length of routes, from and to the tables of its folder."""
     spark = flow.spark
     table = lambda name: spark.read.parquet(f"{out}/{name}")
     if stage == "preprocess":
-        routes, index, asked = flow.preprocess(raw)
+        routes, index, asked = flow.from_grid(raw) if "built" in raw.columns else flow.preprocess(raw)
         for name, df in (("routes", routes), ("indices", index), ("prompts", asked)):
             write_table(df, f"{out}/{name}")
     elif stage == "score":
@@ -51,6 +62,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("stage", choices=("preprocess", "score", "inject", "prepare-dataset", "pipeline", "review", "config"))
     p.add_argument("--input", help="a CSV of positions, or a folder of monthly files with --monthly")
     p.add_argument("--monthly", action="store_true")
+    p.add_argument("--data", default="data", help="where positions are looked for without --input")
+    p.add_argument("--cache", help="with preprocess: a folder in which the hourly table is kept between runs")
     p.add_argument("--out", default="data")
     p.add_argument("--plans", help="a folder of plan files, used by inject in place of scored answers")
     p.add_argument("--answers", help="with review: the folder of answer files")
@@ -78,7 +91,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     raw = None
     if a.stage in ("preprocess", "pipeline"):
-        raw = read_monthly(spark, a.input) if a.monthly else read_csv(spark, a.input)
+        raw = positions(spark, a)
     if a.stage == "pipeline":
         whole.run(raw, a.out)
         print(whole.counts)

@@ -69,6 +69,30 @@ def json_span(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)
 
 
+def fixed_point(x: Column, places: int, sign: bool = False) -> Column:
+    """A double with ``places`` decimals, 6 at most, as Python writes it: its exact binary value is rounded, ties to even.
+
+    The fraction is cut into halves of 26 bits, whose products with the power of ten are exact, so what
+    is left over one half of the last place has its right sign. From 2 ** 63 on the digits are those of the
+    double's shortest decimal form.
+    """
+    x = x.cast("double")
+    size, power = F.abs(x), 10**places
+    fraction = size - F.floor(size)
+    high = fraction * 134217729.0 - (fraction * 134217729.0 - fraction)
+    whole = F.floor(high * float(power))
+    over_half = (high * float(power) - whole - 0.5) + (fraction - high) * float(power)
+    up = (over_half > 0) | ((over_half == 0) & (whole % 2 == 1))
+    last = F.array(whole + F.when(up, 1).otherwise(0))  # bound once, as it is used three times
+    write = lambda n: F.concat(
+        (F.floor(size) + F.when(n >= power, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((n % power).cast("string"), places, "0")
+    )
+    text = F.when(size < float(1 << 63), F.element_at(F.transform(last, write), 1)).when(size.isNotNull(), F.format_string(f"%.{places}f", size))
+    minus = F.when(x.cast("string").startswith("-"), "-").otherwise("+" if sign else "")
+    odd = F.when(F.isnan(x), "+nan" if sign else "nan").when(size == float("inf"), F.concat(minus, F.lit("inf")))
+    return F.when(F.isnan(x) | (size == float("inf")), odd).otherwise(F.concat(minus, text))
+
+
 #: Bits of a draw.
 DRAW_BITS = 60
 

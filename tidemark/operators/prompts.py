@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import circular_step, course_over_ground
+from tidemark.functions.scalars import fixed_point
 
 ROUTE = ("TRACK_ID", "SEG")
 
@@ -23,9 +24,9 @@ def point_changes(routes: DataFrame) -> DataFrame:
     )
 
 
-def prompt_stats(routes: DataFrame) -> DataFrame:
-    """Mean and sample deviation of speed and of course (arithmetic) per route, with its points in order."""
-    point = F.struct("ROUTE_POINT_IDX", "LAT", "LON", "SPEED", "COG", "D_SOG", "D_COG")
+def prompt_stats(routes: DataFrame, *also: Column) -> DataFrame:
+    """Mean and sample deviation of speed and of course (arithmetic) per route, with its points, and ``also`` for each, in order."""
+    point = F.struct("ROUTE_POINT_IDX", "LAT", "LON", "SPEED", "COG", "D_SOG", "D_COG", *also)
     return (
         point_changes(routes)
         .groupBy(*ROUTE)
@@ -38,20 +39,25 @@ def prompt_stats(routes: DataFrame) -> DataFrame:
     )
 
 
+def point_body() -> Column:
+    """A point's lines in the text, after its number."""
+    c = F.col
+    return F.concat(
+        F.lit(": [\n  Lat: "), fixed_point(c("LAT"), 6), F.lit(", Lon: "), fixed_point(c("LON"), 6),
+        F.lit(",\n  SOG: "), fixed_point(c("SPEED"), 3), F.lit(", COG: "), fixed_point(c("COG"), 1),
+        F.lit(",\n  ΔSOG: "), fixed_point(c("D_SOG"), 3, sign=True), F.lit(", ΔCOG: "), fixed_point(c("D_COG"), 1, sign=True), F.lit("\n]"),
+    )
+
+
 def prompt_text(T: int, k: Column, vessel_type: str) -> Column:
     """The text's layout is fixed: scorers are given it as it stands."""
-    head = F.format_string(
-        "[Input Trajectory Segment]\n\n"
-        '- **Metadata:** { "VesselType": "%s", "Duration": "%d hours"}\n'
-        '- **Statistics:** { "Avg_SOG": %.3f knots, "Std_SOG": %.3f, "Avg_COG": %.3f, "Std_COG": %.3f }',
-        F.lit(vessel_type), F.lit(T), "avg_sog", "std_sog", "avg_cog", "std_cog",
+    three = lambda c: fixed_point(F.col(c), 3)
+    head = F.concat(
+        F.lit(f'[Input Trajectory Segment]\n\n- **Metadata:** {{ "VesselType": "{vessel_type}", "Duration": "{T} hours" }}\n- **Statistics:** {{ "Avg_SOG": '),
+        three("avg_sog"), F.lit(' knots, "Std_SOG": '), three("std_sog"), F.lit(', "Avg_COG": '), three("avg_cog"), F.lit(', "Std_COG": '), three("std_cog"), F.lit(" }"),
     )
     anomaly = F.concat(F.lit("\n- **Anomaly Config:** K = "), k.cast("string"))
-    line = lambda p, i: F.format_string(
-        "t=%d: [\n  Lat: %.6f, Lon: %.6f,\n  SOG: %.3f, COG: %.1f,\n  ΔSOG: %+.3f, ΔCOG: %+.1f\n]",
-        i + 1, p["LAT"], p["LON"], p["SPEED"], p["COG"], p["D_SOG"], p["D_COG"],
-    )
-    series = F.array_join(F.transform("points", line), "\n\n")
+    series = F.array_join(F.transform("points", lambda p, i: F.concat(F.lit("t="), (i + 1).cast("string"), p["body"])), "\n\n")
     return F.concat(head, F.coalesce(anomaly, F.lit("")), F.lit(f"\n- **Time Series (T={T}h)**\n\n"), series)
 
 
@@ -62,7 +68,8 @@ def prompts(routes: DataFrame, indices: DataFrame, T: int, percentages=(10, 5, 3
     for flag in flags[1:]:
         used = used | flag
     picked = indices.filter(used).select("ROUTE_ID", F.upper("mode").alias("anomaly_type"), "K")
-    whole = prompt_stats(routes).filter(F.size("points") == T)
+    asked = routes.join(picked.select("ROUTE_ID").distinct(), "ROUTE_ID", "left_semi")
+    whole = prompt_stats(asked, point_body().alias("body")).filter(F.size("points") == T)
     return whole.join(picked, "ROUTE_ID").select(
         "ROUTE_ID", "anomaly_type", "K", F.lit(T).alias("T"), prompt_text(T, F.col("K"), vessel_type).alias("prompt")
     )

@@ -371,4 +371,24 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts + to_microseconds(ev
         _INDEX + f", t AS (SELECT {_FLAGS} FROM i1)",
         "SELECT mode, " + ", ".join(f"count(*) FILTER (use_{p}pct) AS n_{p}pct" for p in (10, 5, 3, 1)) + " FROM t, (SELECT unnest(['a1', 'a2', 'a3']) AS mode) GROUP BY mode",
     ),
+    "prompt_text": _with(
+        _INDEX
+        + """,
+c AS (
+  SELECT *, coalesce(SPEED - lag(SPEED) OVER w, 0) AS vs, coalesce(cog - lag(cog) OVER w, 0) AS vc0 FROM g
+  WINDOW w AS (PARTITION BY ROUTE_ID ORDER BY ROUTE_POINT_IDX)),
+c2 AS (SELECT *, CASE WHEN vc0 > 180 THEN vc0 - 360 WHEN vc0 < -180 THEN vc0 + 360 ELSE vc0 END AS vc FROM c),
+c3 AS (
+  SELECT ROUTE_ID, printf('%.3f', avg(SPEED)) AS a, printf('%.3f', stddev_samp(SPEED)) AS b, printf('%.3f', avg(cog)) AS c, printf('%.3f', stddev_samp(cog)) AS d,
+    string_agg(printf(E't=%d: [\n  Lat: %.6f, Lon: %.6f,\n  SOG: %.3f, COG: %.1f,\n  ΔSOG: %+.3f, ΔCOG: %+.1f\n]', ROUTE_POINT_IDX + 1, LAT, LON, SPEED, cog, vs, vc),
+      E'\n\n' ORDER BY ROUTE_POINT_IDX) AS points
+  FROM c2 GROUP BY ROUTE_ID),
+x AS (
+  SELECT ROUTE_ID, upper(mode) AS anomaly_type, CAST(CASE WHEN mode <> 'a3' THEN [3, 6, 9][(rk7 - 1) % 3 + 1] END AS INTEGER) AS K
+  FROM i1, (SELECT unnest(['a1', 'a2', 'a3']) AS mode) WHERE rk <= greatest(1, floor(nn * 10 / 100e0)))""",
+        r"""SELECT ROUTE_ID, anomaly_type, K, 12 AS T,
+  E'[Input Trajectory Segment]\n\n- **Metadata:** { "VesselType": "Cargo", "Duration": "12 hours" }\n- **Statistics:** { "Avg_SOG": ' || a || ' knots, "Std_SOG": ' || b
+  || ', "Avg_COG": ' || c || ', "Std_COG": ' || d || ' }' || coalesce(E'\n- **Anomaly Config:** K = ' || K, '') || E'\n- **Time Series (T=12h)**\n\n' || points AS prompt
+FROM x JOIN c3 USING (ROUTE_ID)""",
+    ),
 }

@@ -22,9 +22,12 @@ class Pipeline:
         self.counts: dict[str, dict[str, int]] = {}
 
     def preprocess(self, raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(routes, indices, prompts)."""
+        """(routes, indices, prompts) of raw positions."""
+        return self.from_grid(tracks.hourly(tracks.keep_first(tracks.clean(raw.drop("TYPE", "MONTH")))))
+
+    def from_grid(self, grid: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(routes, indices, prompts) of hourly points."""
         s = self.s
-        grid = tracks.hourly(tracks.keep_first(tracks.clean(raw.drop("TYPE", "MONTH"))))
         routes = tracks.cut_routes(grid, s.T, s.trim, s.min_track_len)
         index = strata.indices(strata.route_stats(routes), s.T, s.modes, s.n_bins, s.percentages, s.seed)
         return routes, index, prompts.prompts(routes, index, s.T, s.percentages)

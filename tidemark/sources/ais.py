@@ -50,13 +50,18 @@ def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return raw.withColumn("src_ord", order)
 
 
-def read_monthly(spark: SparkSession, base: str, years=(2018, 2019, 2020), types=TYPES) -> DataFrame:
-    """All monthly files that are there, with TYPE and MONTH from their paths; ValueError if there are none."""
+def monthly_files(spark: SparkSession, base: str, years=(2018, 2019, 2020), types=TYPES) -> list[str]:
+    """The monthly files that are there; ValueError if there are none."""
     paths = existing(spark, monthly_paths(base, years, types))
     if not paths:
         raise ValueError(f"no monthly file under {base}")
+    return paths
+
+
+def read_monthly(spark: SparkSession, base: str, years=(2018, 2019, 2020), types=TYPES) -> DataFrame:
+    """All monthly files that are there, with TYPE and MONTH from their paths."""
     month = F.element_at(F.array(*map(F.lit, MONTHS)), F.col("src_ord.month").cast("int"))
-    return read_csv(spark, paths).withColumns({"TYPE": F.col("src_ord.kind"), "MONTH": month})
+    return read_csv(spark, monthly_files(spark, base, years, types)).withColumns({"TYPE": F.col("src_ord.kind"), "MONTH": month})
 
 
 EVENTS_AS_AIS = """
