@@ -115,3 +115,34 @@ def test_two_plans_of_a_type_are_one(spark):
     alone = inject.apply_plans(points, stamp(last, "2024-01-03 00:00:00")).orderBy("ROUTE_ID", "T_INDEX").collect()
     assert inject.apply_plans(points, both).orderBy("ROUTE_ID", "T_INDEX").collect() == alone
     assert len({(r["ROUTE_ID"], r["T_INDEX"]) for r in alone}) == len(alone)
+
+
+def test_numpy_draws_are_numpys(spark):
+    import hashlib
+
+    from tidemark.operators.numpy_draws import with_numpy_draws
+
+    rng = random.Random(6)
+    rows = [(f"t{r}", r % 3, f"t{r}-{r % 3}", i, rng.choice([0.1, 0.5, 0.9, 0.9]) if r % 10 else 0.5) for r in range(1000) for i in range(6)]
+    points = spark.createDataFrame(rows, "TRACK_ID string, SEG int, ROUTE_ID string, ROUTE_POINT_IDX int, score double")
+    got = {}
+    for r in with_numpy_draws(points, 17).collect():
+        got.setdefault(r.ROUTE_ID, [None, r.draw_scale, r.draw_left])
+        if r.draw_pick == 0:
+            got[r.ROUTE_ID][0] = r.ROUTE_POINT_IDX
+    scores = {}
+    for _, _, route, _, s in rows:
+        scores.setdefault(route, []).append(s)
+    for route, values in scores.items():
+        own = np.random.default_rng(int(hashlib.md5(f"{route}_17".encode()).hexdigest(), 16) % 2**32)
+        anchor = own.choice(np.flatnonzero(np.array(values) == max(values)))
+        assert got[route] == [anchor, own.uniform(0.9, 1.1), own.random() < 0.5]
+
+
+def test_virtual_vessels_by_numpys_draws(spark):
+    points = catalogue.routes(spark, SF)
+    plans = catalogue.plans_of(spark, SF)
+    one, two, hashed = (inject.apply_plans(points, plans, seed=3, rng=r).orderBy("ROUTE_ID", "T_INDEX").collect() for r in ("numpy", "numpy", "hash"))
+    assert one == two and len(one) == len(hashed) and one != hashed
+    with pytest.raises(ValueError):
+        inject.apply_plans(points, plans, rng="other")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geo
 from tidemark.functions.scalars import coin, uniform
+from tidemark.operators.numpy_draws import with_numpy_draws
 from tidemark.operators.tracks import track_neighbours
 from tidemark.sources.kept import keep
 
@@ -327,9 +328,12 @@ def one_plan_each(plans: DataFrame, conflict: str = "a2_wins") -> DataFrame:
     return latest_plans(plans.filter("anomaly_type IN ('A1', 'A2')")).withColumn("_n", rank).filter("_n = 1").drop("_n")
 
 
-def apply_plans(points: DataFrame, plans: DataFrame, seed: int = 0, theta_g: float = 3.0, theta_v: float = 2.0, conflict: str = "a2_wins") -> DataFrame:
+def apply_plans(
+    points: DataFrame, plans: DataFrame, seed: int = 0, theta_g: float = 3.0, theta_v: float = 2.0, conflict: str = "a2_wins", rng: str = "hash"
+) -> DataFrame:
     """All points, perturbed as planned, and the virtual vessels. Virtual rows share their host's track and times.
 
+    ``rng`` is hash, or numpy for virtual vessels drawn by NumPy's generator (``numpy_draws``).
     Neighbours on the track are taken from all points, so points without a plan go through
     the injections with nothing chosen.
     """
@@ -346,7 +350,14 @@ def apply_plans(points: DataFrame, plans: DataFrame, seed: int = 0, theta_g: flo
     out = points.columns + ["T_INDEX", "ANOMALY_TYPE"]
     host = a1.filter("kind IS NULL OR kind = 'A1'").select(out).unionByName(a2.filter("kind = 'A2'").select(out))
     a3 = scored(points, latest_plans(plans.filter("anomaly_type = 'A3'")).withColumn("K", F.lit(0)))
-    virtual = keep(inject_a3(a3, seed=seed).select(out))
+    if rng == "numpy":
+        a3 = with_numpy_draws(a3, seed)
+        draws = {"scale": F.col("draw_scale"), "left": F.col("draw_left"), "pick": F.col("draw_pick")}
+    elif rng == "hash":
+        draws = {}
+    else:
+        raise ValueError(f"rng is hash or numpy, not {rng}")
+    virtual = keep(inject_a3(a3, seed=seed, **draws).select(out))
     return mark_hosts(host, virtual).select(out).unionByName(virtual)
 
 

@@ -172,6 +172,60 @@ _THREE = "printf('%.3f', round({0}, 3))"
 _LABEL = lambda e, b: f"'(' || printf('%.3f', round({e}[{b}] - CASE WHEN {b} = 1 THEN 0.001 ELSE 0 END, 3)) || ', ' || printf('%.3f', round({e}[{b} + 1], 3)) || ']'"
 _SIX = lambda *cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
 
+_WRAP = lambda a: f"(CASE WHEN {a} > 180 THEN {a} - 360 * ceil(({a} - 180) / 360) WHEN {a} < -180 THEN {a} + 360 * ceil((-180 - {a}) / 360) ELSE {a} END)"
+# A2 point by point: each step starts from where the last one led.
+_A2 = (
+    "WITH RECURSIVE "
+    + (
+        _SCORED
+        + _NEAR.format(of="p")
+        + f""",
+q1 AS (
+  SELECT l.*, lag(COURSE_SIN) OVER w AS psin, lag(COURSE_COS) OVER w AS pcos, {_dist('px', 'py', 'LON', 'LAT')} / 3600e0 AS v, degrees(atan2(COURSE_SIN, COURSE_COS)) AS hd, {_NORM} AS s,
+    arg_max(ROUTE_POINT_IDX, (score, -ROUTE_POINT_IDX)) OVER q AS best
+  FROM l WINDOW w AS (PARTITION BY TRACK_ID ORDER BY "TIMESTAMP"), q AS (PARTITION BY ROUTE_ID)),
+q2 AS (
+  SELECT *, CASE WHEN ROUTE_POINT_IDX > 0 THEN v END AS vin, hd - lag(hd) OVER w AS turn FROM q1 WINDOW w AS (PARTITION BY ROUTE_ID ORDER BY ROUTE_POINT_IDX)),
+q3 AS (SELECT *, abs(vin - lag(vin) OVER w) / 3600e0 AS acc FROM q2 WINDOW w AS (PARTITION BY ROUTE_ID ORDER BY ROUTE_POINT_IDX)),
+q4 AS (
+  SELECT ROUTE_ID AS rid, max(K) AS k, greatest(0, least(max(best) - (max(K) - 1) // 2, 12 - max(K))) AS start, greatest(1, 2 * max(K) // 3) AS push,
+    greatest(coalesce(avg(acc), 0), 0.0001e0) AS a, greatest(coalesce(avg(abs({_WRAP('turn')})), 0), 3e0) AS w, CASE WHEN (max(CRAFT_ID) + max(SEG)) % 2 = 0 THEN 1 ELSE -1 END AS sign,
+    list(LON ORDER BY ROUTE_POINT_IDX) AS xs, list(LAT ORDER BY ROUTE_POINT_IDX) AS ys, list(v ORDER BY ROUTE_POINT_IDX) AS vs, list(hd ORDER BY ROUTE_POINT_IDX) AS hs,
+    list(s ORDER BY ROUTE_POINT_IDX) AS ss, max(px) FILTER (ROUTE_POINT_IDX = 0) AS bx, max(py) FILTER (ROUTE_POINT_IDX = 0) AS by0,
+    max(degrees(atan2(psin, pcos))) FILTER (ROUTE_POINT_IDX = 0) AS bh
+  FROM q3 GROUP BY ROUTE_ID),
+q5 AS (
+  SELECT *, 1 + list_sum([1 + z for z in ss[start + push + 1 : start + k]] || [0e0]) AS total, xs[least(start + k, 11) + 1] AS gx, ys[least(start + k, 11) + 1] AS gy FROM q4),
+walk AS (
+  SELECT rid, CAST(-1 AS BIGINT) AS pos, CASE WHEN start > 0 THEN xs[start] ELSE bx END AS x, CASE WHEN start > 0 THEN ys[start] ELSE by0 END AS y,
+    CASE WHEN start > 0 THEN hs[start] ELSE bh END AS h, 0e0 AS ex, 0e0 AS ey, 0e0 AS f, 0e0 AS vv, false AS moved FROM q5
+  UNION ALL
+  SELECT rid, pos, CASE WHEN skip THEN hx ELSE nx END, CASE WHEN skip THEN hy ELSE ny END, CASE WHEN skip THEN hh ELSE nh END,
+    CASE WHEN skip THEN hx WHEN pushing THEN nx ELSE ex END, CASE WHEN skip THEN hy WHEN pushing THEN ny ELSE ey END, CASE WHEN skip THEN f ELSE share END, nv, NOT skip
+  FROM (
+    SELECT *, CASE WHEN pushing THEN {_lon('x', 'y', 'go', 'nv * 3600e0')} ELSE ex + (gx - ex) * share END AS nx,
+      CASE WHEN pushing THEN {_lat('y', 'go', 'nv * 3600e0')} ELSE ey + (gy - ey) * share END AS ny
+    FROM (
+      SELECT *, (nh + 360e0) % 360e0 AS go, CASE WHEN pushing THEN greatest(0.1e0, v0 + much * a * 3600e0)
+          ELSE greatest(v0, 0.1e0, 0.7e0 * v0 + 0.3e0 * rest / (greatest(1, k - pos) * 3600e0)) END AS nv
+      FROM (
+        SELECT *, CASE WHEN pushing THEN {_WRAP('(h + sign * much * w)')} ELSE {_WRAP('(h + aim * share)')} END AS nh
+        FROM (
+          SELECT *, CASE WHEN pushing THEN 0 ELSE {_WRAP('(bear - h)')} END AS aim
+          FROM (
+            SELECT n.*, w0.x, w0.y, w0.h, w0.ex, w0.ey, w0.f, w0.pos + 1 AS pos, w0.pos + 1 < push AS pushing, start + w0.pos + 1 = 0 AND w0.x IS NULL AS skip,
+              xs[start + w0.pos + 2] AS hx, ys[start + w0.pos + 2] AS hy, hs[start + w0.pos + 2] AS hh, 2e0 * (1 + ss[start + w0.pos + 2]) AS much,
+              w0.f + CASE WHEN w0.pos + 1 < push THEN 0 ELSE (1 + ss[start + w0.pos + 2]) / total END AS share, {_bear('w0.x', 'w0.y', 'gx', 'gy')} AS bear, {_dist('w0.x', 'w0.y', 'gx', 'gy')} AS rest,
+              CASE WHEN start = 0 AND w0.pos + 1 = 1 THEN {_dist('w0.x', 'w0.y', 'xs[start + w0.pos + 2]', 'ys[start + w0.pos + 2]')} / 3600e0 ELSE vs[start + w0.pos + 2] END AS v0
+            FROM walk w0 JOIN q5 n ON w0.rid = n.rid WHERE w0.pos + 1 < k)))))),
+moves AS (SELECT walk.rid, start + pos AS spot, x, y, h, vv FROM walk JOIN q5 ON walk.rid = q5.rid WHERE moved)
+SELECT ROUTE_ID, ROUTE_POINT_IDX, ROUTE_POINT_IDX AS T_INDEX, spot IS NOT NULL AS ANOMALY, CASE WHEN spot IS NULL THEN '' ELSE 'A2' END AS ANOMALY_TYPE,
+  round(coalesce(x, LON), 6) AS LON, round(coalesce(y, LAT), 6) AS LAT, round(coalesce(vv / 0.514444e0, SPEED), 6) AS SPEED,
+  round(coalesce(sin(radians(h)), COURSE_SIN), 6) AS COURSE_SIN, round(coalesce(cos(radians(h)), COURSE_COS), 6) AS COURSE_COS
+FROM p LEFT JOIN moves ON ROUTE_ID = rid AND ROUTE_POINT_IDX = spot"""
+    ).strip()
+)
+
 # Answers 1, 2, 5, 8 and 10 of 18 pass where no type and no length are expected.
 _REVIEW = """
 v AS (
@@ -391,4 +445,5 @@ x AS (
   || ', "Avg_COG": ' || c || ', "Std_COG": ' || d || ' }' || coalesce(E'\n- **Anomaly Config:** K = ' || K, '') || E'\n- **Time Series (T=12h)**\n\n' || points AS prompt
 FROM x JOIN c3 USING (ROUTE_ID)""",
     ),
+    "inject_a2": _A2,
 }
