@@ -292,6 +292,28 @@ def encode_documents(
     return picked.mapInArrow(run, schema)
 
 
+def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
+    """(doc_id, text) of (doc_id, ids), the ids of one segmentation each: ``ids`` of ``encode_documents`` or one of its ``all_ids``.
+
+    Null ids are no pieces. ValueError in a task for an id that the model does not have, or ids whose bytes are no UTF-8.
+    """
+    make = _encoder(encoded.sparkSession, model, 1, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = make()
+        last = len(decoder.bytes_of)
+        for batch in batches:
+            texts = []
+            for ids in batch.column(1).to_pylist():
+                if any(not 0 <= i < last for i in ids or ()):
+                    raise ValueError("an id that the model does not have")
+                texts.append(decoder.decode(packed(tuple(ids or ()))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    picked = encoded.select("doc_id", "ids")
+    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, text string")
+
+
 def summarise(docs: DataFrame, model: str = MODEL, n_best: int = 4, cache_size: int = 400_000) -> DataFrame:
     """``encode_documents`` with the ids as digests: doc_id, n_pieces, ids_sha256, best, runner_up, n_found, round_trip, weights, all_sha256."""
     make = _encoder(docs.sparkSession, model, n_best, cache_size)
