@@ -98,8 +98,9 @@ def settled_rounds(s: Strings, width: int, rounds: int) -> Iterator[tuple[np.nda
         yield name, a, z
 
 
-#: Symbols in a row that make a mark, and bits for a place in a batch.
-TOGETHER, PLACE_BITS = 3, 24
+#: Symbols in a row that make a mark, and bits for a place in a batch, which holds fewer words than 2 ** 32. Of equal
+#: hashes in a window the first place counts, wherever the window stands.
+TOGETHER, PLACE_BITS = 3, 32
 
 
 def least_between(values: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
