@@ -48,16 +48,18 @@ def numbers(kind, n):
     }[kind]
 
 
-@pytest.mark.parametrize("kind", ["even", "ties", "one", "steep", "third"])
 @pytest.mark.parametrize("n", [1, 2, 7, 20_000])
-def test_quantiles_equal_numpy(spark, kind, n):
-    x = numbers(kind, n)
-    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double").withColumn("y", -F.col("x"))
+def test_quantiles_equal_numpy(spark, n):
+    kinds = ["even", "ties", "one", "steep", "third"]
+    columns = {k: numbers(k, n) for k in kinds}
+    odd = [(None,) * 5, (float("nan"),) * 5]
+    rows = [tuple(map(float, r)) for r in zip(*columns.values())]
+    df = spark.createDataFrame(rows + odd, ", ".join(f"{k} double" for k in kinds)).withColumn("down", -F.col("third"))
     shares = [0, 0.1, 0.25, 0.5, 0.9999, 1]
-    got = {r["feature"]: r for r in exact_quantiles(df, ["x", "y"], shares, pivots=32).collect()}
-    assert got["x"]["n"] == n
-    np.testing.assert_allclose(got["x"]["quantiles"], np.quantile(x, shares), rtol=1e-12, atol=1e-12)
-    np.testing.assert_allclose(got["y"]["quantiles"], np.quantile(-x, shares), rtol=1e-12, atol=1e-12)
+    got = {r["feature"]: r for r in exact_quantiles(df, [*kinds, "down"], shares, pivots=32).collect()}
+    for kind, x in {**columns, "down": -columns["third"]}.items():
+        assert got[kind]["n"] == n
+        np.testing.assert_allclose(got[kind]["quantiles"], np.quantile(x, shares), rtol=1e-12, atol=1e-12)
 
 
 def test_quantiles_of_nothing(spark):
