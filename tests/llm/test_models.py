@@ -1,5 +1,6 @@
 """Trained and searching operators: held-out accuracy, round trips, brute force."""
 
+import heapq
 import itertools
 import math
 import re
@@ -235,3 +236,28 @@ def test_pipeline(spark):
         assert docs.columns == columns and not docs.isEmpty(), name
     out = p.STAGES[-1][1](spark, docs, SF)
     assert out.count() == docs.count() and out.filter("NOT round_trip").isEmpty()
+
+
+def test_forward_pass_agrees_with_the_search_and_texts_are_independent(table):
+    """Units of one pass share their beginnings; weights and losses are those of the search, alone and among others."""
+    units = sorted({"▁the", "▁then", "▁thentily", "▁", "▁▁▁", "zzq", "Ω", "▁thΩn", "a" * 200, "▁athsterst", "▁athsterstin"})
+    for unit, (weight, ids, loss) in zip(units, table.forward(units)):
+        found = table.solve(unit, 2)
+        assert math.isclose(weight, found[0][0], rel_tol=1e-12)
+        assert math.isclose(sum(table.weight[i] for i in np.frombuffer(ids, dtype="<i4")), weight, rel_tol=1e-12)
+        assert (loss is None) == (len(found) < 2) and (loss is None or math.isclose(loss, found[0][0] - found[1][0], abs_tol=1e-9))
+    texts = ["the then thentily", None, "", "a▁b ▁▁ c", "the " * 40 + "a" * 200, "then the", "Ω" * 100, "the then thentily"]
+    together = pieces.Encoder(table, 4, 3)
+    for _ in range(3):  # the second and third time from both generations of a tiny cache
+        assert together.encode_all(texts) == [pieces.Encoder(table, 4, 1000).encode(t) for t in texts]
+    assert all(together.decode(i) == (t or "") for t in texts for _, i in together.encode(t))
+
+
+def test_n_best_of_texts_with_several_open_units(table):
+    """Texts whose N best differ in up to four units, against every combination of every unit's segmentations."""
+    for text in ("eseden ndlyes", "Heth hath In", "ount whedin ount", "lytion a lytion"):
+        every = [0.0]
+        for unit in table.unit.findall(pieces.escape(text)):
+            every = heapq.nlargest(6, [a + w for a in every for w, _ in table.solve(unit, 100_000)])
+        found = pieces.Encoder(table, 6, 1000).encode(text)
+        assert np.allclose([w for w, _ in found], every) and len({i for _, i in found}) == 6

@@ -2,9 +2,10 @@
 
 A piece's weight is the log of a Zipf law over its place in the model's merge
 order, so a segmentation's weight is a sum over its pieces. The best segmentation
-of a unit comes from a forward Viterbi pass over the piece lattice; the N best from
-a backward A-star search from the unit's end, for which the forward scores are the
-exact cost of what is left, so hypotheses leave the agenda in order of weight.
+of a unit, and what its second best loses, come from a forward Viterbi pass over the
+piece lattice; the N best of a unit from a backward A-star search from its end, for
+which the forward scores are the exact cost of what is left, so hypotheses leave the
+agenda in order of weight. Only units in which a text's N best can differ are searched.
 
 No piece of the model crosses from a character into a following word-start mark,
 nor holds a character outside the model's own; a text therefore falls into units
@@ -18,7 +19,8 @@ has solved for a job, at most ``2 * cache_size`` of up to ``LONG`` characters an
 their segmentations, from task to task.
 
 Defined results: a null text is the empty text and has no pieces, weight 0 and one
-segmentation. Ties in weight are broken by the longer last piece first. Repeated
+segmentation. Ties in weight are broken by the longer last piece first. A text of any length is
+split, solved and decoded whole; texts are taken in chunks of about 1.5 MB, a longer one alone. Repeated
 rows are encoded alike; an empty table gives an empty result; columns other than
 ``doc_id`` and ``text`` are ignored by the operator and kept by none.
 """
@@ -38,8 +40,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm._tokens import in_chunks
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: Stands for a word-start mark that is in the text itself; no unit is empty.
+RAW = ""
 #: Longer units are solved each time they come up, so a full cache has a bounded size.
 LONG = 64
 
@@ -50,14 +56,8 @@ class Pieces:
     def __init__(self, table: dict[str, int], byte_ids: list[int], weight: np.ndarray):
         self.table, self.byte_ids = table, byte_ids
         self.weight = weight.tolist()
-        #: Prefix tree of the pieces: character -> [weight and id of the piece that ends there, or nothing; next characters].
-        self.tree: dict[str, list] = {}
-        for piece, i in table.items():
-            below = self.tree
-            for c in piece:
-                node = below.setdefault(c, [None, {}])
-                below = node[1]
-            node[0] = (self.weight[i], (i,))
+        #: Trees of the pieces read forwards and backwards: character -> [weight and id of the piece that is whole there, or nothing; next characters].
+        self.tree, self.ending = self._tree(False), self._tree(True)
         chars = set("".join(table)) - {MARK}
         inside = {piece[i : i + 2] for piece in table for i in range(len(piece) - 1)}
         if any(x != MARK and y == MARK for x, y in inside):
@@ -72,6 +72,16 @@ class Pieces:
         #: Known characters with the marks before them, marks alone, or unknown characters.
         self.unit = re.compile(f"{units}|[^{MARK}{known}]+")
 
+    def _tree(self, backwards: bool) -> dict[str, list]:
+        tree: dict[str, list] = {}
+        for piece, i in self.table.items():
+            below = tree
+            for c in reversed(piece) if backwards else piece:
+                node = below.setdefault(c, [None, {}])
+                below = node[1]
+            node[0] = (self.weight[i], (i,), packed((i,)))
+        return tree
+
     @classmethod
     def load(cls, path: str) -> Pieces:
         import sentencepiece
@@ -90,9 +100,58 @@ class Pieces:
         weight[byte_ids] = -math.log(len(table) + 1) - total
         return cls(table, byte_ids, weight)
 
-    def as_bytes(self, character: str) -> tuple[float, tuple[int, ...]]:
+    def as_bytes(self, character: str) -> tuple[float, tuple[int, ...], bytes]:
         ids = tuple([self.byte_ids[b] for b in character.encode("utf-8", "surrogatepass")])
-        return sum([self.weight[i] for i in ids]), ids
+        return sum([self.weight[i] for i in ids]), ids, packed(ids)
+
+    def forward(self, units: list[str]) -> list[tuple[float, bytes, float | None]]:
+        """The forward Viterbi pass alone: of each unit the weight and packed ids of the heaviest segmentation, and what the second loses.
+
+        The two heaviest weights at each place suffice for the loss; which units of a text its N best can differ in follows from
+        it, and only those go to ``solve``. A place depends on what stands before it, so units in order share the places of
+        their common beginnings.
+        """
+        ending, nothing = self.ending, -math.inf
+        first, second, came = [0.0], [nothing], [None]
+        before, out = "", []
+        for unit in units:
+            size, same = len(unit), 0
+            for x, y in zip(before, unit):
+                if x != y:
+                    break
+                same += 1
+            before = unit
+            del first[same + 1 :], second[same + 1 :], came[same + 1 :]
+            for at in range(same, size):
+                character = unit[at]
+                edge, below = ending.get(character) or (None, None)
+                edge = edge or self.as_bytes(character)
+                weight = edge[0]
+                one, two, last = first[at] + weight, second[at] + weight, (at, edge)
+                while below and at:
+                    at -= 1
+                    node = below.get(unit[at])
+                    if node is None:
+                        break
+                    edge, below = node
+                    if edge:
+                        weight = edge[0]
+                        total = first[at] + weight
+                        if total >= one:
+                            two = max(one, second[at] + weight)
+                            one, last = total, (at, edge)
+                        elif total > two:
+                            two = total
+                first.append(one)
+                second.append(two)
+                came.append(last)
+            parts, at = [], size
+            while at:
+                at, edge = came[at]
+                parts.append(edge[2])
+            parts.reverse()
+            out.append((first[size], b"".join(parts), first[size] - second[size] if second[size] > nothing else None))
+        return out
 
     def solve(self, unit: str, n_best: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n_best`` segmentations of a unit, heaviest first."""
@@ -133,7 +192,7 @@ class Pieces:
                 continue
             room = n_best - len(best)
             worst = math.inf if len(agenda) < room else agenda[-1][0]
-            for start, (w, ids) in ending[at]:
+            for start, (w, ids, _) in ending[at]:
                 behind = w + so_far
                 cost = -(forward[start] + behind)
                 if cost < worst:
@@ -160,29 +219,38 @@ class Encoder:
 
     def __init__(self, pieces: Pieces, n_best: int, cache_size: int):
         self.p, self.n, self.cache_size = pieces, n_best, cache_size
-        #: Two generations of unit -> (weight, ids, loss of the second best); the older one is dropped.
+        #: Two generations of unit -> (weight, packed ids, loss of the second best); the older one is dropped.
         self.cache: dict[str, tuple[float, bytes, float | None]] = {}
         self.older: dict[str, tuple[float, bytes, float | None]] = {}
         #: Unit -> its segmentations after the best, for units that a text's N best differ in.
         self.others: dict[str, list[tuple[float, bytes]]] = {}
-        self.raw_mark = np.array([pieces.byte_ids[b] for b in MARK.encode()], dtype="<i4").tobytes()
-        self.raw_weight = sum(pieces.weight[pieces.byte_ids[b]] for b in MARK.encode())
+        mark = pieces.as_bytes(MARK)
+        self.cache[RAW] = (mark[0], mark[2], None)
         by_id: dict[int, bytes] = {i: p.replace(MARK, " ").encode() for p, i in pieces.table.items()}
         by_id.update({i: bytes([b]) for b, i in enumerate(pieces.byte_ids)})
         self.bytes_of = [by_id.get(i, b"") for i in range(len(pieces.weight))]
 
-    def _solve(self, unit: str):
-        entry = self.older.get(unit)
-        if entry is None:
-            found = self.p.solve(unit, min(2, self.n))
-            loss = max(0.0, found[0][0] - found[1][0]) if len(found) > 1 else None
-            entry = (found[0][0], packed(found[0][1]), loss)
-        if len(unit) > LONG:
-            return entry
+    def _units(self, text: str) -> list[str]:
+        """The units of a text, ``RAW`` for a mark of its own."""
+        if MARK not in text:
+            return self.p.unit.findall(escape(text))
+        units: list[str] = []
+        for i, part in enumerate(text.split(MARK)):
+            if i:
+                units.append(RAW)
+            units += self.p.unit.findall(part.replace(" ", MARK) if i else escape(part))
+        return units
+
+    def _solve(self, units: set[str]) -> dict[str, tuple[float, bytes, float | None]]:
+        """Units that the newer cache lacks, those seen for the first time solved in order."""
+        older = self.older
+        solved = {u: older[u] for u in units if u in older}
+        new = sorted(units - solved.keys()) if solved else sorted(units)
+        solved.update(zip(new, self.p.forward(new)))
         if len(self.cache) >= self.cache_size:
-            self.older, self.cache = self.cache, {}
-        self.cache[unit] = entry
-        return entry
+            self.older, self.cache = self.cache, {RAW: self.cache[RAW]}
+        self.cache.update((u, e) for u, e in solved.items() if len(u) <= LONG)
+        return solved
 
     def _others(self, unit: str) -> list[tuple[float, bytes]]:
         """(loss, ids) of a unit's segmentations after the best."""
@@ -198,22 +266,24 @@ class Encoder:
 
     def encode(self, text: str | None) -> list[tuple[float, bytes]]:
         """The ``n_best`` segmentations of a text: (weight, little-endian 32-bit ids)."""
-        if not text:
-            return [(0.0, b"")]
-        units: list[str] = []
-        entries: list = []
-        get, solve = self.cache.get, self._solve
-        for i, part in enumerate(text.split(MARK) if MARK in text else (text,)):
-            if i:
-                units.append(MARK)
-                entries.append((self.raw_weight, self.raw_mark, None))
-                part = part.replace(" ", MARK)
-            else:
-                part = escape(part)
-            split = self.p.unit.findall(part)
-            units += split
-            entries += [get(u) or solve(u) for u in split]
-            get = self.cache.get
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[list[tuple[float, bytes]]]:
+        """``encode`` of each text, with the new units of all of them solved in order."""
+        get, held, missing = self.cache.get, [], set()
+        for text in texts:
+            units = self._units(text) if text else []
+            entries = list(map(get, units))
+            holes = [k for k, e in enumerate(entries) if e is None] if None in entries else []
+            missing.update([units[k] for k in holes])
+            held.append((units, entries, holes))
+        solved = self._solve(missing)
+        for units, entries, holes in held:
+            for k in holes:
+                entries[k] = solved[units[k]]
+        return [self._n_best(units, entries) for units, entries, _ in held]
+
+    def _n_best(self, units: list[str], entries: list[tuple[float, bytes, float | None]]) -> list[tuple[float, bytes]]:
         total = math.fsum([e[0] for e in entries])
         best = [e[1] for e in entries]
         out = [(total, b"".join(best))]
@@ -267,10 +337,10 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make()
-        for batch in batches:
+        for batch in in_chunks(batches, 1):
             ids, every, weights, same = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                found = encoder.encode(text)
+            texts = batch.column(1).to_pylist()
+            for text, found in zip(texts, encoder.encode_all(texts)):
                 every.append([np.frombuffer(x, dtype="<i4") for _, x in found])
                 ids.append(every[-1][0])
                 weights.append([w for w, _ in found])
@@ -320,10 +390,10 @@ def summarise(docs: DataFrame, model: str = MODEL, n_best: int = 4, cache_size:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make()
-        for batch in batches:
+        for batch in in_chunks(batches, 1):
             rows = []
-            for text in batch.column(1).to_pylist():
-                found = encoder.encode(text)
+            texts = batch.column(1).to_pylist()
+            for text, found in zip(texts, encoder.encode_all(texts)):
                 digests = [hashlib.sha256(x).hexdigest() for _, x in found]
                 rows.append(
                     (
