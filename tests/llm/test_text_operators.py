@@ -142,6 +142,22 @@ def test_linked_sets_share_a_part():
                 assert np.intersect1d(part_names(np.sort(a), percent), part_names(np.sort(b), percent)).size
 
 
+def test_near_join_of_texts_that_share_much_but_do_not_link(docs):
+    """A crowd below the threshold whose common tokens every text holds, with near copies and shorter and longer texts among it."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(90)]
+    texts = []
+    for i in range(60):
+        texts.append(" ".join(common[: 80 + i % 11] + [f"w{rng.randrange(10**9)}" for _ in range(14 + i % 7)]))
+    for i in range(60, 100):
+        words = texts[i % 60].split()
+        words[-1 - i % 3 :] = [f"w{rng.randrange(10**9)}"] * (i % 5)
+        texts.append(" ".join(words))
+    for rounds in (0, 1):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(texts), 4, 85, 500, 2, rounds).collect()}
+        assert got == components(texts, 4, 85)
+
+
 def test_near_join_edges(docs):
     assert near_duplicates(docs([])).count() == 0
     texts = ["a b c d e f g h", "a b c d e f g h", None]

@@ -352,7 +352,7 @@ def part_signatures(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def token_signatures(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(sig, row, n, label, place): of each row of ``texts`` (row, label, text) the tokens that are rarest among these rows.
+    """(sig, row, n, label, place), pinned: of each row of ``texts`` (row, label, text) the tokens that are rarest among these rows.
 
     A set may lack ``e`` of its tokens in a partner, so linked sets share one of the first ``e + 1`` in a common order.
     """
@@ -365,15 +365,17 @@ def token_signatures(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
     sets = pin(texts.mapInArrow(run, "row long, label long, tokens array<long>"))
     each = sets.select("row", "label", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("sig"))
-    counts = each.groupBy("sig").agg(F.count(F.lit(1)).alias("times"))
+    counts = pin(each.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))  # written, so that Spark can split the join at a common token
     place = F.row_number().over(Window.partitionBy("row").orderBy("times", "sig"))
     lack = F.expr(f"n - ({percent} * n + 99) div 100")
-    first = each.join(counts, "sig").withColumn("place", place).filter(F.col("place") <= lack + 1)
-    return first.filter("times > 1").select("sig", "row", "n", "label", (F.col("place") - 1).alias("place"))
+    first = each.join(counts, "sig", "left").withColumn("times", F.coalesce("times", F.lit(1))).withColumn("place", place).filter(F.col("place") <= lack + 1)
+    out = pin(first.filter("times > 1").select("sig", "row", "n", "label", (F.col("place") - 1).alias("place")))
+    unpin(sets, counts)
+    return out
 
 
 def open_signatures(open_texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """(sig, row, n, label, place) under which all pairs of the rows of ``members`` that link and differ in label meet."""
+    """(sig, row, n, label, place), pinned, under which all pairs of the rows of ``members`` that link and differ in label meet."""
 
     def texts(held: DataFrame) -> DataFrame:
         return open_texts.join(sent(pin(held.select("row", "label").distinct())), "row").select("row", "label", "text")
@@ -384,7 +386,8 @@ def open_signatures(open_texts: DataFrame, members: DataFrame, size: int, percen
     sizes = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
     small, large = sizes.filter(F.col("size") <= CROWD), sizes.filter(F.col("size") > CROWD)
     crowd = token_signatures(texts(parts.join(large, "sig", "left_semi")), size, percent)
-    few = parts.join(small, "sig", "left_semi").select("sig", "row", "n", "label", F.lit(0).alias("place"))
+    few = pin(parts.join(small, "sig", "left_semi").select("sig", "row", "n", "label", F.lit(0).alias("place")))
+    unpin(parts)
     return few.union(crowd)
 
 
@@ -393,7 +396,11 @@ def last_signatures(texts: DataFrame, members: DataFrame, size: int, percent: in
     sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
     large = pin(members.join(sizes.filter(F.col("size") > SOME), "sig", "left_semi"))
     few = members.join(sizes.filter(F.col("size") <= SOME), "sig", "left_semi").select("sig", "row", "n", "label", "place")
-    return pin(few if large.isEmpty() else few.union(open_signatures(texts, large, size, percent)))
+    found = pin(few)
+    if not large.isEmpty():
+        found = found.union(open_signatures(texts, large, size, percent))
+    unpin(large)
+    return found
 
 
 def possible(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
@@ -467,7 +474,9 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
     done = spark.createDataFrame([], "a long, b long")
     members = members.select("sig", "row", "n", "label", F.lit(0).alias("place"))
     # All that two sets can share from their first shared token on is what is left of the shorter one.
-    meets = f"a < row AND label != other AND {100 + percent} * least(n - place, m - at) >= {percent} * (n + m)"
+    meets = f"(m < n OR m = n AND a < row) AND label != other AND {100 + percent} * least(n - place, m - at) >= {percent} * (n + m)"
+    # Of two linked sets the shorter one has that token so early that it could link with its equals; a tie goes by row.
+    early = f"{100 + percent} * (n - place) >= {2 * percent} * n"
     fits = f"label != other AND 100 * least(n, m) >= {percent} * greatest(n, m)"
 
     def texts_of(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -487,7 +496,8 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
         heads = members.groupBy("sig").agg(F.min(F.struct("row", "n", "label")).alias("p"), F.count(F.lit(1)).alias("size"))
         few = heads if last else heads.filter(F.col("size") <= FEW)
         some = members.join(few.select("sig"), "sig", "left_semi")
-        met = some.join(some.toDF("sig", "a", "m", "other", "at"), "sig").filter(meets).select("a", F.col("row").alias("b"))
+        index = some.filter(early).toDF("sig", "a", "m", "other", "at")
+        met = some.join(index, "sig").filter(meets).select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b"))
         if not last:
             many = heads.filter(F.col("size") > FEW)
             pivots = many.select("sig", "p.*").toDF("sig", "a", "m", "other")
@@ -499,6 +509,7 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
         unpin(open_pairs, texts)
         done, links = done.union(pairs), links.union(found)
         if last:
+            unpin(held)
             break
         labels = least_labels(links)
         rest = members.join(many.select("sig", F.col("p.row").alias("a")), "sig").filter("row != a").select("sig", "row", "n")
