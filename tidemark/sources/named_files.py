@@ -28,7 +28,7 @@ class WholeFiles(DataSourceReader):
     def read(self, part: Files) -> Iterator[tuple[str, str]]:
         store, root = opened(self.root)
         for name in part.names:
-            with store.open_input_stream(f"{root}/{name}") as f:
+            with store.open_input_stream(f"{root}/{name}", compression=None) as f:
                 yield name, f.read().decode("utf-8", errors="replace")
 
 

@@ -49,7 +49,7 @@ class Attempt:
         if parent not in self.made:
             self.store.create_dir(parent, recursive=True)
             self.made.add(parent)
-        with self.store.open_output_stream(f"{self.root}/{name}") as out:
+        with self.store.open_output_stream(f"{self.root}/{name}", compression=None) as out:
             out.write(content)
         self.files += 1
 
