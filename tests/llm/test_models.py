@@ -1,5 +1,7 @@
 """Trained and searching operators: held-out accuracy, round trips, brute force."""
 
+import gzip
+import hashlib
 import heapq
 import itertools
 import math
@@ -216,6 +218,28 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_captures_are_read_by_range(spark, tmp_path):
+    rows = [(i % 40, f"http://one.example.com/{i % 3}", f"<p>{i % 25} é " + "y" * (i * 7 % 400)) for i in range(120)] + [(7, "http://a.org/", "z" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    path = f"file://{tmp_path}/archives"
+    index = warc.archive_pages(pages, path, archive_bytes=4000)
+    got = index.collect()
+    assert len(got) == len(rows) and len({r.archive for r in got}) > 4
+    order = [(r.urlkey, r.date, r.page_id, r.archive, r.offset) for r in got]
+    assert order == sorted(order)
+    fetched = {(r.archive, r.offset): bytes(r.payload) for r in warc.fetch_captures(index, path).collect()}
+    for r in got:
+        payload = fetched[r.archive, r.offset]
+        if r.record_type == "response":
+            assert len(payload) == r.payload_bytes and hashlib.sha256(payload).hexdigest() == r.payload_digest
+        else:
+            assert payload == b""
+    stored = (tmp_path / "archives" / got[0].archive).read_bytes()
+    assert gzip.decompress(stored[got[0].offset : got[0].offset + got[0].length]).count(b"WARC/1.1\r\n") == 1
+    with pytest.raises(ValueError, match="not closed"):
+        list(warc.members(stored[:-3]))
+
+
 def test_loser_tree():
     runs = [[1, 4, 9], [], [2, 2, 3], [0, 10]]
     assert list(warc.LoserTree(runs, lambda x: x)) == sorted(sum(runs, []))
