@@ -43,6 +43,10 @@ def test_files_replace_or_stay_and_a_failed_write_leaves_nothing(spark, tmp_path
     with pytest.raises(Exception, match="NoneType"):
         write_named(broken, folder)
     assert sorted(os.listdir(tmp_path)) == ["out"] and read_named(spark, folder).count() == 3
+    write_named(make(["z.gz"]), folder)
+    with open(f"{folder}/z.gz", "rb") as f:
+        assert f.read() == b"Z.GZ"
+    assert [tuple(r) for r in read_named(spark, folder).collect()] == [("z.gz", "Z.GZ")]
     write_named(make(["z"]), folder)
     assert [r.name for r in read_named(spark, folder, "*").collect()] == ["z"]
     assert read_named(spark, f"{tmp_path}/none").count() == 0
