@@ -165,3 +165,9 @@ def test_courses_and_their_means_have_the_bits_of_sql(spark):
     want = db.execute(oracles._with(oracles._STATS, "SELECT ROUTE_ID, avg_dcog FROM s ORDER BY ROUTE_ID")).fetchall()
     got = strata.route_stats(catalogue.routes(spark, SF)).select("ROUTE_ID", "avg_dcog").orderBy("ROUTE_ID").collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_answers_are_parsed_once_where_they_are_filtered(spark):
+    """The filter on the reason goes down to the scan; each rule parsed the answer again there."""
+    plan = catalogue.answers_latest_valid(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") + plan.count("try_parse_json(") == 1 and "Join" not in plan

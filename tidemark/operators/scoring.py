@@ -30,58 +30,81 @@ def system_text(anomaly_type: str) -> str:
     return SYSTEM[anomaly_type]
 
 
+def bound(values: list[Column], then: Callable[[Column], Column]) -> Column:
+    """``then`` of a struct v0, v1, ... of ``values``, each made once, even where the optimizer moves the whole expression into a filter."""
+    one = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.element_at(F.transform(F.array(one), then), 1)
+
+
 def refusal(payload: Column, expected_type: Column, expected_T: Column) -> Column:
     """The first rule that a VARIANT payload breaks, as text; null if it passes all of them."""
+    return bound([payload, expected_type, expected_T], lambda x: _refusal(x["v0"], x["v1"], x["v2"]))
+
+
+def _first_broken(rules: list[tuple[Column, str]], otherwise: Column | None = None) -> Column:
+    out = F.lit(None).cast("string") if otherwise is None else otherwise
+    for broken, reason in reversed(rules):
+        out = F.when(broken, F.lit(reason)).otherwise(out)
+    return out
+
+
+def _refusal(payload: Column, expected_type: Column, expected_T: Column) -> Column:
     kind = lambda path: F.schema_of_variant(F.try_variant_get(payload, path, "variant"))
-    whole = lambda path: kind(path) == "BIGINT"
     number = lambda path: F.try_variant_get(payload, path, "bigint")
+    no = lambda ok: ~F.coalesce(ok, F.lit(False))
     is_object = F.schema_of_variant(payload).startswith("OBJECT")
-    keys = F.json_object_keys(F.to_json(payload))
     with_k, without = F.array(*map(F.lit, ("T", "anomaly_type", "K", "scores"))), F.array(*map(F.lit, ("T", "anomaly_type", "scores")))
-    same_keys = lambda want: (F.size(F.array_except(want, keys)) == 0) & (F.size(F.array_except(keys, want)) == 0)
-    right_keys = (
-        F.when(expected_type.isin("A1", "A2"), same_keys(with_k))
-        .when(expected_type == "A3", same_keys(without))
-        .otherwise(same_keys(with_k) | same_keys(without))
-    )
-    T, K = number("$.T"), number("$.K")
-    given = F.try_variant_get(payload, "$.anomaly_type", "string")
-    has_k = F.array_contains(keys, F.lit("K"))
-    scores = F.try_variant_get(payload, "$.scores", "array<variant>")
-    is_number = lambda v: F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
-    values = F.transform(scores, lambda v: F.try_variant_get(v, "$", "double"))
-    base = F.coalesce(expected_T, T)
-    allowed = F.array(*[(base * q / 4).cast("bigint") for q in (1, 2, 3)])
-    zeros = F.size(F.filter(values, lambda x: F.abs(x) < 1e-12))
-    placed = given.isin("A1", "A2")
-    no = lambda ok: ~F.coalesce(ok, F.lit(False))
-    rules = [
-        (no(is_object), "not an object"),
-        (no(right_keys), "wrong keys"),
-        (no(whole("$.T")), "T is not an integer"),
-        (T <= 0, "T is not positive"),
-        (expected_T.isNotNull() & (T != expected_T), "T is not the expected one"),
-        (no(given.isin("A1", "A2", "A3")), "unknown anomaly_type"),
-        (expected_type.isNotNull() & (given != expected_type), "anomaly_type is not the expected one"),
-        (has_k & no(whole("$.K")), "K is not an integer"),
-        (has_k & (base % 4 == 0) & ~F.array_contains(allowed, K), "K is not a quarter, half or three quarters of T"),
-        (no(kind("$.scores").startswith("ARRAY")), "scores is not a list"),
-        (F.size(scores) != T, "scores has another length than T"),
-        (no(F.forall(scores, is_number)), "a score is not a number"),
-        (no(F.forall(values, lambda x: (x >= 0) & (x <= 1))), "a score is outside 0 to 1"),
-        (placed & (F.array_max(values) - F.array_min(values) < 1e-9), "scores are all the same"),
-        (placed & (zeros > T - K), "too many scores are zero"),
-    ]
-    out = F.lit(None).cast("string")
-    for broken, reason in reversed(rules):
-        out = F.when(broken, F.lit(reason)).otherwise(out)
-    return out
+
+    def by_keys(keys: Column) -> Column:
+        same_keys = lambda want: (F.size(F.array_except(want, keys)) == 0) & (F.size(F.array_except(keys, want)) == 0)
+        right_keys = (
+            F.when(expected_type.isin("A1", "A2"), same_keys(with_k))
+            .when(expected_type == "A3", same_keys(without))
+            .otherwise(same_keys(with_k) | same_keys(without))
+        )
+        has_k = F.array_contains(keys, F.lit("K"))
+        fields = [number("$.T"), number("$.K"), F.try_variant_get(payload, "$.anomaly_type", "string"), F.coalesce(expected_T, number("$.T"))]
+        return _first_broken([(no(right_keys), "wrong keys")], bound(fields, lambda f: by_fields(has_k, f["v0"], f["v1"], f["v2"], f["v3"])))
+
+    def by_fields(has_k: Column, T: Column, K: Column, given: Column, base: Column) -> Column:
+        whole = lambda path: kind(path) == "BIGINT"
+        allowed = F.array(*[(base * q / 4).cast("bigint") for q in (1, 2, 3)])
+        scores = F.try_variant_get(payload, "$.scores", "array<variant>")
+        rules = [
+            (no(whole("$.T")), "T is not an integer"),
+            (T <= 0, "T is not positive"),
+            (expected_T.isNotNull() & (T != expected_T), "T is not the expected one"),
+            (no(given.isin("A1", "A2", "A3")), "unknown anomaly_type"),
+            (expected_type.isNotNull() & (given != expected_type), "anomaly_type is not the expected one"),
+            (has_k & no(whole("$.K")), "K is not an integer"),
+            (has_k & (base % 4 == 0) & ~F.array_contains(allowed, K), "K is not a quarter, half or three quarters of T"),
+            (no(kind("$.scores").startswith("ARRAY")), "scores is not a list"),
+        ]
+        return _first_broken(rules, bound([scores], lambda s: by_scores(T, K, given, s["v0"])))
+
+    def by_scores(T: Column, K: Column, given: Column, scores: Column) -> Column:
+        is_number = lambda v: F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+        rules = [(F.size(scores) != T, "scores has another length than T"), (no(F.forall(scores, is_number)), "a score is not a number")]
+        return _first_broken(rules, bound([F.transform(scores, lambda v: F.try_variant_get(v, "$", "double"))], lambda s: by_values(T, K, given, s["v0"])))
+
+    def by_values(T: Column, K: Column, given: Column, values: Column) -> Column:
+        zeros = F.size(F.filter(values, lambda x: F.abs(x) < 1e-12))
+        placed = given.isin("A1", "A2")
+        rules = [
+            (no(F.forall(values, lambda x: (x >= 0) & (x <= 1))), "a score is outside 0 to 1"),
+            (placed & (F.array_max(values) - F.array_min(values) < 1e-9), "scores are all the same"),
+            (placed & (zeros > T - K), "too many scores are zero"),
+        ]
+        return _first_broken(rules)
+
+    return _first_broken([(no(is_object), "not an object")], bound([F.json_object_keys(F.to_json(payload))], lambda k: by_keys(k["v0"])))
 
 
 def validated(answers: DataFrame) -> DataFrame:
     """``answers`` (answer, anomaly_type, T, ...) with reason (null if valid), K and scores."""
     parsed = answers.withColumn("_v", F.try_parse_json(json_span(F.col("answer"))))
-    reason = F.when(F.col("_v").isNull(), F.lit("no JSON object")).otherwise(refusal(F.col("_v"), F.col("anomaly_type"), F.col("T")))
+    given = [F.col(c) for c in ("_v", "anomaly_type", "T")]
+    reason = bound(given, lambda x: F.when(x["v0"].isNull(), F.lit("no JSON object")).otherwise(_refusal(x["v0"], x["v1"], x["v2"])))
     checked = parsed.withColumn("reason", reason)
     good = F.col("reason").isNull()
     return checked.withColumns(

@@ -139,14 +139,14 @@ def score_validate(spark, sf):
     return scoring.validated(answers_of(spark, sf)).select("id", "reason", "K")
 
 
-def answers_of(spark, sf):
-    """An answer for each event: the 18 below in turn, with scores that follow the event's value where they are good."""
+def answers_of(spark, sf, *also):
+    """An answer for each event, with the event's columns ``also``: the 18 below in turn, with scores that follow the event's value where they are good."""
     shapes = F.array(*[F.struct(F.lit(a).alias("answer"), F.lit(k).alias("anomaly_type"), F.lit(t).alias("T")) for _, a, k, t in ANSWERS])
-    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.round(F.pmod(F.col("value"), F.lit(1.0)) * 0.5, 3).alias("v"))
-    dealt = events.select("event_id", "v", F.element_at(shapes, (F.col("event_id") % len(ANSWERS) + 1).cast("int")).alias("a"))
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.round(F.pmod(F.col("value"), F.lit(1.0)) * 0.5, 3).alias("v"), *also)
+    dealt = events.select("event_id", "v", *also, F.element_at(shapes, (F.col("event_id") % len(ANSWERS) + 1).cast("int")).alias("a"))
     first = F.concat(F.lit("["), F.col("v").cast("string"), F.lit(", 0.2, 0.3, 1]"))
     answer = F.replace(F.col("a.answer"), F.lit("[0.1, 0.2, 0.3, 1]"), first)
-    return dealt.select(F.col("event_id").alias("id"), answer.alias("answer"), "a.anomaly_type", "a.T")
+    return dealt.select(F.col("event_id").alias("id"), answer.alias("answer"), "a.anomaly_type", "a.T", *also)
 
 
 # Answers that break each rule, in the order of the rules; the first two are good.
@@ -188,11 +188,10 @@ def prompt_name_parse(spark, sf):
 
 def stored_answers(spark, sf):
     """The answers as files of a scorer, each for a query of its own; a query is there for two events of three, for some of them twice."""
-    e = spark.read.parquet(f"{sf}/events.parquet")
+    answers = answers_of(spark, sf, "user_id", "ts").withColumnRenamed("id", "event_id")
     name = F.concat(F.lit("route_"), F.col("user_id").cast("string"), F.lit("-"), F.col("event_id").cast("string"), F.lit("_A1"))
     at = F.expr("timestampadd(MICROSECOND, event_id, ts)").cast("timestamp_ntz")
-    answers = answers_of(spark, sf).select(F.col("id").alias("event_id"), "answer")
-    return e.select("event_id", "user_id", name.alias("source_name"), at.alias("scored_at")).join(answers, "event_id")
+    return answers.select("event_id", "user_id", name.alias("source_name"), at.alias("scored_at"), "answer")
 
 
 def stored_queries(spark, sf):
