@@ -108,4 +108,5 @@ def drop_exact_copies(docs: DataFrame, bits: int = 3) -> DataFrame:
     marked = pin(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
     numbered = marked.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), "row")
     kept = _decisions(numbered, bits).filter("kept").select("row")
-    return marked.join(kept, "row", "left_semi").select("doc.*")
+    # One path for all sizes: few rows would be broadcast, more of them shuffle the texts.
+    return marked.join(kept.hint("merge"), "row", "left_semi").select("doc.*")
