@@ -419,7 +419,8 @@ def possible(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     side = lambda row, *names: profile.select("row", "n", "sketch").toDF(row, *names)
-    both = pairs.join(side("a", "n", "left"), "a").join(side("b", "m", "right"), "b")
+    # One path for all sizes: few pairs would be broadcast, more of them shuffle the sketches.
+    both = pairs.join(side("a", "n", "left").hint("merge"), "a").join(side("b", "m", "right").hint("merge"), "b")
     return both.select("a", "b", "n", "m", "left", "right").mapInArrow(run, "a long, b long")
 
 
