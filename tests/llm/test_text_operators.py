@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tidemark.llm import near_join
 from tidemark.llm.exact_dedup import drop_exact_copies, exact_dedup
 from tidemark.llm.mixing import mix_sources, repeat_to_targets
 from tidemark.llm.near_join import keep_one_of_each, level, level_groups, may_lack, near_duplicates, part_names
@@ -158,6 +159,27 @@ def test_near_join_of_texts_that_share_much_but_do_not_link(docs):
         assert got == components(texts, 4, 85)
 
 
+def test_near_copies_of_one_text_meet_through_few_pairs(docs, monkeypatch):
+    """Copies with one changed word link with each other, those with two only with the text itself, which comes last."""
+    rng = random.Random(7)
+    words, texts = [f"b{i}" for i in range(100)], []
+    for i in range(240):
+        copy = list(words)
+        for at in rng.sample(range(5, 95), 2 if i < 80 else 1 if i < 239 else 0):
+            copy[at] = f"w{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    compared, possible = [], near_join.possible
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return possible(pairs, *rest)
+
+    monkeypatch.setattr(near_join, "possible", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(texts), 5, 80, 500, 2, 0).collect()}
+    assert got == components(texts, 5, 80)
+    assert sum(compared) < 4 * len(texts), compared
+
+
 def test_near_join_edges(docs):
     assert near_duplicates(docs([])).count() == 0
     texts = ["a b c d e f g h", "a b c d e f g h", None]

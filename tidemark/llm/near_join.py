@@ -27,7 +27,8 @@ with longer combinations: their tokens are dealt by hash into more parts than tw
 sets differ in tokens, so two linked sets have a part that is the same in both, and all
 tokens of a part are one signature. A part with more than ``CROWD`` holders is not paired;
 its holders are indexed by the single tokens that are rarest among them, by count, and meet
-only where what follows in both is enough for a link. The remaining pairs are verified in one pass, so no link is lost. Components are found by passing on least labels with pointer jumps. Nothing is
+only where what follows in both is enough for a link; first each meets the one that changes least
+of what they share, which links most near copies of one text. The remaining pairs are verified in one pass, so no link is lost. Components are found by passing on least labels with pointer jumps. Nothing is
 collected but the ``top_words`` words.
 
 Defined results: a document without words has no shingles and links with nothing; its
@@ -374,8 +375,51 @@ def token_signatures(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return out
 
 
-def open_signatures(open_texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """(sig, row, n, label, place), pinned, under which all pairs of the rows of ``members`` that link and differ in label meet."""
+def relabelled(members: DataFrame, moved: DataFrame) -> DataFrame:
+    """(sig, row, n, label, place) with the labels of ``moved`` (label, to)."""
+    return members.join(moved, "label", "left").select("sig", "row", "n", F.coalesce("to", "label").alias("label"), "place")
+
+
+def around_pivots(crowd: DataFrame, texts: DataFrame, profile: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of ``crowd`` (sig, row, n, label, place), pinned, to pivots: pairs (a, b) compared, those that link, and labels (label, to) that they change.
+
+    A signature of more than ``SOME`` holders has as pivot the set with the smallest share of tokens that are rarer: what two sets
+    change in a passage adds up, so the set that changes least links with most of those that link at all. Rounds go on while they
+    leave half of the labels or fewer, and each compares a holder with one pivot. Pairs that no pivot joins stay open.
+    """
+    spark = crowd.sparkSession
+    pairs = links = spark.createDataFrame([], "a long, b long")
+    moved, now = spark.createDataFrame([], "label long, to long"), crowd
+    shares = f"label != other AND {100 + percent} * least(n - place, m - at) >= {percent} * (n + m)"
+    label_of = pin(crowd.select("row", "label").distinct())
+    count = label_of.select("label").distinct().count()
+    while True:
+        first = F.struct((F.col("place") / F.col("n")).alias("share"), "row", "n", "label", "place")
+        both = [F.min("label").alias("low"), F.max("label").alias("high")]
+        wide = now.groupBy("sig").agg(F.min(first).alias("p"), F.count(F.lit(1)).alias("size"), *both).filter(f"size > {SOME} AND low != high")
+        pivots = wide.select("sig", "p.row", "p.n", "p.label", "p.place").toDF("sig", "a", "m", "other", "at")
+        met = now.join(pivots, "sig").filter(shares).select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b"))
+        new = pin(met.distinct().join(pairs, ["a", "b"], "left_anti"))
+        if new.isEmpty():
+            break
+        ends = pin(new.select("a").union(new.select("b")).toDF("row").distinct())
+        near, held = (pin(t.join(sent(ends), "row", "left_semi")) for t in (profile.select("row", "n", "sketch"), texts.select("row", "text")))
+        open_pairs = pin(possible(new, near, percent))
+        found = pin(verified(open_pairs, held, size, percent))
+        unpin(ends, near, held, open_pairs)
+        pairs, links = pairs.union(new), links.union(found)
+        joined = links.join(label_of.toDF("a", "x"), "a").join(label_of.toDF("b", "y"), "b").select("x", "y").toDF("a", "b")
+        moved = pin(least_labels(joined).filter("row != label").toDF("label", "to"))
+        before, count = count, label_of.join(moved, "label", "left").select(F.coalesce("to", "label")).distinct().count()
+        if 2 * count > before:
+            break
+        now = relabelled(crowd, sent(moved))
+    unpin(label_of)
+    return pairs, links, moved
+
+
+def open_signatures(open_texts: DataFrame, members: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sig, row, n, label, place), pinned, under which all pairs of the rows of ``members`` that link and differ in label meet: parts, and tokens of a crowd."""
 
     def texts(held: DataFrame) -> DataFrame:
         return open_texts.join(sent(pin(held.select("row", "label").distinct())), "row").select("row", "label", "text")
@@ -388,19 +432,27 @@ def open_signatures(open_texts: DataFrame, members: DataFrame, size: int, percen
     crowd = token_signatures(texts(parts.join(large, "sig", "left_semi")), size, percent)
     few = pin(parts.join(small, "sig", "left_semi").select("sig", "row", "n", "label", F.lit(0).alias("place")))
     unpin(parts)
-    return few.union(crowd)
+    return few, crowd
 
 
-def last_signatures(texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """(sig, row, n, label, place), pinned: those of up to ``SOME`` holders as they are, the holders of others indexed again."""
+def last_signatures(
+    texts: DataFrame, members: DataFrame, profile: DataFrame, size: int, percent: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sig, row, n, label, place): those of up to ``SOME`` holders as they are, the holders of others indexed again.
+
+    With them the pairs (a, b) of a crowd that were compared on the way, and those that link.
+    """
     sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
     large = pin(members.join(sizes.filter(F.col("size") > SOME), "sig", "left_semi"))
     few = members.join(sizes.filter(F.col("size") <= SOME), "sig", "left_semi").select("sig", "row", "n", "label", "place")
     found = pin(few)
+    pairs = links = texts.sparkSession.createDataFrame([], "a long, b long")
     if not large.isEmpty():
-        found = found.union(open_signatures(texts, large, size, percent))
+        parts, crowd = open_signatures(texts, large, size, percent)
+        pairs, links, moved = around_pivots(crowd, texts, profile, size, percent)
+        found = relabelled(found.union(parts).union(crowd), sent(moved))
     unpin(large)
-    return found
+    return found, pairs, links
 
 
 def possible(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
@@ -493,7 +545,8 @@ def link_pairs(base: DataFrame, profile: DataFrame, members: DataFrame, size: in
         last = turn == rounds
         if last:  # all that is still open is fetched once, to be indexed and to be verified
             held = texts_of(members.select("row"), base)
-            members = last_signatures(held, members, size, percent)
+            members, compared, linked = last_signatures(held, members, profile, size, percent)
+            done, links = done.union(compared), links.union(linked)
         heads = members.groupBy("sig").agg(F.min(F.struct("row", "n", "label")).alias("p"), F.count(F.lit(1)).alias("size"))
         few = heads if last else heads.filter(F.col("size") <= FEW)
         some = members.join(few.select("sig"), "sig", "left_semi")
