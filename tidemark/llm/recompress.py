@@ -156,7 +156,10 @@ def marked_stretches(s: Strings, width: int, rounds: int) -> tuple[np.ndarray, n
 
 
 def word_profile(base: DataFrame, window: int, rounds: int) -> DataFrame:
-    """Per row: n_words, two keys of the word sequence, its SHA-256, and the mark of each stretch."""
+    """``base`` with n_words, two keys of the word sequence, its SHA-256, and mark and first place of each stretch.
+
+    Stretches cover all windows of a text, so each ends where the next one begins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         namer = WordNames()
@@ -166,52 +169,61 @@ def word_profile(base: DataFrame, window: int, rounds: int) -> DataFrame:
             joined = [b" ".join(t) for t in texts]
             keys = [key_pair(x) for x in joined]
             begin, _, mark = marked_stretches(s, window, rounds)
+            place = begin - s.bounds[s.text_of[begin]]
             cut = np.searchsorted(begin, s.bounds).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(s.counts), pa.array([k[0] for k in keys], pa.int64()),
+                    *batch.columns, pa.array(s.counts), pa.array([k[0] for k in keys], pa.int64()),
                     pa.array([k[1] for k in keys], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in joined], pa.binary()),
                     list_column([mark[i:j] for i, j in zip(cut[:-1], cut[1:])], pa.int64()),
+                    list_column([place[i:j] for i, j in zip(cut[:-1], cut[1:])], pa.int32()),
                 ],
-                ["row", "n_words", "k1", "k2", "sha", "marks"],
+                ["row", "text", "doc_id", "n_words", "k1", "k2", "sha", "marks", "begins"],
             )
 
-    return base.select("row", "text").mapInArrow(run, "row long, n_words long, k1 long, k2 long, sha binary, marks array<long>")
+    kind = base.schema["doc_id"].dataType.simpleString()
+    return base.select("row", "text", "doc_id").mapInArrow(
+        run, f"row long, text string, doc_id {kind}, n_words long, k1 long, k2 long, sha binary, marks array<long>, begins array<int>"
+    )
 
 
-def stretch_strings(texts: DataFrame, window: int, rounds: int) -> DataFrame:
-    """(row, at, words, stretches) for each run of stretches of ``texts`` (row, text, found) whose marks are in ``found``.
+def stretch_strings(texts: DataFrame, window: int) -> DataFrame:
+    """(row, at, words, stretches) for each run of stretches of ``texts`` (row, text, found, marks, begins) whose marks are in ``found``.
 
-    ``words`` are names of the text's words from place ``at`` on; a stretch's places are those in the text.
+    ``words`` are names of the text's words from place ``at`` on; a stretch's places are those in the text. Only these words are named.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         namer = WordNames()
         for batch in in_chunks(batches, 1):
-            s = Strings([split_words(raw) for raw in batch.column(1).cast(pa.binary()).to_pylist()], namer)
-            begin, end, mark = marked_stretches(s, window, rounds)
-            found = batch.column(2)
-            size = np.diff(found.offsets.to_numpy())
-            both = lambda text, m: mix(m + text.astype(np.uint64) * ODD)
-            known = both(np.repeat(np.arange(batch.num_rows), size), found.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            hit = np.isin(both(s.text_of[begin], mark), known)
-            begin, end, mark = begin[hit], end[hit], mark[hit]
-            text, whole = s.text_of[begin], s.names.tobytes()
-            spans = zip((8 * begin).tolist(), (8 * (end + window - 1)).tolist())
-            x = np.array([key_pair(whole[i:j]) for i, j in spans], dtype=np.int64).reshape(-1, 2)
+            words = [split_words(raw) for raw in batch.column(1).cast(pa.binary()).to_pylist()]
+            known_of, text = (np.repeat(np.arange(batch.num_rows), np.diff(batch.column(c).offsets.to_numpy())) for c in (2, 3))
+            known, mark, begin = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (2, 3, 4))
+            begin = begin.astype(np.int64)
+            count = np.array([len(w) for w in words], dtype=np.int64)
+            end = np.append(begin[1:], 0)
+            is_last = np.append(text[1:] != text[:-1], True)
+            end[is_last] = count[text[is_last]] - window + 1
+            both = lambda text, m: mix(m.view(np.uint64) + text.astype(np.uint64) * ODD)
+            hit = np.isin(both(text, mark), both(known_of, known))
+            begin, end, mark, text = begin[hit], end[hit], mark[hit], text[hit]
             first = runs_of(begin, end, text)
             last = np.append(first[1:], len(begin))
-            off = s.bounds[text]
+            held = [words[t][i:j] for t, i, j in zip(text[first].tolist(), begin[first].tolist(), (end[last - 1] + window - 1).tolist())]
+            bounds = np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(np.int64)
+            names = namer.of([w for h in held for w in h])
+            shift, whole = np.repeat(bounds[:-1] - begin[first], last - first), names.tobytes()
+            spans = zip((8 * (begin + shift)).tolist(), (8 * (end + shift + window - 1)).tolist())
+            x = np.array([key_pair(whole[i:j]) for i, j in spans], dtype=np.int64).reshape(-1, 2)
             parts = pa.StructArray.from_arrays(
-                [long_column(mark), pa.array((begin - off).astype(np.int32)), pa.array((end - off).astype(np.int32)), pa.array(x[:, 0]), pa.array(x[:, 1])],
+                [long_column(mark), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(x[:, 0]), pa.array(x[:, 1])],
                 ["mark", "begin", "end", "x1", "x2"],
             )
-            strings = [s.names[i:j] for i, j in zip(begin[first].tolist(), (end[last - 1] + window - 1).tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(batch.column(0).to_numpy(zero_copy_only=False)[text[first]], pa.int64()),
-                    pa.array((begin - off)[first].astype(np.int32)),
-                    list_column(strings, pa.int64()),
+                    pa.array(begin[first].astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), long_column(names)),
                     pa.ListArray.from_arrays(pa.array(np.append(first, len(begin)).astype(np.int32)), parts),
                 ],
                 ["row", "at", "words", "stretches"],
@@ -431,13 +443,13 @@ def remove_repeats(
     docs: DataFrame, window: int = 35, rounds: int = ROUNDS, with_text: bool = False, named_rounds: int = 4
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and kept_text, if asked for)."""
-    base = pin(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
-    profile = pin(word_profile(base, window, rounds))
+    profile = pin(word_profile(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), window, rounds))
     key = ["k1", "k2", "n_words"]
     groups = profile.groupBy(*key).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
     found = found_marks(profile, groups.select(F.col("first").alias("row")), "marks")
-    texts = base.select("row", "text")
-    regions = pin(stretch_strings(texts.join(found, "row").select("row", "text", "found"), window, rounds))
+    texts = profile.select("row", "text")
+    marked = profile.select("row", "text", "marks", "begins").join(found, "row")
+    regions = pin(stretch_strings(marked.select("row", "text", "found", "marks", "begins"), window))
     judged = pin(judged_stretches(regions))
     entered = judged.filter(F.exists("stretches", lambda s: s["enters"]))
     strings = pin(entering_strings(regions.drop("stretches").join(entered, ["row", "at"]), window))
@@ -447,8 +459,8 @@ def remove_repeats(
     cut = cut_words(texts.join(both, "row").select("row", "text", "starts", "places"), window)
     if not with_text:
         cut = cut.drop("left_text")
-    ids = base.select("row", "doc_id", *(["text"] if with_text else []))
-    whole_rows = profile.select("row", "sha", *key).join(groups, key).join(cut, "row", "left").join(ids, "row")
+    ids = ["doc_id", *(["text"] if with_text else [])]
+    whole_rows = profile.select("row", "sha", *key, *ids).join(groups, key).join(cut, "row", "left")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= window)
     pick = lambda all_gone, part, none: F.when(whole, all_gone).when(F.col("gone").isNotNull(), part).otherwise(none)
     out = [
