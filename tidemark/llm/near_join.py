@@ -4,7 +4,8 @@ A document's tokens are its distinct word shingles (64-bit names). Two documents
 when ``100 * shared >= percent * union``. The join is exact:
 
 * Tokens have one global order: by how many documents hold the rarest word of the
-  shingle (words outside the ``top_words`` most frequent count as 0), then by name.
+  shingle (words outside the ``top_words`` most frequent count as 0; one whose name begins
+  with the same ``BITS`` bits as a frequent one's counts as that), then by name.
   A passage in many documents has frequent words only, so its shingles come last.
 * A set of n tokens may lack at most e of them in a partner. Its prefix is its first
   e + 1 + g tokens, g being the groups (see next) that its frequent ones lie in: of two
@@ -40,6 +41,7 @@ than ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import pin, unpin
-from tidemark.llm._tokens import MIX_1, MIX_2, ODD, WordNames, in_chunks, list_column, long_column, mix, window_names
+from tidemark.llm._tokens import MIX_1, MIX_2, ODD, in_chunks, list_column, long_column, mix, named_words, window_names
 
 #: Average number of a set's prefix tokens in a group.
 PER_GROUP = 8
@@ -59,23 +61,25 @@ SOME = 32
 SENT = 1_000_000
 #: Holders of a part that are paired at once.
 CROWD = 16
+#: Bits of a word's name that tell how frequent it is, and bytes of text that are named at once.
+BITS, CHUNK = 21, 500_000
 
 
-def words_of(raw: bytes | None) -> list[bytes]:
-    return raw.lower().split() if raw else []
-
-
-def shingle_names(words: np.ndarray, size: int) -> np.ndarray:
-    """Names of all shingles in order; a shorter text is one shingle."""
-    if 0 < len(words) < size:
-        return window_names(words, len(words), 5)
-    return window_names(words, size, 5)
+def shingles(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """Names of each row's shingles in order; a shorter text is one shingle."""
+    words, begin = named_words(texts)
+    windows = window_names(words, size, 5)
+    found = []
+    for start, end in zip(begin[:-1].tolist(), begin[1:].tolist()):
+        found.append(windows[start : end - size + 1] if end - start >= size else window_names(words[start:end], end - start, 5) if end > start else windows[:0])
+    return found
 
 
 def may_lack(n: np.ndarray | int, percent: int):
     return n - (percent * n + 99) // 100
 
 
+@cache
 def level(n: int, percent: int) -> int:
     """Sets that link are on the same level or on neighbouring ones."""
     at = 0
@@ -86,6 +90,7 @@ def level(n: int, percent: int) -> int:
     return at
 
 
+@cache
 def level_top(at: int, percent: int) -> int:
     """Size of the largest set on a level."""
     low = 1
@@ -94,6 +99,7 @@ def level_top(at: int, percent: int) -> int:
     return 100 * low // percent
 
 
+@cache
 def level_groups(at: int, percent: int) -> int:
     """G of a level, from the largest set on it."""
     return max(1, int(may_lack(level_top(at, percent), percent)) // PER_GROUP)
@@ -103,7 +109,7 @@ def word_counts(base: DataFrame) -> DataFrame:
     """(word, docs) summed up by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        namer, held = WordNames(), []
+        held = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             names = np.concatenate([h[0] for h in held])
@@ -115,11 +121,12 @@ def word_counts(base: DataFrame) -> DataFrame:
             kinds, counts = merged()
             return pa.RecordBatch.from_arrays([long_column(kinds), pa.array(counts)], ["word", "docs"])
 
-        for batch in in_chunks(batches, 0):
-            sets = [namer.of(list(set(words_of(raw)))) for raw in batch.column(0).cast(pa.binary()).to_pylist()]
+        for batch in in_chunks(batches, 0, CHUNK):
+            words, begin = named_words(batch.column(0))
+            sets = [np.unique(words[start:end]) for start, end in zip(begin[:-1].tolist(), begin[1:].tolist())]
             if sets:
                 held.append(np.unique(np.concatenate(sets), return_counts=True))
-            if len(held) >= 16:
+            if len(held) >= 64:
                 held = [merged()]
                 if len(held[0][0]) > 2_000_000:
                     yield out()
@@ -143,40 +150,44 @@ def set_profile(base: DataFrame, size: int, percent: int, top_words: int) -> Dat
     """Per row: n (size of the set), two keys of the set, its prefix in order."""
     sent = base.sparkSession.sparkContext.broadcast(frequent_words(base, top_words))
 
-    def rarity(words: np.ndarray) -> np.ndarray:
-        names, docs = sent.value
-        if not len(names):
-            return np.zeros(len(words), dtype=np.int64)
-        at = np.minimum(np.searchsorted(names, words), len(names) - 1)
-        return np.where(names[at] == words, docs[at], 0)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        namer = WordNames()
-        for batch in in_chunks(batches, 1):
-            n, k1, k2, prefixes, sketches = [], [], [], [], []
-            for raw in batch.column(1).cast(pa.binary()).to_pylist():
-                words = namer.of(words_of(raw))
-                tokens = shingle_names(words, size)
-                kinds, first = np.unique(tokens, return_index=True)
-                n.append(len(kinds))
-                k1.append(int(mix(kinds * MIX_1).sum(dtype=np.uint64)))
-                k2.append(int(mix(kinds * MIX_2 + ODD).sum(dtype=np.uint64)))
-                parts = np.bincount((kinds >> np.uint64(56)).astype(np.int64), minlength=SKETCH)
-                sketches.append(parts.astype(np.uint8).tobytes() if parts.max() < 256 else b"")
-                if len(words) < size:  # one shingle: only its equals link with it
-                    prefixes.append(kinds[:0])
+        names, docs = sent.value
+        by_docs = np.argsort(docs, kind="stable")  # of words with the same bits the most frequent one is told
+        rarity = np.zeros(2**BITS, dtype=np.uint16)
+        rarity[names[by_docs] >> np.uint64(64 - BITS)] = np.minimum(np.unique(docs[by_docs], return_inverse=True)[1] + 1, 65_535)
+        for batch in in_chunks(batches, 1, CHUNK):
+            words, begin = named_words(batch.column(1))
+            windows = window_names(words, size, 5)
+            rare = rarity[words >> np.uint64(64 - BITS)]
+            least = rare[: len(windows)]
+            for i in range(1, size):
+                least = np.minimum(least, rare[i : len(windows) + i])
+            sets, prefixes = [], []
+            for start, end in zip(begin[:-1].tolist(), begin[1:].tolist()):
+                if end - start < size:  # one shingle: only its equals link with it
+                    sets.append(window_names(words[start:end], end - start, 5) if end > start else windows[:0])
+                    prefixes.append(windows[:0])
                     continue
-                rare = rarity(words)
-                least = rare[: len(rare) - size + 1]
-                for i in range(1, size):
-                    least = np.minimum(least, rare[i : len(rare) - size + 1 + i])
-                order = np.lexsort((kinds, least[first]))
+                tokens = windows[start : end - size + 1]
+                order = np.argsort(tokens)
+                kinds = tokens[order]
+                new = np.concatenate([[True], kinds[1:] != kinds[:-1]])
+                if len(kinds := kinds[new]) < len(order):
+                    order = order[new]
+                sets.append(kinds)
                 long = int(may_lack(len(kinds), percent)) + 1 + level_groups(level(len(kinds), percent) + 1, percent)
-                prefixes.append(kinds[order[:long]])
+                prefixes.append(kinds[np.argsort(least[start:end][order], kind="stable")[:long]])
+            n = np.array([len(x) for x in sets], dtype=np.int64)
+            every, of = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(every * MIX_1))]), np.concatenate([[np.uint64(0)], np.cumsum(mix(every * MIX_2 + ODD))])
+            ends = np.cumsum(n)
+            k1, k2 = (x[ends] - x[ends - n] for x in sums)
+            parts = np.bincount(of * SKETCH + (every >> np.uint64(56)).astype(np.int64), minlength=len(n) * SKETCH).reshape(-1, SKETCH)
+            sketches = [row.tobytes() if fits else b"" for row, fits in zip(parts.astype(np.uint8), parts.max(axis=1) < 256)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(n, pa.int64()), long_column(np.array(k1, dtype=np.uint64)),
-                    long_column(np.array(k2, dtype=np.uint64)), list_column(prefixes, pa.int64()), pa.array(sketches, pa.binary()),
+                    batch.column(0), pa.array(n, pa.int64()), long_column(k1),
+                    long_column(k2), list_column(prefixes, pa.int64()), pa.array(sketches, pa.binary()),
                 ],
                 ["row", "n", "k1", "k2", "prefix", "sketch"],
             )
@@ -190,12 +201,16 @@ def signatures(held: DataFrame, percent: int, frequent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for n, tokens in zip(batch.column(1).to_pylist(), batch.column(2)):
-                t = tokens.values
-                name = t.field("token").to_numpy(zero_copy_only=False).view(np.uint64)
-                times = t.field("times").to_numpy(zero_copy_only=False)
-                place = t.field("place").to_numpy(zero_copy_only=False)
+            flat = batch.column(2).flatten()
+            names = flat.field("token").to_numpy(zero_copy_only=False).view(np.uint64)
+            counts, places = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("times", "place"))
+            ends = np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            for n, start, end in zip(batch.column(1).to_pylist(), [0, *ends], ends):
+                name, times, place = names[start:end], counts[start:end], places[start:end]
                 found, least = [], int(may_lack(n, percent)) + 1
+                if not (times > frequent).any():
+                    out.append(np.unique(mix(name[place < least])))
+                    continue
                 for at in (own := level(n, percent), own + 1):
                     groups = np.uint64(level_groups(at, percent))
                     # Only groups that the prefix reaches lengthen it, by one token each.
@@ -337,9 +352,8 @@ def part_signatures(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(sig, row, n, label) for the parts of every row of ``texts`` (row, label, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        namer = WordNames()
-        for batch in in_chunks(batches, 2):
-            sets = [np.unique(shingle_names(namer.of(words_of(raw)), size)) for raw in batch.column(2).cast(pa.binary()).to_pylist()]
+        for batch in in_chunks(batches, 2, CHUNK):
+            sets = [np.unique(x) for x in shingles(batch.column(2), size)]
             out = [part_names(x, percent) for x in sets]
             times = [len(x) for x in out]
             spread = lambda values: pa.array(np.repeat(values, times), pa.int64())
@@ -359,9 +373,8 @@ def token_signatures(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        namer = WordNames()
-        for batch in in_chunks(batches, 2):
-            sets = [np.unique(shingle_names(namer.of(words_of(raw)), size)) for raw in batch.column(2).cast(pa.binary()).to_pylist()]
+        for batch in in_chunks(batches, 2, CHUNK):
+            sets = [np.unique(x) for x in shingles(batch.column(2), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_column(sets, pa.int64())], ["row", "label", "tokens"])
 
     sets = pin(texts.mapInArrow(run, "row long, label long, tokens array<long>"))
@@ -485,17 +498,19 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     """The pairs (a, b) of ``pairs``, pinned, whose whole texts link; ``texts`` hold no other rows than those of pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        namer = WordNames()
         last, tokens = None, np.zeros(0, dtype=np.uint64)
-        for batch in in_chunks(batches, 2):
+        for batch in in_chunks(batches, 2, CHUNK):
             hit = []
-            text_a = batch.column(3).cast(pa.binary())
-            for i, (a, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist())):
-                if a != last:
-                    last, tokens = a, np.unique(shingle_names(namer.of(words_of(text_a[i].as_py())), size))
-                other = np.unique(shingle_names(namer.of(words_of(raw)), size))
+            a = batch.column(0).to_numpy(zero_copy_only=False)
+            new = np.concatenate([[last is None or a[0] != last], a[1:] != a[:-1]])
+            left = iter(shingles(batch.column(3).filter(pa.array(new)), size))
+            for other, changed in zip(shingles(batch.column(2), size), new.tolist()):
+                if changed:
+                    tokens = np.unique(next(left))
+                other = np.unique(other)
                 shared = len(np.intersect1d(tokens, other, assume_unique=True))
                 hit.append(100 * shared >= percent * (len(tokens) + len(other) - shared))
+            last = a[-1]
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     with_b = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")).join(sent(pairs), "b")
